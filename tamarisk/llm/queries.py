@@ -29,6 +29,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamarisk.llm import minhash
+
+    return minhash.near_duplicates(_documents(spark, sf_dir))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tamarisk.llm import quality
 
@@ -47,13 +53,21 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamarisk.llm import ngrams
+
+    return ngrams.perplexity(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_sentencepiece": op2_sentencepiece,
+        "op3_minhash": op3_minhash,
         "op5_quality": op5_quality,
         "op7_pii": op7_pii,
         "op9_urls": op9_urls,
+        "op10_kneser_ney": op10_kneser_ney,
     }
 
 
