@@ -41,6 +41,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"), _tokenizer("word_bpe_49k.json"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamarisk.llm import fingerprints
+
+    return fingerprints.near_edits(_documents(spark, sf_dir))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tamarisk.llm import pii
 
@@ -65,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sentencepiece": op2_sentencepiece,
         "op3_minhash": op3_minhash,
         "op5_quality": op5_quality,
+        "op6_fingerprints": op6_fingerprints,
         "op7_pii": op7_pii,
         "op9_urls": op9_urls,
         "op10_kneser_ney": op10_kneser_ney,
