@@ -53,6 +53,12 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(_documents(spark, sf_dir))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamarisk.llm import substrings
+
+    return substrings.remove_repeats(_documents(spark, sf_dir))
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tamarisk.llm import urls
 
@@ -73,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality": op5_quality,
         "op6_fingerprints": op6_fingerprints,
         "op7_pii": op7_pii,
+        "op8_substrings": op8_substrings,
         "op9_urls": op9_urls,
         "op10_kneser_ney": op10_kneser_ney,
     }
