@@ -4,8 +4,10 @@ Two items can only be linked if they share a bucket. Testing all pairs of a buck
 grows with its square, so each round tests a few *pivots* of every bucket against the
 others and retires them: whatever a pivot links to is then known. A bucket is done
 when all its items are in one component (no further test can change anything) or its
-pivots have run out (all its pairs are tested). Pivots multiply from round to round,
-so a bucket of mostly unlike items ends after a few rounds, too. No link between
+pivots have run out (all its pairs are tested). The first pivot of a bucket is its
+most central item, the one that shares most buckets' members: what all copies were made
+from comes before the copies, which may be unlike each other. Pivots multiply from round
+to round, so a bucket of mostly unlike items ends after a few rounds, too. No link between
 components is lost, and like items cost one test each.
 
 Everything is joins and partial aggregations of DataFrames; nothing reaches the
@@ -21,8 +23,9 @@ from pyspark.sql import functions as F
 
 from tamarisk.llm.store import Scratch
 
-#: Pivots of a bucket in the first and in each further round: times this.
-MORE_PIVOTS = 8
+#: Pivots of a bucket in each round; the last number grows on by itself.
+PIVOTS = (1, 1, 2, 4)
+MORE_PIVOTS = 4
 
 
 def spread(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -48,46 +51,59 @@ def spread(links: DataFrame, scratch: Scratch) -> DataFrame:
             return labels
 
 
-def components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> tuple[DataFrame | None, DataFrame | None]:
+def components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, early: str | None = None) -> tuple[DataFrame | None, DataFrame | None]:
     """((id, component) of linked items, all links (a, b)) from members (bucket, id, pivot boolean).
 
     ``verify`` keeps of pairs (a, b), a < b, those that are linked. None where nothing is linked.
+    ``early``: a condition on the buckets that the first round is limited to; where items share
+    many buckets, a few of them link most, and the others then need no tests.
     """
-    rows, tested, links, labels, pivots = members, None, None, None, 1
+    if early is None:
+        members = members.withColumn("early", F.lit(True))
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
+    weights = members.join(sizes, "bucket").groupBy("id").agg(F.sum("size").alias("weight"))
+    rows = members = scratch.put(members.join(weights, "id"), "members")
+    tested = links = labels = None
+    pivots, turn = 1, 0
     while True:
+        first = early is not None and turn == 0
+        pivots = PIVOTS[turn] if turn < len(PIVOTS) else pivots * MORE_PIVOTS
+        turn += 1
         now = rows
         if labels is not None:
-            now = rows.join(labels, "id", "left").select("bucket", "id", "pivot", F.coalesce("component", "id").alias("component"))
+            now = rows.drop("component").join(labels, "id", "left").select("bucket", "id", "pivot", "weight", "early", F.coalesce("component", "id").alias("component"))
         else:
-            now = rows.select("bucket", "id", "pivot", F.col("id").alias("component"))
+            now = rows.select("bucket", "id", "pivot", "weight", "early", F.col("id").alias("component"))
         open_ = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("pivot").alias("any")).where("lo < hi AND any").select("bucket")
         following = scratch.put(now.join(open_, "bucket", "left_semi"), "rows")
-        if rows is not members:
-            scratch.drop(rows)
+        scratch.drop(rows)
         rows = following
         if not rows.limit(1).count():
             scratch.drop(rows)
             return labels, links
-        chosen = rows.where("pivot").groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(pivots)).alias("s")).agg(F.min_by(F.struct("id", "component"), "id").alias("p")).select("bucket", "p.*")
+        tried = rows.where(early) if first else rows
+        chosen = tried.where("pivot").groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(pivots)).alias("s")).agg(F.max_by(F.struct("id", "component"), F.struct("weight", F.xxhash64("id"))).alias("p")).select("bucket", "p.*")
         p = chosen.select(F.col("bucket").alias("b_"), F.col("id").alias("p_id"), F.col("component").alias("p_component"))
-        pairs = rows.join(p, (rows.bucket == p.b_) & (rows.component != p.p_component)).select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
+        pairs = tried.join(p, (tried.bucket == p.b_) & (tried.component != p.p_component)).select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.put(pairs, "pairs")
         found = scratch.put(verify(pairs), "links")
-        more = found if links is None else scratch.put(links.union(found), "links")
-        if links is not None:
-            scratch.drop(links, found)
-        links = more
+        if found.limit(1).count():
+            more = found if links is None else scratch.put(links.union(found), "links")
+            if links is not None:
+                scratch.drop(links, found)
+            links = more
+            scratch.drop(labels)
+            labels = spread(links, scratch)
         everything = pairs if tested is None else scratch.put(tested.union(pairs), "tested")
         if tested is not None:
             scratch.drop(tested, pairs)
         tested = everything
-        scratch.drop(labels)
-        labels = spread(links, scratch) if links.limit(1).count() else None
+        if first:
+            continue
         # the pivots have met all others of their bucket
-        rest = rows.join(chosen.select("bucket", "id"), ["bucket", "id"], "left_anti").select("bucket", "id", "pivot")
+        rest = rows.join(chosen.select("bucket", "id"), ["bucket", "id"], "left_anti").select("bucket", "id", "pivot", "weight", "early")
         following = scratch.put(rest, "rows")
         scratch.drop(rows)
         rows = following
-        pivots *= MORE_PIVOTS

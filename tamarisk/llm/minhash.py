@@ -7,6 +7,11 @@ correlated than two draws of one, which lowers the variance). Bands of four valu
 two least and two greatest of different permutations, propose candidates; candidates
 are confirmed on the full shingle sets, and :mod:`linking` finds the components.
 
+Many documents made from one text may share bands and still be too unlike to link.
+Buckets of more than ``HOT`` documents are therefore replaced by an exact filter: with
+the shingles of those documents ordered from the rarest on, two linked ones share one
+of their first ``n - ceil(0.75 n) + 1`` shingles (the prefix filter of set joins).
+
 With 32 bands of 4 values a pair at the threshold of 0.75 shares no band with
 probability (1 - 0.75**4) ** 32 = 5e-6.
 """
@@ -28,6 +33,10 @@ WIDTH = 5
 NUMERATOR, DENOMINATOR = 75, 100
 PERMUTATIONS = 64
 ROWS = 4
+#: Documents of a bucket beyond which it gives way to the prefix filter.
+HOT = 64
+#: Bands that the first round of tests is limited to.
+EARLY = 6
 SIGNED = "doc_id long, n_shingles long, set_1 long, set_2 long, bands array<long>"
 
 
@@ -116,6 +125,42 @@ def sets_of(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return W.table(docs, "doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
 
 
+def prefix_buckets(sets: DataFrame, scratch: Scratch, numerator: int, denominator: int) -> DataFrame:
+    """(bucket, id): the shared ones among each document's rarest shingles, of which linked documents have one in common."""
+    from tamarisk.llm.ngrams import folder
+    from tamarisk.llm.substrings import Sorted, _longs, _write_rows
+
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    frequent = Sorted(f"{folder(sets.sparkSession, scratch)}/frequent", 1 << min(12, (4 * parts - 1).bit_length()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = b"".join(x.as_buffer().to_pybytes() for x in batch["shingles"])
+            keys, n = np.unique(np.frombuffer(raw, "<u8"), return_counts=True)
+            yield _longs(shingle=keys, n=n)
+
+    counts = sets.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1")
+    _write_rows(counts, frequent, "shingle", parts, n=np.int64)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(x.as_buffer(), "<u8") for x in batch["shingles"]]
+            flat = np.concatenate([np.zeros(0, np.uint64), *own])
+            keys, inverse = np.unique(flat, return_inverse=True)
+            found, n = frequent.find(keys, frequent.bucket(keys), n=np.int64)
+            n = np.where(found, n, 1)[inverse]
+            bucket, ids, at = [], [], 0
+            for name, s in zip(batch["doc_id"].to_pylist(), own, strict=True):
+                counts_, at = n[at : at + len(s)], at + len(s)
+                take = np.lexsort((s, counts_))[: len(s) - -(-numerator * len(s) // denominator) + 1]
+                take = take[counts_[take] > 1]
+                bucket.append(s[take])
+                ids.append(np.full(len(take), name, np.int64))
+            yield _longs(bucket=np.concatenate([np.zeros(0, np.uint64), *bucket]), id=np.concatenate([np.zeros(0, np.int64), *ids]))
+
+    return sets.mapInArrow(first, "bucket long, id long")
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """The pairs (a, b) whose full sets are alike enough."""
 
@@ -150,14 +195,20 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, numerator: int = NUMERA
     own = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     groups = own.groupBy("set_1", "set_2").agg(F.min("doc_id").alias("first"), F.min_by("bands", "doc_id").alias("bands"))
     groups = scratch.put(groups, "groups")
-    members = groups.select(F.explode("bands").alias("bucket"), F.col("first").alias("id"))
-    alone = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
-    members = scratch.put(members.join(alone, "bucket", "left_semi").distinct().withColumn("pivot", F.lit(True)), "members")
+    members = groups.select(F.posexplode("bands").alias("band", "bucket"), F.col("first").alias("id"))
+    shared = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", "n")
+    members = scratch.put(members.join(shared, "bucket").select("bucket", "id", "n", (F.col("band") < EARLY).alias("early")), "members")
     W.small_batches(spark, 500)
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
     texts = W.table(docs, "doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = scratch.put(sets_of(texts, width), "sets")
-    labels, _ = components(members, lambda pairs: confirm(pairs, sets, numerator, denominator), scratch)
+    crowded = members.where(F.col("n") > HOT).select(F.col("id").alias("doc_id")).distinct()
+    few = members.where(F.col("n") <= HOT).select("bucket", "id", "early")
+    prefix = prefix_buckets(sets.join(crowded, "doc_id", "left_semi"), scratch, numerator, denominator)
+    bucketed = scratch.put(few.union(prefix.withColumn("early", F.pmod("bucket", F.lit(8)) == 0)).withColumn("pivot", F.lit(True)), "bucketed")
+    scratch.drop(members)
+    members = bucketed
+    labels, _ = components(members, lambda pairs: confirm(pairs, sets, numerator, denominator), scratch, early="early")
     scratch.drop(sets, members)
     roots = groups.select("set_1", "set_2", F.col("first").alias("id"))
     if labels is not None:
