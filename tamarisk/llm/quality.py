@@ -114,6 +114,43 @@ def entropies(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray, words: W
     return n_tokens, out
 
 
+def judged(chunk: pa.Table, piece_model: str, word_model: str, bands=BANDS) -> list[np.ndarray]:
+    """The columns of ``SCHEMA`` after doc_id, of a chunk with text and lang."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tamarisk.llm.bpe import word_end_bpe
+    from tamarisk.llm.sentencepieces import SPACE, pieces
+
+    model, other = pieces(piece_model), word_end_bpe(word_model)
+    texts = W.texts(chunk["text"])
+    words = W.Words(texts)
+    vocabulary = words.vocabulary.to_pylist()
+    chars = pc.utf8_length(words.vocabulary).to_numpy(zero_copy_only=False).astype(np.int64)
+    symbols = pc.count_substring_regex(words.vocabulary, "[#*$%&|<>]").to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, counts = model.bpe([SPACE + w for w in vocabulary])
+    starts = np.cumsum(counts) - counts
+    total = np.concatenate([[0], np.cumsum(model.is_byte[flat])])
+    fallback = total[starts + counts] - total[starts]
+    _, other_counts = other.encode(words.vocabulary)
+    n_words, word_chars = words.counts, words.sums(chars)
+    repeat = repeated_words(words.codes, words.starts)
+    n_tokens, entropy = entropies(flat, starts, counts, words)
+    other_tokens = words.sums(other_counts)
+    raw = texts.to_pylist()
+    per = word_chars / np.maximum(n_tokens, 1)
+    per_2 = word_chars / np.maximum(other_tokens, 1)
+    share = words.sums(fallback) / np.maximum(n_tokens, 1)
+    failed = (n_words < 50) | (100 * repeat > 50 * n_words)
+    within = np.zeros(len(raw), bool)
+    for i, name in enumerate(chunk["lang"].to_pylist()):
+        if not failed[i]:
+            band = bands.get(name) or bands[script(raw[i])]
+            slack = SLACK / np.sqrt(max(1, n_tokens[i]))
+            within[i] = band[0][0] - slack <= per[i] <= band[0][1] and band[1][0] - slack <= per_2[i] <= band[1][1] and share[i] <= band[2] and entropy[i] >= band[3]
+    return [n_words, word_chars, words.sums(symbols), np.array([duplicate_lines(t) for t in raw], np.int64), repeat, failed, ~failed & within, n_tokens, per, per_2, share, entropy]
+
+
 def measure(docs: DataFrame, piece_model: str, word_model: str, bands=BANDS) -> DataFrame:
     """Counts, measures and verdict of every whole text.
 
@@ -125,40 +162,22 @@ def measure(docs: DataFrame, piece_model: str, word_model: str, bands=BANDS) ->
     table = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), lang.cast("string").alias("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
+        for chunk in W.chunks(batches):
+            columns = [pa.array(x) for x in judged(chunk, piece_model, word_model, bands)]
+            yield pa.RecordBatch.from_arrays([chunk["doc_id"].combine_chunks(), *columns], names=[c.split(" ")[0] for c in SCHEMA.split(", ")])
+
+    return table.mapInArrow(run, SCHEMA)
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tamarisk.llm.bpe import word_end_bpe
-        from tamarisk.llm.sentencepieces import SPACE, pieces
 
-        model, other = pieces(piece_model), word_end_bpe(word_model)
+def keep_good(docs: DataFrame, piece_model: str, word_model: str, bands=BANDS) -> DataFrame:
+    """The rows of ``docs`` (any columns, with text and lang) that :func:`measure` keeps, judged where they are read."""
+    W.small_batches(docs.sparkSession)
+    names, place = docs.columns, [c.split(" ")[0] for c in SCHEMA.split(", ")].index("kept") - 1
+    own = docs.select(*(docs[f"`{c}`"] for c in names), docs["text"].cast("string").alias("_text"), (docs["lang"] if "lang" in names else F.lit(None)).cast("string").alias("_lang"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in W.chunks(batches):
-            texts = W.texts(chunk["text"])
-            words = W.Words(texts)
-            vocabulary = words.vocabulary.to_pylist()
-            chars = pc.utf8_length(words.vocabulary).to_numpy(zero_copy_only=False).astype(np.int64)
-            symbols = pc.count_substring_regex(words.vocabulary, "[#*$%&|<>]").to_numpy(zero_copy_only=False).astype(np.int64)
-            flat, counts = model.bpe([SPACE + w for w in vocabulary])
-            starts = np.cumsum(counts) - counts
-            total = np.concatenate([[0], np.cumsum(model.is_byte[flat])])
-            fallback = total[starts + counts] - total[starts]
-            _, other_counts = other.encode(words.vocabulary)
-            n_words, word_chars = words.counts, words.sums(chars)
-            repeat = repeated_words(words.codes, words.starts)
-            n_tokens, entropy = entropies(flat, starts, counts, words)
-            other_tokens = words.sums(other_counts)
-            raw = texts.to_pylist()
-            per = word_chars / np.maximum(n_tokens, 1)
-            per_2 = word_chars / np.maximum(other_tokens, 1)
-            share = words.sums(fallback) / np.maximum(n_tokens, 1)
-            failed = (n_words < 50) | (100 * repeat > 50 * n_words)
-            within = np.zeros(len(raw), bool)
-            for i, name in enumerate(chunk["lang"].to_pylist()):
-                if not failed[i]:
-                    band = bands.get(name) or bands[script(raw[i])]
-                    slack = SLACK / np.sqrt(max(1, n_tokens[i]))
-                    within[i] = band[0][0] - slack <= per[i] <= band[0][1] and band[1][0] - slack <= per_2[i] <= band[1][1] and share[i] <= band[2] and entropy[i] >= band[3]
-            columns = [chunk["doc_id"].combine_chunks(), n_words, word_chars, words.sums(symbols), np.array([duplicate_lines(t) for t in raw], np.int64), repeat, failed, ~failed & within, n_tokens, per, per_2, share, entropy]
-            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=[c.split(" ")[0] for c in SCHEMA.split(", ")])
+            kept = judged(pa.table({"text": chunk["_text"], "lang": chunk["_lang"]}), piece_model, word_model, bands)[place]
+            yield from chunk.select(names).filter(pa.array(kept)).to_batches()
 
-    return table.mapInArrow(run, SCHEMA)
+    return own.mapInArrow(run, docs.schema)

@@ -35,6 +35,15 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tamarisk.llm import lines
+
+    out = lines.dedup_lines(_documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_removed", "n_near", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tamarisk.llm import quality
 
@@ -76,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": op1_packing,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_minhash": op3_minhash,
+        "op4_lines": op4_lines,
         "op5_quality": op5_quality,
         "op6_fingerprints": op6_fingerprints,
         "op7_pii": op7_pii,
