@@ -108,14 +108,41 @@ def within(a: Column, b: Column, edits: int = EDITS) -> Column:
     return diagonal.between(0, width - 1) & (F.getbit(end, bit) == 1)
 
 
+def trimmed(x: Column, y: Column, steps: int = 6) -> Column:
+    """struct(x, y) without equal beginnings and ends, which change no edit distance.
+
+    Each step cuts the first and the last half where they are equal; every step sees the one
+    before through a lambda variable, so it is computed once.
+    """
+
+    def step(s: Column) -> Column:
+        n = F.floor(F.least(F.length(s.x), F.length(s.y)) / 2).cast("int")
+        m = F.when(F.substring(s.x, F.lit(1), n) == F.substring(s.y, F.lit(1), n), n).otherwise(0)
+        return F.struct(F.substring(s.x, m + 1, F.length(s.x)).alias("x"), F.substring(s.y, m + 1, F.length(s.y)).alias("y"))
+
+    def back(s: Column) -> Column:
+        n = F.floor(F.least(F.length(s.x), F.length(s.y)) / 2).cast("int")
+        tail = lambda c: F.substring(c, F.length(c) - n + 1, n)
+        m = F.when(tail(s.x) == tail(s.y), n).otherwise(0)
+        return F.struct(F.substring(s.x, F.lit(1), F.length(s.x) - m).alias("x"), F.substring(s.y, F.lit(1), F.length(s.y) - m).alias("y"))
+
+    out = F.array(F.struct(x.alias("x"), y.alias("y")))
+    for _ in range(steps):
+        out = F.transform(F.transform(out, step), back)
+    return out
+
+
 def verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     """Of pairs (a, b) of line ids those within the distance."""
     first = texts.select(F.col("id").alias("a"), F.col("line").alias("x"))
     second = texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
     both = pairs.join(first, "a").join(second, "b").where(F.abs(F.length("x") - F.length("y")) <= edits)
     chars = lambda c: F.when(F.length(c) == 0, F.array().cast("array<string>")).otherwise(F.split(c, ""))
-    both = both.select("a", "b", chars("x").alias("x"), chars("y").alias("y"))
-    return both.where(within(F.col("x"), F.col("y"), edits)).select("a", "b")
+    alike = F.transform(trimmed(F.col("x"), F.col("y")), lambda s: F.struct(chars(s.x).alias("x"), chars(s.y).alias("y")))
+    alike = F.exists(alike, lambda s: within(s.x, s.y, edits))
+    # few bytes but much work: dealt anew, so that all cores take part
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.repartition(parts, "a", "b").where(alike).select("a", "b")
 
 
 def lines_of(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from tamarisk.llm.store import Scratch
 
 #: Pivots of a bucket in each round; the last number grows on by itself.
-PIVOTS = (1, 1, 2, 4)
-MORE_PIVOTS = 4
+PIVOTS = (1, 4)
+MORE_PIVOTS = 8
 
 
 def spread(links: DataFrame, scratch: Scratch) -> DataFrame:
