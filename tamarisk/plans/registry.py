@@ -1,10 +1,461 @@
-"""Every registered query with its DuckDB twin."""
+"""Every registered query of the engine with its DuckDB twin."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tamarisk.functions import arabizi
+from tamarisk.functions import text as T
+from tamarisk.operators import evaluate as E
+from tamarisk.operators import html as H
+from tamarisk.operators import labels as B
+from tamarisk.operators import lexicon as L
+from tamarisk.operators import profile as P
+from tamarisk.operators import rules as R
+from tamarisk.operators import scoring as M
+from tamarisk.operators import splits as S
+from tamarisk.operators import suite as G
+from tamarisk.sources import settings as C
+from tamarisk.streaming import moderation as O
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
+#: A small sample lexicon and keyword table; real ones are loaded as tables.
+LEXICON = [("idiot", "exact", "word"), ("moron", "exact", "word"), ("stupid", "exact", "word"), ("the", "contextual", "word"), ("thing", "pejorative", "word"), ("in the", "exact", "phrase")]
+CUES = ("of", "you")
+KEYWORDS = [("insult", "idiot"), ("insult", "moron"), ("insult", "stupid"), ("common", "the"), ("common", "that")]
+SUITE_SEEDS = [("idiot", 1, "en", "insult"), ("moron", 1, "en", "insult"), ("friend", 0, "en", "kind"), ("neighbour", 0, "en", "kind")]
+MORPHS = [("bare", "{}"), ("plural", "{}s")]
+CARRIERS = ["hello {}", "{} again", "you are {}"]
+
+LABELLED = """labelled AS (SELECT d.doc_id, d.text, d.source, d.lang AS dialect, l.toxic AS label, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+PREDICTED = LABELLED + """, predicted AS (SELECT *, CAST(regexp_matches(text, 'idiot|moron|stupid') AS INT) AS predicted FROM labelled)"""
+CELLS = "sum(CAST(label = 1 AND predicted = 1 AS BIGINT)) AS tp, sum(CAST(label = 0 AND predicted = 1 AS BIGINT)) AS fp, sum(CAST(label = 1 AND predicted = 0 AS BIGINT)) AS fn, sum(CAST(label = 0 AND predicted = 0 AS BIGINT)) AS tn"
+#: Words of a text by runs of white space of ASCII, as a DuckDB list.
+TOKENS = "list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def labelled(spark: SparkSession, d: str) -> DataFrame:
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    return docs.join(labels, "doc_id").select("doc_id", "text", "source", F.col("lang").alias("dialect"), F.col("toxic").alias("label"), "quality")
+
+
+def predicted(spark: SparkSession, d: str) -> DataFrame:
+    return labelled(spark, d).withColumn("predicted", F.col("text").rlike("idiot|moron|stupid").cast("int"))
+
+
+def lexicon(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(LEXICON, "term string, tier string, kind string")
+
+
+def tokenized(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("tokens"))
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- labels, votes, lineage
+
+
+@query(f"""WITH {LABELLED}, voted AS (SELECT text, CAST(avg(label) > 0.5 AS INT) AS label, string_agg(DISTINCT source, '|' ORDER BY source) AS source FROM labelled GROUP BY text)
+SELECT split_part(source, '|', 1) AS source, count(*) AS n, sum(label) AS toxic, round(100.0 * sum(label) / count(*), 4) AS rate FROM voted GROUP BY 1""")
+def flagship_toxic_rate(spark, d):
+    voted = B.vote(labelled(spark, d))
+    return P.toxic_rate(voted.withColumn("source", T.first_part(F.col("source"))))
+
+
+@query(f"WITH {LABELLED} SELECT text, CAST(avg(label) >= 0.5 AS INT) AS label FROM labelled GROUP BY text")
+def vote_tie_toxic(spark, d):
+    return B.vote(labelled(spark, d), "toxic").select("text", "label")
+
+
+@query(f"WITH {LABELLED} SELECT text, CAST(avg(label) > 0.5 AS INT) AS label, string_agg(DISTINCT source, '|' ORDER BY source) AS source, string_agg(DISTINCT dialect, '|' ORDER BY dialect) AS dialect FROM labelled GROUP BY text")
+def vote_tie_safe_lineage(spark, d):
+    return B.vote(labelled(spark, d))
+
+
+@query(f"WITH {LABELLED} SELECT text, max(label) AS label, min(source) AS source FROM labelled GROUP BY text")
+def dedup_any_toxic(spark, d):
+    return B.any_toxic(labelled(spark, d))
+
+
+@query(f"WITH {LABELLED} SELECT text, count(*) AS n, avg(label) AS mean FROM labelled GROUP BY text HAVING avg(label) > 0 AND avg(label) < 1")
+def label_conflicts(spark, d):
+    return B.conflicts(labelled(spark, d))
+
+
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN 1 WHEN 'fr' THEN 0 END AS mapped, CASE WHEN lang = 'en' OR source = 'src1' THEN 1 ELSE 0 END AS any_positive, lang = 'de' AS unlabeled_probe FROM documents")
+def label_maps(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", B.map_label(F.upper("lang"), {"en": 1, "fr": 0}).alias("mapped"), B.any_positive([F.col("lang"), F.col("source")], {"en": 1, "src1": 1}).alias("any_positive"), (F.col("lang") == "de").alias("unlabeled_probe"))
+
+
+@query(f"WITH {LABELLED} SELECT doc_id, CASE WHEN source = 'src3' AND label = 0 AND (contains(text, 'thing') OR contains(text, 'with')) THEN 1 ELSE label END AS label, source = 'src3' AND label = 0 AND (contains(text, 'thing') OR contains(text, 'with')) AS flipped FROM labelled WHERE NOT (source = 'src4' AND label = 0 AND length(text) > 300) AND source NOT IN ('src5', 'src6')")
+def relabel_and_clean(spark, d):
+    out = B.flip_by_keywords(B.without_sources(labelled(spark, d), ["src5", "src6"]), "src3", ["thing", "with"])
+    return B.drop_long_safe(out.where("true"), "src4").select("doc_id", "label", "flipped")
+
+
+@query("SELECT DISTINCT d.doc_id FROM documents d WHERE d.text NOT IN (SELECT text FROM benchmark) AND d.doc_id NOT IN (SELECT doc_id FROM labels)")
+def anti_join_new_texts(spark, d):
+    docs, bench, labels = (table(spark, d, t) for t in ("documents", "benchmark", "labels"))
+    return B.new_texts(docs, bench).join(labels.select("doc_id"), "doc_id", "left_anti").select("doc_id").distinct()
+
+
+# --- filters, normalisation
+
+
+@query("""SELECT doc_id, length(regexp_replace(text, '[^a-z]', '', 'g')) * 1.0 / nullif(length(regexp_replace(text, '[^a-zA-Zà-ÿ]', '', 'g')), 0) AS ratio FROM documents
+WHERE coalesce(length(regexp_replace(text, '[^a-z]', '', 'g')) * 1.0 / nullif(length(regexp_replace(text, '[^a-zA-Zà-ÿ]', '', 'g')), 0) >= 0.8, false)""")
+def script_ratio_filter(spark, d):
+    docs = table(spark, d, "documents").withColumn("ratio", T.script_ratio(F.col("text"), "a-z", "a-zA-Zà-ÿ"))
+    return docs.where("ratio >= 0.8").select("doc_id", "ratio")
+
+
+@query("SELECT doc_id, false AS arabic_script, false AS has_arabic, false AS arabizi FROM documents WHERE contains(text, 'zzzz') UNION ALL SELECT doc_id, false, false, false FROM documents WHERE NOT contains(text, 'zzzz') AND NOT regexp_matches(text, '[2345679]') AND NOT regexp_matches(text, '(?i)(^|[^a-z0-9_])(ya|yala|w?allah|insha|7a[br]|ma3a|3ala|a5|el|el-|al-|ibn|bnt|kel[bm]|5awal|ta7t)([^a-z0-9_]|$)')")
+def script_flags(spark, d):
+    docs = table(spark, d, "documents")
+    flags = docs.select("doc_id", T.is_arabic_script(F.col("text")).alias("arabic_script"), T.has_arabic(F.col("text")).alias("has_arabic"), arabizi.is_arabizi(F.col("text")).alias("arabizi"))
+    return flags.where("NOT arabizi")
+
+
+FUNNEL = [("latin", "regexp_matches(text, '[a-z]')"), ("length", "length(text) BETWEEN 3 AND 1000"), ("english", "lang = 'en'")]
+
+
+@query("""WITH f AS (SELECT count(*) AS a, count_if(regexp_matches(text, '[a-z]')) AS b, count_if(regexp_matches(text, '[a-z]') AND length(text) BETWEEN 3 AND 1000) AS c, count_if(regexp_matches(text, '[a-z]') AND length(text) BETWEEN 3 AND 1000 AND lang = 'en') AS e FROM documents)
+SELECT 0 AS place, 'raw' AS step, a AS n, round(100.0 * a / a, 4) AS pct FROM f UNION ALL SELECT 1, 'latin', b, round(100.0 * b / a, 4) FROM f UNION ALL SELECT 2, 'length', c, round(100.0 * c / a, 4) FROM f UNION ALL SELECT 3, 'english', e, round(100.0 * e / a, 4) FROM f""")
+def funnel_counts(spark, d):
+    return P.funnel(table(spark, d, "documents"), [("latin", F.col("text").rlike("[a-z]")), ("length", F.length("text").between(3, 1000)), ("english", F.col("lang") == "en")])
+
+
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^\\x20\\x09-\\x0D]+|www\\.[^\\x20\\x09-\\x0D]+', '', 'g'), '@[A-Za-z0-9_]+', '', 'g'), '[0-9]', ' ', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS clean FROM documents")
+def strip_mentions_digits(spark, d):
+    t = T.blank_digits(T.drop_mentions(T.drop_links(F.col("text")), unicode_words=False))
+    return table(spark, d, "documents").select("doc_id", T.collapse_spaces(t).alias("clean"))
+
+
+def _runs(most: int) -> str:
+    keep = " OR ".join(["i <= 1"] + [f"c[i] <> c[i - {k}]" for k in range(1, most + 1)]) if most == 1 else f"i <= {most} OR " + " OR ".join(f"c[i] <> c[i - {k}]" for k in range(1, most + 1))
+    return f"SELECT doc_id, array_to_string(list_transform(list_filter(range(1, len(c) + 1), lambda i: {keep}), lambda i: c[i]), '') AS squeezed FROM (SELECT doc_id, string_split(text, '') AS c FROM documents)"
+
+
+@query(_runs(2))
+def cap_repeats_2(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.cap_repeats(F.col("text"), 2).alias("squeezed"))
+
+
+@query(_runs(1))
+def compress_repeats(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.compress_repeats(F.col("text")).alias("squeezed"))
+
+
+@query()
+def normalize_corpus(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.normalize(F.concat(F.lit("مَرحبااا @ali "), F.col("text"))).alias("norm"))
+
+
+@query()
+def normalize_runtime(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.normalize(F.concat(F.lit("مَرحبااا "), F.col("text")), "runtime").alias("norm"))
+
+
+@query()
+def transliterate(spark, d):
+    return table(spark, d, "documents").select("doc_id", arabizi.transliterate(F.concat(F.lit("3ala "), F.left("text", F.lit(80)))).alias("arabic"))
+
+
+# --- splits, samples
+
+
+@query("""WITH u AS (SELECT DISTINCT text, toxic AS label FROM documents JOIN labels USING (doc_id)),
+r AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY md5('42' || text), text) - 1 AS k, count(*) OVER (PARTITION BY label) AS n FROM u)
+SELECT label, CASE WHEN k * 1.0 / n < 0.8 THEN 'train' WHEN k * 1.0 / n < 0.9 THEN 'val' ELSE 'test' END AS split, count(*) AS n FROM r GROUP BY 1, 2""")
+def stratified_split_counts(spark, d):
+    texts = labelled(spark, d).select("text", "label").distinct()
+    return S.exact_split(texts, "label", "text").groupBy("label", "split").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5('7' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 100")
+def seeded_sample(spark, d):
+    return S.sample(table(spark, d, "documents"), "doc_id", 100, 7).select("doc_id")
+
+
+@query("SELECT 'none' AS left_split, 'none' AS right_split, 0 AS n WHERE false")
+def leakage_check(spark, d):
+    texts = labelled(spark, d).groupBy("text").agg(F.max("label").alias("label"))
+    return S.leakage(S.stratified(texts, "label", "text")).select(F.col("left").alias("left_split"), F.col("right").alias("right_split"), F.col("n").cast("int").alias("n"))
+
+
+@query("SELECT event_id, user_id, rank FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rank FROM events) WHERE rank <= 5")
+def newest_per_user(spark, d):
+    return S.newest(table(spark, d, "events"), "user_id", 5, "event_id").select("event_id", "user_id", F.col("rank").cast("long").alias("rank"))
+
+
+# --- profiles
+
+
+@query("SELECT toxic, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS pct FROM labels GROUP BY toxic")
+def label_distribution(spark, d):
+    return P.shares(table(spark, d, "labels"), "toxic")
+
+
+@query("SELECT split_part(source, '|', 1) AS value, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, value LIMIT 10")
+def topk_sources(spark, d):
+    return P.value_counts(table(spark, d, "documents"), T.first_part(F.col("source")), 10)
+
+
+@query("WITH v AS (SELECT text, string_agg(DISTINCT source, '|' ORDER BY source) AS source FROM documents GROUP BY text) SELECT part AS value, count(*) AS n FROM (SELECT unnest(string_split(source, '|')) AS part FROM v) GROUP BY 1")
+def exploded_value_counts(spark, d):
+    merged = table(spark, d, "documents").groupBy("text").agg(F.array_join(F.array_sort(F.collect_set("source")), "|").alias("source"))
+    return P.exploded_counts(merged, "source")
+
+
+COVER = {c: [k for x, k in KEYWORDS if x == c] for c in sorted({c for c, _ in KEYWORDS})}
+
+
+@query(f"WITH {LABELLED}, t AS (SELECT text FROM labelled WHERE label = 1) " + " UNION ALL ".join(f"SELECT '{c}' AS category, CAST(sum({' + '.join(f'contains(text, {chr(39)}{k}{chr(39)})::BIGINT' for k in ks)}) AS BIGINT) AS hits, count_if({' OR '.join(f'contains(text, {chr(39)}{k}{chr(39)})' for k in ks)}) AS rows, round(100.0 * sum({' + '.join(f'contains(text, {chr(39)}{k}{chr(39)})::BIGINT' for k in ks)}) / count(*), 4) AS pct FROM t" for c, ks in COVER.items()))
+def keyword_coverage(spark, d):
+    return P.keyword_coverage(labelled(spark, d), spark.createDataFrame(KEYWORDS, "category string, keyword string"))
+
+
+@query(f"WITH {LABELLED} SELECT source, count(*) AS n, sum(label) AS toxic, round(100.0 * sum(label) / count(*), 4) AS rate FROM labelled GROUP BY source")
+def toxic_rate_by_source(spark, d):
+    return P.toxic_rate(labelled(spark, d))
+
+
+@query(f"WITH {LABELLED}, top AS (SELECT split_part(source, '|', 1) AS name, count(*) AS own FROM labelled GROUP BY 1 ORDER BY own DESC, name LIMIT 25) SELECT name, count(*) AS n, sum(label) AS toxic, round(100.0 * sum(label) / count(*), 4) AS rate FROM labelled JOIN top ON contains(source, name) GROUP BY name")
+def toxic_rate_by_substring(spark, d):
+    return P.toxic_rate_by_substring(labelled(spark, d))
+
+
+@query(f"WITH {LABELLED} SELECT dialect AS value, count_if(label = 0) AS safe, count_if(label = 1) AS toxic FROM labelled GROUP BY 1 ORDER BY count(*) DESC, value LIMIT 8")
+def crosstab_lang_toxic(spark, d):
+    return P.crosstab(labelled(spark, d), "dialect")
+
+
+@query(f"WITH {LABELLED} SELECT label, CAST(least(greatest(floor(length(text) / 20.0), 0), 49) AS INT) AS bin, count(*) AS n FROM labelled GROUP BY 1, 2")
+def length_histogram(spark, d):
+    return P.length_histogram(labelled(spark, d))
+
+
+@query(f"WITH {LABELLED} SELECT label, median(length(text)) AS median_length FROM labelled GROUP BY label")
+def length_median_by_class(spark, d):
+    return P.length_median(labelled(spark, d))
+
+
+@query("SELECT 'doc_id' AS \"column\", count_if(doc_id IS NULL) AS nulls, count(DISTINCT doc_id) AS distinct_values FROM documents UNION ALL SELECT 'text', count_if(text IS NULL), count(DISTINCT text) FROM documents UNION ALL SELECT 'lang', count_if(lang IS NULL), count(DISTINCT lang) FROM documents UNION ALL SELECT 'source', count_if(source IS NULL), count(DISTINCT source) FROM documents UNION ALL SELECT 'n_chars', count_if(n_chars IS NULL), count(DISTINCT n_chars) FROM documents")
+def profile_columns(spark, d):
+    return P.columns(table(spark, d, "documents")).select("column", "nulls", "distinct_values")
+
+
+@query("SELECT count(text) - count(DISTINCT text) AS n_duplicates FROM documents")
+def duplicate_count(spark, d):
+    return P.duplicates(table(spark, d, "documents"))
+
+
+# --- evaluation
+
+
+@query(f"WITH {PREDICTED} SELECT {CELLS} FROM predicted")
+def confusion(spark, d):
+    return E.confusion(predicted(spark, d))
+
+
+_PR = "coalesce(tp * 1.0 / nullif(tp + fp, 0), 0) AS p1, coalesce(tp * 1.0 / nullif(tp + fn, 0), 0) AS r1, coalesce(tn * 1.0 / nullif(tn + fn, 0), 0) AS p0, coalesce(tn * 1.0 / nullif(tn + fp, 0), 0) AS r0"
+_CHAIN = f"{PREDICTED}, c AS (SELECT {CELLS} FROM predicted), m AS (SELECT *, {_PR} FROM c), f AS (SELECT *, coalesce(2 * p1 * r1 / nullif(p1 + r1, 0), 0) AS f1, coalesce(2 * p0 * r0 / nullif(p0 + r0, 0), 0) AS f0, tp + fn AS n1, tn + fp AS n0, tp + fp + fn + tn AS n FROM m)"
+
+
+@query(f"WITH {_CHAIN} SELECT round((tp + tn) * 1.0 / n, 6) AS accuracy, round(p1, 6) AS precision_toxic, round(r1, 6) AS recall_toxic, round(f1, 6) AS f1_toxic, round(f0, 6) AS f1_safe, round((p1 * n1 + p0 * n0) / n, 6) AS precision_weighted, round((r1 * n1 + r0 * n0) / n, 6) AS recall_weighted, round((f1 * n1 + f0 * n0) / n, 6) AS f1_weighted FROM f")
+def prf_metrics(spark, d):
+    return E.metrics(predicted(spark, d))
+
+
+@query(f"WITH {_CHAIN} SELECT 'safe' AS class, round(p0, 6) AS precision, round(r0, 6) AS recall, round(f0, 6) AS f1, CAST(n0 AS BIGINT) AS support FROM f UNION ALL SELECT 'toxic', round(p1, 6), round(r1, 6), round(f1, 6), CAST(n1 AS BIGINT) FROM f UNION ALL SELECT 'macro', round((p0 + p1) / 2, 6), round((r0 + r1) / 2, 6), round((f0 + f1) / 2, 6), CAST(n AS BIGINT) FROM f UNION ALL SELECT 'weighted', round((p1 * n1 + p0 * n0) / n, 6), round((r1 * n1 + r0 * n0) / n, 6), round((f1 * n1 + f0 * n0) / n, 6), CAST(n AS BIGINT) FROM f")
+def classification_report(spark, d):
+    return E.report(predicted(spark, d))
+
+
+@query(f"WITH {LABELLED} SELECT 1.0::DOUBLE AS safe, round(count_if(label = 0) * 1.0 / greatest(count_if(label = 1), 1), 6) AS toxic FROM labelled")
+def class_weights(spark, d):
+    return E.class_weights(labelled(spark, d))
+
+
+@query(f"""WITH {PREDICTED}, g AS (SELECT 'overall' AS dimension, 'all' AS value, * FROM predicted UNION ALL SELECT 'source', source, * FROM predicted UNION ALL SELECT 'dialect', dialect, * FROM predicted UNION ALL SELECT 'quality', CAST(quality AS VARCHAR), * FROM predicted),
+c AS (SELECT dimension, value, count(*) AS n, {CELLS} FROM g GROUP BY 1, 2), m AS (SELECT *, {_PR} FROM c)
+SELECT dimension, value, n, tp, fp, fn, tn, round(p1, 6) AS precision, round(r1, 6) AS recall, round(coalesce(2 * p1 * r1 / nullif(p1 + r1, 0), 0), 6) AS f1 FROM m""")
+def grouping_sets_metrics(spark, d):
+    return E.by_dimensions(predicted(spark, d), ["source", "dialect", "quality"])
+
+
+@query(f"WITH {PREDICTED} SELECT source, count(*) AS n, count_if(label = predicted) AS ok, count_if(label = 0 AND predicted = 1) AS fp, count_if(label = 1 AND predicted = 0) AS fn, round(100.0 * count_if(label = predicted) / count(*), 4) AS accuracy, round((count(*) - count_if(label = 0 AND predicted = 1)) * 1.0 / count(*), 6) AS specificity, CASE WHEN round(100.0 * count_if(label = predicted) / count(*), 4) >= 80 THEN 'good' WHEN round(100.0 * count_if(label = predicted) / count(*), 4) >= 50 THEN 'fair' ELSE 'poor' END AS status FROM predicted GROUP BY source")
+def category_report(spark, d):
+    return E.by_category(predicted(spark, d), "source")
+
+
+@query(f"WITH {PREDICTED}, e AS (SELECT CASE predicted WHEN 1 THEN 'fp' ELSE 'fn' END AS error, source, doc_id FROM predicted WHERE label <> predicted) SELECT error, source, place, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY error, source ORDER BY doc_id) AS place FROM e) WHERE place <= 3")
+def error_slices_topn(spark, d):
+    return E.error_slices(predicted(spark, d), "doc_id", "source").withColumn("place", F.col("place").cast("long"))
+
+
+@query(f"WITH {PREDICTED} SELECT source, CASE WHEN dialect = 'en' THEN 'rule_headroom' ELSE 'model_ceiling' END AS bucket, count(*) AS n FROM predicted WHERE label = 1 AND predicted = 0 GROUP BY 1, 2")
+def miss_buckets(spark, d):
+    rows = predicted(spark, d).withColumn("obf", F.when(F.col("dialect") == "en", "plain").otherwise("other"))
+    return E.misses(rows, "source")
+
+
+@query(f"WITH {PREDICTED} SELECT CASE WHEN contains(text, 'idiot') THEN 'dict' ELSE 'resolver' END AS layer, count(*) AS n, count_if(label = 1) AS correct FROM predicted WHERE predicted = 1 GROUP BY 1")
+def layer_attribution(spark, d):
+    return E.by_layer(predicted(spark, d).withColumn("layer", F.when(F.col("text").contains("idiot"), "dict").otherwise("resolver")))
+
+
+@query(f"WITH {PREDICTED} SELECT dialect AS dataset, round(100 * avg(CAST(label = 0 AS DOUBLE)), 4) AS always_safe, round(100 * avg(CAST(label = predicted AS DOUBLE)), 4) AS predicted, round(round(100 * avg(CAST(label = predicted AS DOUBLE)), 4) - round(100 * avg(CAST(label = 0 AS DOUBLE)), 4), 4) AS difference FROM predicted GROUP BY 1")
+def model_comparison(spark, d):
+    return E.compare(predicted(spark, d).withColumn("dataset", F.col("dialect")).withColumn("always_safe", F.lit(0)), ["always_safe", "predicted"])
+
+
+@query("SELECT user_id, max(value) AS score, max_by(event_type, {'a': value, 'b': event_type}) AS candidate FROM events GROUP BY user_id")
+def cascade_max(spark, d):
+    rows = table(spark, d, "events").select("user_id", F.col("value").alias("score"), F.col("event_type").alias("candidate"))
+    return E.cascade(rows, "user_id")
+
+
+@query("SELECT user_id, n, CASE WHEN n >= 1000 THEN 1000 WHEN n >= 500 THEN 500 WHEN n >= 100 THEN 100 WHEN n >= 50 THEN 50 WHEN n >= 10 THEN 10 END AS tier FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)")
+def achievement_tier(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n")).select("user_id", "n", E.tier(F.col("n")).alias("tier"))
+
+
+# --- lexicon and rules
+
+
+@query(f"WITH t AS (SELECT doc_id, {TOKENS} AS tokens FROM documents) SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(tokens) AS token FROM t) WHERE token IN ('idiot', 'moron', 'stupid', 'the', 'thing') GROUP BY token")
+def lexicon_hits(spark, d):
+    positions = tokenized(spark, d).select("doc_id", F.explode("tokens").alias("token"))
+    hits = L.vocabulary_hits(positions.select("token").distinct(), lexicon(spark), stemming=False)
+    return positions.join(hits, "token").groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, {TOKENS} AS tokens FROM documents),
+r AS (SELECT doc_id, tokens, i, tokens[i] AS token, coalesce(tokens[i - 1] IN ('of', 'you') AND i > 1, false) AS aimed FROM (SELECT doc_id, tokens, unnest(range(1, len(tokens) + 1)) AS i FROM t) WHERE tokens[i] IN ('idiot', 'moron', 'stupid', 'the', 'thing')),
+f AS (SELECT doc_id, token, i, token IN ('idiot', 'moron', 'stupid') AS exact, token = 'the' AND aimed AS contextual, token = 'thing' AND (aimed OR len(tokens) = 1) AS pejorative FROM r)
+SELECT doc_id, bool_or(exact) AS exact, bool_or(contextual) AS contextual, bool_or(pejorative) AS pejorative, min_by(token, i) FILTER (exact OR contextual OR pejorative) AS culprit FROM f GROUP BY doc_id HAVING bool_or(exact) OR bool_or(contextual) OR bool_or(pejorative)""")
+def tiered_verdict(spark, d):
+    return L.match(tokenized(spark, d), lexicon(spark), cues=CUES, stemming=False)
+
+
+@query("SELECT doc_id FROM documents WHERE contains(text, 'in the') OR contains(text, 'of that')")
+def phrase_hits(spark, d):
+    return table(spark, d, "documents").where(L.phrase_hits(F.col("text"), ["in the", "of that"])).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE regexp_matches(text, 'idi[o0]t|mor+on')")
+def regex_hits(spark, d):
+    tokens = F.split("text", r"[\x20\x09-\x0D]+")
+    return table(spark, d, "documents").where(L.regex_hits(F.col("text"), tokens, ["idi[o0]t", "mor+on", "(broken"])).select("doc_id")
+
+
+@query("SELECT col0 AS term, col1 AS tier FROM (VALUES ('idiot', 'exact'), ('thing', 'pejorative'), ('the', 'contextual'), ('stupid', 'exact'), ('own', 'exact'))")
+def effective_lexicon(spark, d):
+    custom = spark.createDataFrame([("own", "exact", "word"), ("the", "exact", "word")], "term string, tier string, kind string")
+    allowed = spark.createDataFrame([("moron",)], "term string")
+    return L.effective(lexicon(spark), custom, allowed).where("kind = 'word'").select("term", "tier")
+
+
+@query()
+def layered_verdict(spark, d):
+    docs = table(spark, d, "documents")
+    return R.verdict(docs, lexicon(spark).where("tier = 'exact' AND kind = 'word'"), profile=None)
+
+
+@query()
+def resolver_repairs(spark, d):
+    # the documents hold no Arabic script: a disguised word is put before each text
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.array(F.lit("غىىىبي")), F.slice(F.split("text", " "), 1, 3)).alias("tokens"))
+    return R.resolve(docs, spark.createDataFrame([("غبي", "exact", "word")], "term string, tier string, kind string"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'error' THEN 0.9 WHEN 'click' THEN 0.2 WHEN 'view' THEN 0.85 ELSE 0.0 END AS score, event_type IN ('error', 'view') AS is_toxic FROM events")
+def emoji_flags(spark, d):
+    sign = F.when(F.col("event_type") == "error", "💩 x").when(F.col("event_type") == "click", "🐷 x").when(F.col("event_type") == "view", "you 🐷").otherwise("x")
+    return table(spark, d, "events").select("event_id", R.emoji(sign).alias("e")).select("event_id", "e.score", "e.is_toxic")
+
+
+# --- pages, settings, suites, scoring, streams
+
+
+@query("SELECT page_id, regexp_extract(url, '://([^/?#:]+)', 1) AS host FROM pages WHERE regexp_extract(url, '://([^/?#:]+)', 1) NOT IN (SELECT DISTINCT regexp_extract(url, '://([^/?#:]+)', 1) FROM pages WHERE page_id % 10 = 3)")
+def domain_gate(spark, d):
+    pages = table(spark, d, "pages").withColumn("host", T.host(F.col("url")))
+    return C.open_pages(pages, pages.where("page_id % 10 = 3")).select("page_id", "host")
+
+
+@query()
+def block_text(spark, d):
+    return H.page_blocks(table(spark, d, "pages"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'hide' ELSE 'blur' END AS mode, CASE WHEN page_id % 2 = 0 THEN 0.5 END AS threshold FROM pages")
+def settings_import(spark, d):
+    text = F.to_json(F.struct(F.when(F.expr("page_id % 3 = 0"), "hide").otherwise("paint").alias("mode"), F.when(F.expr("page_id % 2 = 0"), 0.5).otherwise(1.5).alias("threshold")))
+    return table(spark, d, "pages").select("page_id", C.parse(text).alias("s")).select("page_id", "s.mode", "s.threshold")
+
+
+@query("SELECT DISTINCT source AS word FROM documents UNION SELECT DISTINCT lang FROM documents")
+def share_code_round_trip(spark, d):
+    docs = table(spark, d, "documents")
+    return C.from_share_code(C.share_code(docs.select(F.col("source").alias("word"))), docs.select(F.col("lang").alias("word")).distinct())
+
+
+@query("SELECT word, array_to_string(string_split(word, ''), '.') AS dots, repeat(left(word, 1), 4) || substr(word, 2) AS elongate, left(word, length(word) // 2) || '*' || substr(word, length(word) // 2 + 1) AS mask FROM (SELECT DISTINCT source AS word FROM documents)")
+def suite_disguises(spark, d):
+    words = table(spark, d, "documents").select(F.col("source").alias("word")).distinct()
+    return words.select("word", *(c.alias(n) for n, c in G.disguises(F.col("word")).items() if n in ("dots", "elongate", "mask")))
+
+
+@query()
+def suite_generation(spark, d):
+    return G.generate(spark.createDataFrame(SUITE_SEEDS, "word string, expected int, dialect string, category string"), MORPHS, CARRIERS, 120)
+
+
+@query()
+def hard_negative_suite(spark, d):
+    texts = table(spark, d, "documents").select(F.col("source").alias("category"), F.left("text", F.lit(40)).alias("text"))
+    return G.hard_negatives(texts, ["{}", "he said {}"])
+
+
+def _toy_model():
+    return lambda texts: [[("Toxic", p := min(1.0, t.lower().count("idiot") / 2)), ("Safe", 1 - p)] for t in texts]
+
+
+@query("SELECT text, CASE WHEN n > 1 THEN 'TOXIC' ELSE 'SAFE' END AS label, CASE WHEN n >= 2 THEN 1.0 ELSE n / 2.0 END AS score FROM (SELECT text, (length(lower(text)) - length(replace(lower(text), 'idiot', ''))) // 5 AS n FROM (SELECT DISTINCT text FROM documents WHERE length(text) BETWEEN 3 AND 2000))")
+def batch_scoring(spark, d):
+    texts = table(spark, d, "documents").select("text").where(F.length("text").between(3, 2000)).distinct()
+    return M.classify(texts, _toy_model).select("text", M.reduce_scores(F.col("scores")).alias("r")).select("text", "r.label", "r.score")
+
+
+@query()
+def lockout_replay(spark, d):
+    tries = table(spark, d, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), (F.col("event_type") != "error").alias("success"))
+    return O.replay(tries)
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def running_counters(spark, d):
+    return O.counters(table(spark, d, "events"), "event_type")
+
 
 def queries() -> dict:
     return dict(QUERIES)
