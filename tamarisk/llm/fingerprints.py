@@ -4,7 +4,7 @@ A sketch is the sorted array of the ``k`` smallest 64-bit hashes of a text's dis
 shingles (runs of five words; with fewer words the whole sequence; none without words).
 Sketches of parts merge into the sketch of the whole, and two of them estimate
 resemblance, containment and the number of distinct shingles; below ``k`` shingles
-all of these are exact.
+of the union all of these are exact.
 """
 
 from __future__ import annotations

@@ -49,14 +49,18 @@ def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
 
 
 def buckets(line: Column, edits: int = EDITS) -> Column:
-    """array<struct<bucket, pivot>> of a line: its index entries (pivot) and its probes."""
+    """Buckets of a line as longs: of its index entries odd ones, of its probes even ones.
+
+    The lowest bit of a hash makes room for the mark; an index entry and a probe of one
+    segment differ in that bit only.
+    """
     length, out = F.length(line), []
     for less, i, shift in probes(edits):
         start, size = segment(length - less, i, edits)
         start = start + shift
         key = F.xxhash64(length - less, F.lit(i), F.substring(line, start + 1, size))
         fits = (start >= 0) & (start + size <= length)
-        out.append(F.when(fits, F.struct(key.alias("bucket"), F.lit(less == 0 and shift == 0).alias("pivot"))))
+        out.append(F.when(fits, key.bitwiseAND(-2).bitwiseOR(int(less == 0 and shift == 0))))
     return F.array_compact(F.array(*out))
 
 
@@ -147,7 +151,9 @@ def verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
 
 def lines_of(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """(id struct<d, t, pos>, line) of the lines that take part."""
-    keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    # the text's hash is taken below the explode, once a document and not once a line
+    keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("t"), F.split("text", "\n").alias("parts"))
+    keyed = keyed.select("d", "t", F.posexplode("parts").alias("pos", "line"))
     return keyed.where(F.length("line") >= shortest).select(F.struct("d", "t", "pos").alias("id"), "line")
 
 
@@ -167,7 +173,8 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, edits: int = EDITS, shorte
     lines = lines_of(docs, shortest)
     hashed = lines.select("id", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), buckets(F.col("line"), edits).alias("buckets"))
     distinct = hashed.groupBy("h1", "h2").agg(F.min_by(F.struct("id", "buckets"), "id").alias("first"))
-    members = distinct.select(F.col("first.id").alias("id"), F.explode("first.buckets").alias("b")).select("b.bucket", "id", "b.pivot")
+    members = distinct.select(F.col("first.id").alias("id"), F.explode("first.buckets").alias("b"))
+    members = members.select(F.col("b").bitwiseAND(-2).alias("bucket"), "id", (F.col("b").bitwiseAND(1) == 1).alias("pivot"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # one exchange serves the aggregation and both sides of the join
     members = members.repartition(parts, "bucket").groupBy("bucket", "id").agg(F.max("pivot").alias("pivot"))
@@ -201,7 +208,8 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -
     found = repeated_lines(own, scratch, edits, shortest).select(F.struct("d", "t").alias("gone_key"), "removed", "n_near")
     found = scratch.put(found, "found")
     keyed = docs.select(F.struct(*(docs[f"`{c}`"].alias(c) for c in names)).alias("row"), F.struct(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(docs["text"].cast("string")).alias("t")).alias("key"))
-    joined = keyed.join(found, F.col("key") == F.col("gone_key"), "left")
+    # one strategy at every size: what is found grows with the documents and is never broadcast
+    joined = keyed.join(found.hint("merge"), F.col("key") == F.col("gone_key"), "left")
     split = F.split(F.col("row.text").cast("string"), "\n")
     kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("removed", i)), "\n")
     text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(kept)
