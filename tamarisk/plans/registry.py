@@ -58,11 +58,14 @@ def tokenized(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("tokens"))
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, longs: str = "", doubles: str = ""):
+    """Registers a query with its twin; sums and literals of the twin are cast to Spark's types."""
+
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE[f.__name__] = sql
+            casts = [f"CAST({c} AS BIGINT) AS {c}" for c in longs.split()] + [f"CAST({c} AS DOUBLE) AS {c}" for c in doubles.split()]
+            ORACLE[f.__name__] = f"SELECT * REPLACE ({', '.join(casts)}) FROM ({sql})" if casts else sql
         return f
 
     return add
@@ -72,7 +75,7 @@ def query(sql: str | None = None):
 
 
 @query(f"""WITH {LABELLED}, voted AS (SELECT text, CAST(avg(label) > 0.5 AS INT) AS label, string_agg(DISTINCT source, '|' ORDER BY source) AS source FROM labelled GROUP BY text)
-SELECT split_part(source, '|', 1) AS source, count(*) AS n, sum(label) AS toxic, round(100.0 * sum(label) / count(*), 4) AS rate FROM voted GROUP BY 1""")
+SELECT split_part(source, '|', 1) AS source, count(*) AS n, sum(label) AS toxic, round(100.0 * sum(label) / count(*), 4) AS rate FROM voted GROUP BY 1""", longs="toxic")
 def flagship_toxic_rate(spark, d):
     voted = B.vote(labelled(spark, d))
     return P.toxic_rate(voted.withColumn("source", T.first_part(F.col("source"))))
@@ -137,7 +140,7 @@ FUNNEL = [("latin", "regexp_matches(text, '[a-z]')"), ("length", "length(text) B
 
 
 @query("""WITH f AS (SELECT count(*) AS a, count_if(regexp_matches(text, '[a-z]')) AS b, count_if(regexp_matches(text, '[a-z]') AND length(text) BETWEEN 3 AND 1000) AS c, count_if(regexp_matches(text, '[a-z]') AND length(text) BETWEEN 3 AND 1000 AND lang = 'en') AS e FROM documents)
-SELECT 0 AS place, 'raw' AS step, a AS n, round(100.0 * a / a, 4) AS pct FROM f UNION ALL SELECT 1, 'latin', b, round(100.0 * b / a, 4) FROM f UNION ALL SELECT 2, 'length', c, round(100.0 * c / a, 4) FROM f UNION ALL SELECT 3, 'english', e, round(100.0 * e / a, 4) FROM f""")
+SELECT 0 AS place, 'raw' AS step, a AS n, round(100.0 * a / a, 4) AS pct FROM f UNION ALL SELECT 1, 'latin', b, round(100.0 * b / a, 4) FROM f UNION ALL SELECT 2, 'length', c, round(100.0 * c / a, 4) FROM f UNION ALL SELECT 3, 'english', e, round(100.0 * e / a, 4) FROM f""", longs="n")
 def funnel_counts(spark, d):
     return P.funnel(table(spark, d, "documents"), [("latin", F.col("text").rlike("[a-z]")), ("length", F.length("text").between(3, 1000)), ("english", F.col("lang") == "en")])
 
@@ -227,22 +230,22 @@ def exploded_value_counts(spark, d):
 COVER = {c: [k for x, k in KEYWORDS if x == c] for c in sorted({c for c, _ in KEYWORDS})}
 
 
-@query(f"WITH {LABELLED}, t AS (SELECT text FROM labelled WHERE label = 1) " + " UNION ALL ".join(f"SELECT '{c}' AS category, CAST(sum({' + '.join(f'contains(text, {chr(39)}{k}{chr(39)})::BIGINT' for k in ks)}) AS BIGINT) AS hits, count_if({' OR '.join(f'contains(text, {chr(39)}{k}{chr(39)})' for k in ks)}) AS rows, round(100.0 * sum({' + '.join(f'contains(text, {chr(39)}{k}{chr(39)})::BIGINT' for k in ks)}) / count(*), 4) AS pct FROM t" for c, ks in COVER.items()))
+@query(f"WITH {LABELLED}, t AS (SELECT text FROM labelled WHERE label = 1) " + " UNION ALL ".join(f"SELECT '{c}' AS category, CAST(sum({' + '.join(f'contains(text, {chr(39)}{k}{chr(39)})::BIGINT' for k in ks)}) AS BIGINT) AS hits, count_if({' OR '.join(f'contains(text, {chr(39)}{k}{chr(39)})' for k in ks)}) AS rows, round(100.0 * sum({' + '.join(f'contains(text, {chr(39)}{k}{chr(39)})::BIGINT' for k in ks)}) / count(*), 4) AS pct FROM t" for c, ks in COVER.items()), longs="rows")
 def keyword_coverage(spark, d):
     return P.keyword_coverage(labelled(spark, d), spark.createDataFrame(KEYWORDS, "category string, keyword string"))
 
 
-@query(f"WITH {LABELLED} SELECT source, count(*) AS n, sum(label) AS toxic, round(100.0 * sum(label) / count(*), 4) AS rate FROM labelled GROUP BY source")
+@query(f"WITH {LABELLED} SELECT source, count(*) AS n, sum(label) AS toxic, round(100.0 * sum(label) / count(*), 4) AS rate FROM labelled GROUP BY source", longs="toxic")
 def toxic_rate_by_source(spark, d):
     return P.toxic_rate(labelled(spark, d))
 
 
-@query(f"WITH {LABELLED}, top AS (SELECT split_part(source, '|', 1) AS name, count(*) AS own FROM labelled GROUP BY 1 ORDER BY own DESC, name LIMIT 25) SELECT name, count(*) AS n, sum(label) AS toxic, round(100.0 * sum(label) / count(*), 4) AS rate FROM labelled JOIN top ON contains(source, name) GROUP BY name")
+@query(f"WITH {LABELLED}, top AS (SELECT split_part(source, '|', 1) AS name, count(*) AS own FROM labelled GROUP BY 1 ORDER BY own DESC, name LIMIT 25) SELECT name, count(*) AS n, sum(label) AS toxic, round(100.0 * sum(label) / count(*), 4) AS rate FROM labelled JOIN top ON contains(source, name) GROUP BY name", longs="toxic")
 def toxic_rate_by_substring(spark, d):
     return P.toxic_rate_by_substring(labelled(spark, d))
 
 
-@query(f"WITH {LABELLED} SELECT dialect AS value, count_if(label = 0) AS safe, count_if(label = 1) AS toxic FROM labelled GROUP BY 1 ORDER BY count(*) DESC, value LIMIT 8")
+@query(f"WITH {LABELLED} SELECT dialect AS value, count_if(label = 0) AS safe, count_if(label = 1) AS toxic FROM labelled GROUP BY 1 ORDER BY count(*) DESC, value LIMIT 8", longs="safe toxic")
 def crosstab_lang_toxic(spark, d):
     return P.crosstab(labelled(spark, d), "dialect")
 
@@ -257,7 +260,7 @@ def length_median_by_class(spark, d):
     return P.length_median(labelled(spark, d))
 
 
-@query("SELECT 'doc_id' AS \"column\", count_if(doc_id IS NULL) AS nulls, count(DISTINCT doc_id) AS distinct_values FROM documents UNION ALL SELECT 'text', count_if(text IS NULL), count(DISTINCT text) FROM documents UNION ALL SELECT 'lang', count_if(lang IS NULL), count(DISTINCT lang) FROM documents UNION ALL SELECT 'source', count_if(source IS NULL), count(DISTINCT source) FROM documents UNION ALL SELECT 'n_chars', count_if(n_chars IS NULL), count(DISTINCT n_chars) FROM documents")
+@query("SELECT 'doc_id' AS \"column\", count_if(doc_id IS NULL) AS nulls, count(DISTINCT doc_id) AS distinct_values FROM documents UNION ALL SELECT 'text', count_if(text IS NULL), count(DISTINCT text) FROM documents UNION ALL SELECT 'lang', count_if(lang IS NULL), count(DISTINCT lang) FROM documents UNION ALL SELECT 'source', count_if(source IS NULL), count(DISTINCT source) FROM documents UNION ALL SELECT 'n_chars', count_if(n_chars IS NULL), count(DISTINCT n_chars) FROM documents", longs="nulls")
 def profile_columns(spark, d):
     return P.columns(table(spark, d, "documents")).select("column", "nulls", "distinct_values")
 
@@ -270,7 +273,7 @@ def duplicate_count(spark, d):
 # --- evaluation
 
 
-@query(f"WITH {PREDICTED} SELECT {CELLS} FROM predicted")
+@query(f"WITH {PREDICTED} SELECT {CELLS} FROM predicted", longs="tp fp fn tn")
 def confusion(spark, d):
     return E.confusion(predicted(spark, d))
 
@@ -296,12 +299,12 @@ def class_weights(spark, d):
 
 @query(f"""WITH {PREDICTED}, g AS (SELECT 'overall' AS dimension, 'all' AS value, * FROM predicted UNION ALL SELECT 'source', source, * FROM predicted UNION ALL SELECT 'dialect', dialect, * FROM predicted UNION ALL SELECT 'quality', CAST(quality AS VARCHAR), * FROM predicted),
 c AS (SELECT dimension, value, count(*) AS n, {CELLS} FROM g GROUP BY 1, 2), m AS (SELECT *, {_PR} FROM c)
-SELECT dimension, value, n, tp, fp, fn, tn, round(p1, 6) AS precision, round(r1, 6) AS recall, round(coalesce(2 * p1 * r1 / nullif(p1 + r1, 0), 0), 6) AS f1 FROM m""")
+SELECT dimension, value, n, tp, fp, fn, tn, round(p1, 6) AS precision, round(r1, 6) AS recall, round(coalesce(2 * p1 * r1 / nullif(p1 + r1, 0), 0), 6) AS f1 FROM m""", longs="tp fp fn tn")
 def grouping_sets_metrics(spark, d):
     return E.by_dimensions(predicted(spark, d), ["source", "dialect", "quality"])
 
 
-@query(f"WITH {PREDICTED} SELECT source, count(*) AS n, count_if(label = predicted) AS ok, count_if(label = 0 AND predicted = 1) AS fp, count_if(label = 1 AND predicted = 0) AS fn, round(100.0 * count_if(label = predicted) / count(*), 4) AS accuracy, round((count(*) - count_if(label = 0 AND predicted = 1)) * 1.0 / count(*), 6) AS specificity, CASE WHEN round(100.0 * count_if(label = predicted) / count(*), 4) >= 80 THEN 'good' WHEN round(100.0 * count_if(label = predicted) / count(*), 4) >= 50 THEN 'fair' ELSE 'poor' END AS status FROM predicted GROUP BY source")
+@query(f"WITH {PREDICTED} SELECT source, count(*) AS n, count_if(label = predicted) AS ok, count_if(label = 0 AND predicted = 1) AS fp, count_if(label = 1 AND predicted = 0) AS fn, round(100.0 * count_if(label = predicted) / count(*), 4) AS accuracy, round((count(*) - count_if(label = 0 AND predicted = 1)) * 1.0 / count(*), 6) AS specificity, CASE WHEN round(100.0 * count_if(label = predicted) / count(*), 4) >= 80 THEN 'good' WHEN round(100.0 * count_if(label = predicted) / count(*), 4) >= 50 THEN 'fair' ELSE 'poor' END AS status FROM predicted GROUP BY source", longs="ok fp fn")
 def category_report(spark, d):
     return E.by_category(predicted(spark, d), "source")
 
@@ -317,7 +320,7 @@ def miss_buckets(spark, d):
     return E.misses(rows, "source")
 
 
-@query(f"WITH {PREDICTED} SELECT CASE WHEN contains(text, 'idiot') THEN 'dict' ELSE 'resolver' END AS layer, count(*) AS n, count_if(label = 1) AS correct FROM predicted WHERE predicted = 1 GROUP BY 1")
+@query(f"WITH {PREDICTED} SELECT CASE WHEN contains(text, 'idiot') THEN 'dict' ELSE 'resolver' END AS layer, count(*) AS n, count_if(label = 1) AS correct FROM predicted WHERE predicted = 1 GROUP BY 1", longs="correct")
 def layer_attribution(spark, d):
     return E.by_layer(predicted(spark, d).withColumn("layer", F.when(F.col("text").contains("idiot"), "dict").otherwise("resolver")))
 
@@ -387,7 +390,7 @@ def resolver_repairs(spark, d):
     return R.resolve(docs, spark.createDataFrame([("غبي", "exact", "word")], "term string, tier string, kind string"))
 
 
-@query("SELECT event_id, CASE event_type WHEN 'error' THEN 0.9 WHEN 'click' THEN 0.2 WHEN 'view' THEN 0.85 ELSE 0.0 END AS score, event_type IN ('error', 'view') AS is_toxic FROM events")
+@query("SELECT event_id, CASE event_type WHEN 'error' THEN 0.9 WHEN 'click' THEN 0.2 WHEN 'view' THEN 0.85 ELSE 0.0 END AS score, event_type IN ('error', 'view') AS is_toxic FROM events", doubles="score")
 def emoji_flags(spark, d):
     sign = F.when(F.col("event_type") == "error", "💩 x").when(F.col("event_type") == "click", "🐷 x").when(F.col("event_type") == "view", "you 🐷").otherwise("x")
     return table(spark, d, "events").select("event_id", R.emoji(sign).alias("e")).select("event_id", "e.score", "e.is_toxic")
@@ -407,7 +410,7 @@ def block_text(spark, d):
     return H.page_blocks(table(spark, d, "pages"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'hide' ELSE 'blur' END AS mode, CASE WHEN page_id % 2 = 0 THEN 0.5 END AS threshold FROM pages")
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'hide' ELSE 'blur' END AS mode, CASE WHEN page_id % 2 = 0 THEN 0.5 END AS threshold FROM pages", doubles="threshold")
 def settings_import(spark, d):
     text = F.to_json(F.struct(F.when(F.expr("page_id % 3 = 0"), "hide").otherwise("paint").alias("mode"), F.when(F.expr("page_id % 2 = 0"), 0.5).otherwise(1.5).alias("threshold")))
     return table(spark, d, "pages").select("page_id", C.parse(text).alias("s")).select("page_id", "s.mode", "s.threshold")
