@@ -460,6 +460,67 @@ def running_counters(spark, d):
     return O.counters(table(spark, d, "events"), "event_type")
 
 
+# --- more predicates, look-ups and streams
+
+
+@query("SELECT doc_id FROM documents WHERE length(text) BETWEEN 3 AND 1000 AND NOT contains(text, chr(65533))")
+def length_window(spark, d):
+    return table(spark, d, "documents").where(F.length("text").between(3, 1000) & ~T.has_mojibake(F.col("text"))).select("doc_id")
+
+
+@query(f"SELECT doc_id FROM documents WHERE length(text) >= 3 AND len({TOKENS}) >= 3")
+def model_gate(spark, d):
+    return table(spark, d, "documents").where(R.gate(F.col("text"))).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(text, 'thing') OR contains(text, 'ción')")
+def partial_hits(spark, d):
+    return table(spark, d, "documents").where(L.partial_hits(F.col("text"), ["thing", "ción", "x", "moron"], ("moron",))).select("doc_id")
+
+
+@query(f"WITH {LABELLED}, c AS (SELECT source AS text FROM labelled GROUP BY source HAVING avg(label) > 0 AND avg(label) < 1 ORDER BY source LIMIT 200) SELECT doc_id, source FROM labelled WHERE source IN (SELECT text FROM c)")
+def conflict_rows(spark, d):
+    rows = labelled(spark, d)
+    few = B.conflicts(rows.select(F.col("source").alias("text"), "label")).orderBy("text").limit(200).select(F.col("text").alias("source"))
+    return rows.join(few, "source", "left_semi").select("doc_id", "source")
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 80 THEN left(text, 80) || '…' ELSE text END AS shown FROM documents")
+def truncated(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.truncate(F.col("text"), 80, "…").alias("shown"))
+
+
+@query("SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS predicted FROM embeddings")
+def argmax(spark, d):
+    logits = F.transform("embedding", lambda x: x.cast("double"))
+    return table(spark, d, "embeddings").select("vec_id", M.softmax(logits).alias("s")).select("vec_id", "s.predicted")
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def windowed_counts(spark, d):
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return O.windowed(events, "event_type").select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
+
+
+@query("SELECT conv_id, count(*) AS n_turns FROM (SELECT DISTINCT conv_id, turn FROM conversations) GROUP BY conv_id")
+def distinct_turns(spark, d):
+    turns = table(spark, d, "conversations").dropDuplicates(["conv_id", "turn"])
+    return turns.groupBy("conv_id").agg(F.count("*").alias("n_turns"))
+
+
+@query()
+def sentence_candidates(spark, d):
+    # the documents hold no Arabic script: a disguised word is put before the first words of each text
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.array(F.lit("غىىىبي")), F.slice(F.split("text", " "), 1, 2)).alias("tokens"))
+    return R.sentence_candidates(docs)
+
+
+@query()
+def match_all_forms(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
+    return L.match_forms(docs, lexicon(spark).where("tier = 'exact' AND kind = 'word'"), stemming=False)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
