@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from tamarisk.llm.store import Scratch
 
-#: Pivots of a bucket in each round; the last number grows on by itself.
-PIVOTS = (1, 4)
+#: Items of a bucket of which all pairs are tested once its centre has been; a larger bucket
+#: gets as many pivots then, and in each further round ``MORE_PIVOTS`` times as many.
+SMALL = 64
 MORE_PIVOTS = 8
 
 
@@ -67,22 +68,25 @@ def components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scr
     pivots, turn = 1, 0
     while True:
         first = early is not None and turn == 0
-        pivots = PIVOTS[turn] if turn < len(PIVOTS) else pivots * MORE_PIVOTS
+        centre = turn <= (early is not None)
+        pivots = 1 if centre else SMALL if pivots == 1 else pivots * MORE_PIVOTS
         turn += 1
         now = rows
         if labels is not None:
-            now = rows.drop("component").join(labels, "id", "left").select("bucket", "id", "pivot", "weight", "early", F.coalesce("component", "id").alias("component"))
+            now = rows.drop("component", "size").join(labels, "id", "left").select("bucket", "id", "pivot", "weight", "early", F.coalesce("component", "id").alias("component"))
         else:
             now = rows.select("bucket", "id", "pivot", "weight", "early", F.col("id").alias("component"))
-        open_ = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("pivot").alias("any")).where("lo < hi AND any").select("bucket")
-        following = scratch.put(now.join(open_, "bucket", "left_semi"), "rows")
+        open_ = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("pivot").alias("any"), F.count("*").alias("size")).where("lo < hi AND any").select("bucket", "size")
+        following = scratch.put(now.join(open_, "bucket"), "rows")
         scratch.drop(rows)
         rows = following
         if not rows.limit(1).count():
             scratch.drop(rows)
             return labels, links
         tried = rows.where(early) if first else rows
-        chosen = tried.where("pivot").groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(pivots)).alias("s")).agg(F.max_by(F.struct("id", "component"), F.struct("weight", F.xxhash64("id"))).alias("p")).select("bucket", "p.*")
+        small = F.lit(not centre) & (F.col("size") <= SMALL)
+        share = F.when(small, F.xxhash64("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(pivots)))
+        chosen = tried.where("pivot").groupBy("bucket", share.alias("s")).agg(F.max_by(F.struct("id", "component"), F.struct("weight", F.xxhash64("id"))).alias("p")).select("bucket", "p.*")
         p = chosen.select(F.col("bucket").alias("b_"), F.col("id").alias("p_id"), F.col("component").alias("p_component"))
         pairs = tried.join(p, (tried.bucket == p.b_) & (tried.component != p.p_component)).select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
         if tested is not None:
