@@ -1,11 +1,12 @@
 """Near-duplicate lines by a segment-partition edit join, in DataFrame functions only.
 
-A line within ``edits`` of another keeps at least one of the other's ``edits + 1``
-segments unchanged, at a place that is off by at most ``edits``. Every line is indexed
-under its segments and its length, and probes, for each length that a partner may
-have, the substrings that can face a segment (the multi-match-aware windows). Lines
-that meet in a bucket are verified by a banded bit-parallel edit distance; linked
-lines form components, of which the first line stays.
+Two lines within ``edits`` of each other keep at least one of the first ``edits + 1``
+segments of the shorter one unchanged, at a place that is off by at most ``edits``. The
+size of a segment is fixed for a class of lengths. Every line is indexed under its
+segments and probes with the substrings that can face a segment of a partner of no more
+length (a multi-match-aware window without the partner's length). Lines that meet in a
+bucket are verified by a banded bit-parallel edit distance; linked lines form components,
+of which the first line stays.
 
 Equal lines are one item from the first aggregation on, which the map side starts.
 Only lines that share a bucket are read again as text; a Bloom filter of fixed size,
@@ -22,6 +23,10 @@ from tamarisk.llm.linking import components
 from tamarisk.llm.store import Scratch
 
 EDITS = 1
+#: (code points, edits): what op4_lines and the pipeline allow, one edit for each 20 code points of the shorter line.
+BY_LENGTH = ((20, 1), (40, 2), (60, 3), (80, 4))
+#: Lines of more code points are one class of lengths.
+LONG = 2000
 #: Shorter lines (code points) always stay: headings, list marks, blank lines.
 SHORTEST = 20
 #: 64-bit words of the Bloom filter; its table has at most so many rows.
@@ -29,47 +34,65 @@ FILTER_WORDS = 1 << 17
 NO_ID = -(1 << 63)
 
 
-def probes(edits: int) -> list[tuple[int, int, int]]:
-    """(length difference, segment, shift) of all substrings that can face a segment of a shorter or equal line."""
-    out = []
-    for less in range(edits + 1):
-        for i in range(1, edits + 2):
-            low = max(-(i - 1), less - (edits + 1 - i))
-            high = min(i - 1, less + (edits + 1 - i))
-            out += [(less, i, shift) for shift in range(low, high + 1)]
+def classes(edits: int | tuple[tuple[int, int], ...], shortest: int) -> list[tuple[int, float, int, int]]:
+    """(low, high, edits, size of a segment) of the classes of lengths; ``edits`` + 1 segments fit into each line of a class."""
+    steps = ((shortest, edits),) if isinstance(edits, int) else tuple((max(low, shortest), e) for low, e in edits)
+    out: list[tuple[int, float, int, int]] = []
+    for (low, e), above in zip(steps, [*(x for x, _ in steps[1:]), float("inf")], strict=True):
+        while low < above:
+            high = min(above, max(low + 8, low + low // 2)) if low < LONG else above
+            out.append((low, high, e, low // (e + 1)))
+            low = high
     return out
 
 
-def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """(start from 0, length) of the i-th of ``edits + 1`` segments; the last ones are longer by one where needed."""
-    parts = edits + 1
-    base = F.floor(length / parts).cast("int")
-    longer = length - base * parts
-    return base * (i - 1) + F.greatest(F.lit(i - 1 - parts) + longer, F.lit(0)), base + F.when(F.lit(i) > parts - longer, 1).otherwise(0)
+def probes(edits: int) -> list[tuple[int, int]]:
+    """(segment, shift): where in a line of the same or more length a segment of a partner can stand.
+
+    Of ``edits`` + 1 segments one, the i-th, is unchanged after exactly i - 1 edits (none where i is 1), so
+    it is off by i - 1 at most; and as the partner is no longer, what is lost before it is gained behind it.
+    """
+    return [(i, shift) for i in range(1, edits + 2) for shift in range(-min(i - 1, edits + 1 - i), i)]
+
+
+def allowed(length: Column, edits: int | tuple[tuple[int, int], ...]) -> Column:
+    """The edits that two lines may be apart, by the length of the shorter one."""
+    if isinstance(edits, int):
+        return F.lit(edits)
+    out = F.lit(edits[0][1])
+    for low, e in edits[1:]:
+        out = F.when(length >= low, e).otherwise(out)
+    return out
 
 
-def buckets(line: Column, edits: int = EDITS) -> Column:
+def buckets(line: Column, length: Column, edits: int | tuple[tuple[int, int], ...] = EDITS, shortest: int = SHORTEST) -> Column:
     """Buckets of a line as longs: of its index entries odd ones, of its probes even ones.
 
     The lowest bit of a hash makes room for the mark; an index entry and a probe of one
-    segment differ in that bit only.
+    segment differ in that bit only. A line has index entries of its own class of lengths
+    and probes of every class that a partner of no more length may be in.
     """
-    length, out = F.length(line), []
-    for less, i, shift in probes(edits):
-        start, size = segment(length - less, i, edits)
-        start = start + shift
-        key = F.xxhash64(length - less, F.lit(i), F.substring(line, start + 1, size))
-        fits = (start >= 0) & (start + size <= length)
-        out.append(F.when(fits, key.bitwiseAND(-2).bitwiseOR(int(less == 0 and shift == 0))))
-    return F.array_compact(F.array(*out))
-
-
-def within(a: Column, b: Column, edits: int = EDITS) -> Column:
+    every = classes(edits, shortest)
+    ends = sorted({x for low, high, e, _ in every for x in (low, high, high + e)})
+    out = F.array().cast("array<struct<tag:int,start:int,size:int,mark:bigint>>")
+    for least in ends[:-1]:
+        found = []
+        for c, (low, high, e, size) in enumerate(every):
+            if low <= least < high + e:
+                marked = least < high
+                found += [f"struct({c * 8 + i} AS tag, {at} AS start, {size} AS size, {int(marked and shift == 0)}L AS mark)" for i, shift in probes(e) if (at := (i - 1) * size + shift) >= 0]
+        out = F.when(length >= least, F.expr(f"array({', '.join(found)})")).otherwise(out)
+    fitting = F.filter(out, lambda p: p["start"] + p["size"] <= length)
+    return F.transform(fitting, lambda p: F.xxhash64(p["tag"], F.substring(line, p["start"] + 1, p["size"])).bitwiseAND(-2).bitwiseOR(p["mark"]))
+
+
+def within(a: Column, b: Column, edits: int = EDITS, most: Column | None = None) -> Column:
     """Whether two arrays of characters are at most ``edits`` insertions, deletions or substitutions apart.
 
     Bit-parallel over the band: bit d of level e says that after some characters of ``b``,
     e edits at most lead to d - edits characters more of ``a``. All levels and diagonals
-    move with a few word operations for each character of ``b``.
+    move with a few word operations for each character of ``b``. ``most``, where given, is a
+    row's own number of edits, ``edits`` at most.
     """
     width = 2 * edits + 1
     mask = (1 << width) - 1
@@ -96,10 +119,15 @@ def within(a: Column, b: Column, edits: int = EDITS) -> Column:
         for d in range(width):
             same = same + F.when(F.get(a, j + (d - edits)) == c, F.lit(1 << d).cast("long")).otherwise(F.lit(0).cast("long"))
         old = [level(state, e) for e in range(edits + 1)]
-        new = [old[0].bitwiseAND(same)]
-        for e in range(1, edits + 1):
-            new.append(old[e].bitwiseAND(same).bitwiseOR(old[e - 1]).bitwiseOR(F.shiftrightunsigned(old[e - 1], 1)))
-        return F.when(state == 0, state).otherwise(packed(closed(new)))
+
+        def moved(same: Column) -> Column:
+            new = [old[0].bitwiseAND(same)]
+            for e in range(1, edits + 1):
+                new.append(old[e].bitwiseAND(same).bitwiseOR(old[e - 1]).bitwiseOR(F.shiftrightunsigned(old[e - 1], 1)))
+            return packed(closed(new))
+
+        # a lambda variable: compared once a character, not once a level
+        return F.when(state == 0, state).otherwise(F.get(F.transform(F.array(same), moved), F.lit(0)))
 
     start = 0
     for e in range(edits + 1):
@@ -108,7 +136,7 @@ def within(a: Column, b: Column, edits: int = EDITS) -> Column:
     end = F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), F.lit(start).cast("long"), step)
     end = F.when(F.size(b) == 0, F.lit(start).cast("long")).otherwise(end)
     diagonal = F.size(a) - F.size(b) + edits
-    bit = F.least(F.greatest(diagonal, F.lit(0)), F.lit(width - 1)) + edits * width
+    bit = F.least(F.greatest(diagonal, F.lit(0)), F.lit(width - 1)) + (F.lit(edits) if most is None else most) * width
     return diagonal.between(0, width - 1) & (F.getbit(end, bit) == 1)
 
 
@@ -136,14 +164,16 @@ def trimmed(x: Column, y: Column, steps: int = 6) -> Column:
     return out
 
 
-def verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, edits: int | tuple[tuple[int, int], ...]) -> DataFrame:
     """Of pairs (a, b) of line ids those within the distance."""
     first = texts.select(F.col("id").alias("a"), F.col("line").alias("x"))
     second = texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
-    both = pairs.join(first, "a").join(second, "b").where(F.abs(F.length("x") - F.length("y")) <= edits)
+    both = pairs.join(first, "a").join(second, "b").withColumn("most", allowed(F.least(F.length("x"), F.length("y")), edits))
+    both = both.where(F.abs(F.length("x") - F.length("y")) <= F.col("most"))
     chars = lambda c: F.when(F.length(c) == 0, F.array().cast("array<string>")).otherwise(F.split(c, ""))
     alike = F.transform(trimmed(F.col("x"), F.col("y")), lambda s: F.struct(chars(s.x).alias("x"), chars(s.y).alias("y")))
-    alike = F.exists(alike, lambda s: within(s.x, s.y, edits))
+    top = edits if isinstance(edits, int) else max(e for _, e in edits)
+    alike = F.exists(alike, lambda s: within(s.x, s.y, top, F.col("most")))
     # few bytes but much work: dealt anew, so that all cores take part
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return both.repartition(parts, "a", "b").where(alike).select("a", "b")
@@ -168,10 +198,12 @@ def filtered(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return maybe.select("id", "line").join(wanted, "id", "left_semi")
 
 
-def repeated_lines(docs: DataFrame, scratch: Scratch, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
+def repeated_lines(docs: DataFrame, scratch: Scratch, edits: int | tuple[tuple[int, int], ...] = EDITS, shortest: int = SHORTEST) -> DataFrame:
     """(d, t, removed array<int>, n_near): the positions of the lines of each document that go."""
     lines = lines_of(docs, shortest)
-    hashed = lines.select("id", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), buckets(F.col("line"), edits).alias("buckets"))
+    # the length walks the whole line: a column, so that it is taken once
+    measured = lines.select("id", "line", F.length("line").alias("n"))
+    hashed = measured.select("id", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), buckets(F.col("line"), F.col("n"), edits, shortest).alias("buckets"))
     distinct = hashed.groupBy("h1", "h2").agg(F.min_by(F.struct("id", "buckets"), "id").alias("first"))
     members = distinct.select(F.col("first.id").alias("id"), F.explode("first.buckets").alias("b"))
     members = members.select(F.col("b").bitwiseAND(-2).alias("bucket"), "id", (F.col("b").bitwiseAND(1) == 1).alias("pivot"))
@@ -193,11 +225,12 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, edits: int = EDITS, shorte
     return gone.groupBy("id.d", "id.t").agg(F.collect_set("id.pos").alias("removed"), F.count_if(F.col("id") == F.col("first")).alias("n_near"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int | tuple[tuple[int, int], ...] = EDITS, shortest: int = SHORTEST) -> DataFrame:
     """``docs`` with ``text`` reduced to the lines that stay, and ``n_lines``, ``n_removed``, ``n_near``.
 
     Of each component of near-equal lines the first by (doc_id, line) stays, everywhere else
-    they go; lines under ``shortest`` code points stay. Null text stays null, without lines.
+    they go; lines under ``shortest`` code points stay. ``edits`` is a number or, by the length of
+    the shorter line, rising steps (code points, edits). Null text stays null, without lines.
     Rows with equal doc_id and text are one document and come out alike; rows that share only
     the doc_id are ordered by a hash of their text; a null doc_id comes before all others.
     An empty table gives an empty result. All other columns pass through.

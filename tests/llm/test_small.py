@@ -213,6 +213,60 @@ def test_lines(spark, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def near_groups(items, most):
+    """(document, place) of all but the first of each component, by all pairs."""
+    root = list(range(len(items)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(items)), 2):
+        s, t = items[a][2], items[b][2]
+        if s == t or (k := most(min(len(s), len(t)))) and abs(len(s) - len(t)) <= k and distance(s, t) <= k:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {items[x][:2] for x in range(len(items)) if find(x) != x}
+
+
+def test_lines_by_length(spark):
+    """Threshold by length as registered: at each number of edits up to one more than it, over the steps' borders."""
+    from tamarisk.llm import lines
+
+    rng = random.Random(9)
+
+    def edited(s, n):
+        for _ in range(n):
+            at = rng.randrange(len(s))
+            s = rng.choice((s[:at] + "é" + s[at:], s[:at] + s[at + 1 :], s[:at] + "z" + s[at + 1 :]))
+        return s
+
+    texts = []
+    for n in (21, 30, 38, 40, 42, 58, 61, 79, 80, 83, 120, 122, 300):
+        base = "".join(rng.choice("abcd ") for _ in range(n))
+        texts += [base] + [edited(base, k) for k in (1, 2, 3, 4, 5, 5)]
+    rng.shuffle(texts)
+    rows = [(i, "\n".join(texts[i * 7 : i * 7 + 7])) for i in range(13)]
+    items = [(i, p, x) for i, t in rows for p, x in enumerate(t.split("\n")) if len(x) >= 20]
+    gone = near_groups(items, lambda n: min(n // 20, 4))
+    found = by_id(lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), lines.BY_LENGTH))
+    for i, t in rows:
+        assert found[i].text == "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in gone)
+
+
+def test_line_queries_use_the_threshold(spark, tmp_path):
+    """A changed short word, three edits, is found by the query and the stage."""
+    import corpus_pipeline
+    from tamarisk.llm import queries
+
+    line = "the committee met again in spring to talk about the %s of the old bridge over the river"
+    df = spark.createDataFrame([(1, line % "cost", "en", "s", 0), (2, line % "rest", "en", "s", 0), (3, line % "removal", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n_near for r in queries.op4_lines(spark, str(tmp_path)).collect()} == {1: 0, 2: 1, 3: 0}
+    assert {r.doc_id: r.text == "" for r in corpus_pipeline.line_dedup(spark, df, "").collect()} == {1: False, 2: True, 3: False}
+
+
 def test_quality_counts(docs, empty, texts):
     from tamarisk.llm import quality
 
