@@ -31,7 +31,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that (nearly) equal an earlier one; a document may end up empty."""
-    return _like(docs, lines.dedup_lines(docs, lines.BY_LENGTH))
+    return _like(docs, lines.dedup_lines(docs, lines.BY_LENGTH, exact=True))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

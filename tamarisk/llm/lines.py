@@ -27,7 +27,7 @@ EDITS = 1
 BY_LENGTH = ((20, 1), (40, 2), (60, 3), (80, 4))
 #: Lines of more code points are one class of lengths.
 LONG = 2000
-#: Shorter lines (code points) always stay: headings, list marks, blank lines.
+#: Shorter lines (code points) have no near copies; equal ones go only with ``exact``.
 SHORTEST = 20
 #: 64-bit words of the Bloom filter; its table has at most so many rows.
 FILTER_WORDS = 1 << 17
@@ -179,12 +179,15 @@ def verified(pairs: DataFrame, texts: DataFrame, edits: int | tuple[tuple[int, i
     return both.repartition(parts, "a", "b").where(alike).select("a", "b")
 
 
-def lines_of(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
-    """(id struct<d, t, pos>, line) of the lines that take part."""
+def lines_of(docs: DataFrame, shortest: int = SHORTEST, words: bool = False) -> DataFrame:
+    """(id struct<d, t, pos>, line) of the lines that take part; with ``words`` shorter ones with a letter or digit, too."""
     # the text's hash is taken below the explode, once a document and not once a line
     keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("t"), F.split("text", "\n").alias("parts"))
     keyed = keyed.select("d", "t", F.posexplode("parts").alias("pos", "line"))
-    return keyed.where(F.length("line") >= shortest).select(F.struct("d", "t", "pos").alias("id"), "line")
+    part = F.length("line") >= shortest
+    if words:
+        part = part | F.col("line").rlike(r"[\p{L}\p{N}]")
+    return keyed.where(part).select(F.struct("d", "t", "pos").alias("id"), "line")
 
 
 def filtered(lines: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -198,7 +201,7 @@ def filtered(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return maybe.select("id", "line").join(wanted, "id", "left_semi")
 
 
-def repeated_lines(docs: DataFrame, scratch: Scratch, edits: int | tuple[tuple[int, int], ...] = EDITS, shortest: int = SHORTEST) -> DataFrame:
+def repeated_lines(docs: DataFrame, scratch: Scratch, edits: int | tuple[tuple[int, int], ...] = EDITS, shortest: int = SHORTEST, exact: bool = False) -> DataFrame:
     """(d, t, removed array<int>, n_near): the positions of the lines of each document that go."""
     lines = lines_of(docs, shortest)
     # the length walks the whole line: a column, so that it is taken once
@@ -215,7 +218,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, edits: int | tuple[tuple[i
     texts = scratch.put(filtered(lines, members.select("id").distinct()), "texts")
     labels, _ = components(members, lambda pairs: verified(pairs, texts, edits), scratch)
     scratch.drop(members, texts)
-    plain = lines.select("id", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
+    plain = lines_of(docs, shortest, exact).select("id", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
     firsts = plain.groupBy("h1", "h2").agg(F.min("id").alias("first"))
     if labels is not None:
         firsts = firsts.join(labels.select(F.col("id").alias("first"), "component"), "first", "left").select("h1", "h2", "first", F.coalesce("component", "first").alias("root"))
@@ -225,11 +228,12 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, edits: int | tuple[tuple[i
     return gone.groupBy("id.d", "id.t").agg(F.collect_set("id.pos").alias("removed"), F.count_if(F.col("id") == F.col("first")).alias("n_near"))
 
 
-def dedup_lines(docs: DataFrame, edits: int | tuple[tuple[int, int], ...] = EDITS, shortest: int = SHORTEST) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int | tuple[tuple[int, int], ...] = EDITS, shortest: int = SHORTEST, exact: bool = False) -> DataFrame:
     """``docs`` with ``text`` reduced to the lines that stay, and ``n_lines``, ``n_removed``, ``n_near``.
 
     Of each component of near-equal lines the first by (doc_id, line) stays, everywhere else
-    they go; lines under ``shortest`` code points stay. ``edits`` is a number or, by the length of
+    they go; lines under ``shortest`` code points stay, or with ``exact`` go where an equal one
+    came before, if they hold a letter or digit. ``edits`` is a number or, by the length of
     the shorter line, rising steps (code points, edits). Null text stays null, without lines.
     Rows with equal doc_id and text are one document and come out alike; rows that share only
     the doc_id are ordered by a hash of their text; a null doc_id comes before all others.
@@ -238,7 +242,7 @@ def dedup_lines(docs: DataFrame, edits: int | tuple[tuple[int, int], ...] = EDIT
     names = docs.columns
     scratch = Scratch(docs.sparkSession, "lines")
     own = W.table(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = repeated_lines(own, scratch, edits, shortest).select(F.struct("d", "t").alias("gone_key"), "removed", "n_near")
+    found = repeated_lines(own, scratch, edits, shortest, exact).select(F.struct("d", "t").alias("gone_key"), "removed", "n_near")
     found = scratch.put(found, "found")
     keyed = docs.select(F.struct(*(docs[f"`{c}`"].alias(c) for c in names)).alias("row"), F.struct(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(docs["text"].cast("string")).alias("t")).alias("key"))
     # one strategy at every size: what is found grows with the documents and is never broadcast

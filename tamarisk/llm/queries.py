@@ -40,7 +40,7 @@ def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from tamarisk.llm import lines
 
-    out = lines.dedup_lines(_documents(spark, sf_dir), lines.BY_LENGTH)
+    out = lines.dedup_lines(_documents(spark, sf_dir), lines.BY_LENGTH, exact=True)
     return out.select("doc_id", "n_lines", "n_removed", "n_near", F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -267,6 +267,20 @@ def test_line_queries_use_the_threshold(spark, tmp_path):
     assert {r.doc_id: r.text == "" for r in corpus_pipeline.line_dedup(spark, df, "").collect()} == {1: False, 2: True, 3: False}
 
 
+def test_short_lines(spark, tmp_path):
+    """Equal lines of any length go from query and stage if they hold a word; near ones under 20 code points stay."""
+    import corpus_pipeline
+    from tamarisk.llm import queries
+
+    rows = [(1, "Home\n\nshort line\n--"), (2, "Home\n\nshort lines\n--\nغبي\nx"), (3, "غبي\n7\nHome\n7")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    kept = {1: "Home\n\nshort line\n--", 2: "\nshort lines\n--\nغبي\nx", 3: "7"}
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, df, "").collect()} == kept
+    out = by_id(queries.op4_lines(spark, str(tmp_path)))
+    assert {i: (r.n_removed, r.n_near, r.kept_sha256) for i, r in out.items()} == {i: (n, 0, hashlib.sha256(kept[i].encode()).hexdigest()) for i, n in ((1, 0), (2, 1), (3, 3))}
+
+
 def test_quality_counts(docs, empty, texts):
     from tamarisk.llm import quality
 
