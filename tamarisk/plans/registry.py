@@ -178,7 +178,7 @@ def normalize_runtime(spark, d):
 
 @query()
 def transliterate(spark, d):
-    return table(spark, d, "documents").select("doc_id", arabizi.transliterate(F.concat(F.lit("3ala "), F.left("text", F.lit(80)))).alias("arabic"))
+    return table(spark, d, "documents").select("doc_id", arabizi.transliterate(F.concat(F.lit("3ala "), F.col("text"))).alias("arabic"))
 
 
 # --- splits, samples
@@ -386,7 +386,7 @@ def layered_verdict(spark, d):
 @query()
 def resolver_repairs(spark, d):
     # the documents hold no Arabic script: a disguised word is put before each text
-    docs = table(spark, d, "documents").select("doc_id", F.concat(F.array(F.lit("غىىىبي")), F.slice(F.split("text", " "), 1, 3)).alias("tokens"))
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.array(F.lit("غىىىبي")), F.split("text", " ")).alias("tokens"))
     return R.resolve(docs, spark.createDataFrame([("غبي", "exact", "word")], "term string, tier string, kind string"))
 
 
@@ -435,7 +435,7 @@ def suite_generation(spark, d):
 
 @query()
 def hard_negative_suite(spark, d):
-    texts = table(spark, d, "documents").select(F.col("source").alias("category"), F.left("text", F.lit(40)).alias("text"))
+    texts = table(spark, d, "documents").select(F.col("source").alias("category"), "text")
     return G.hard_negatives(texts, ["{}", "he said {}"])
 
 
@@ -510,8 +510,8 @@ def distinct_turns(spark, d):
 
 @query()
 def sentence_candidates(spark, d):
-    # the documents hold no Arabic script: a disguised word is put before the first words of each text
-    docs = table(spark, d, "documents").select("doc_id", F.concat(F.array(F.lit("غىىىبي")), F.slice(F.split("text", " "), 1, 2)).alias("tokens"))
+    # the documents hold no Arabic script: a disguised word is put before each text
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.array(F.lit("غىىىبي")), F.split("text", " ")).alias("tokens"))
     return R.sentence_candidates(docs)
 
 
