@@ -131,9 +131,14 @@ def script_ratio_filter(spark, d):
 
 @query("SELECT doc_id, false AS arabic_script, false AS has_arabic, false AS arabizi FROM documents WHERE contains(text, 'zzzz') UNION ALL SELECT doc_id, false, false, false FROM documents WHERE NOT contains(text, 'zzzz') AND NOT regexp_matches(text, '[2345679]') AND NOT regexp_matches(text, '(?i)(^|[^a-z0-9_])(ya|yala|w?allah|insha|7a[br]|ma3a|3ala|a5|el|el-|al-|ibn|bnt|kel[bm]|5awal|ta7t)([^a-z0-9_]|$)')")
 def script_flags(spark, d):
+    return script_flags_all(spark, d).where("NOT arabizi")
+
+
+@query()
+def script_flags_all(spark, d):
+    """Every document; ``script_flags`` is what its twin can check of it."""
     docs = table(spark, d, "documents")
-    flags = docs.select("doc_id", T.is_arabic_script(F.col("text")).alias("arabic_script"), T.has_arabic(F.col("text")).alias("has_arabic"), arabizi.is_arabizi(F.col("text")).alias("arabizi"))
-    return flags.where("NOT arabizi")
+    return docs.select("doc_id", T.is_arabic_script(F.col("text")).alias("arabic_script"), T.has_arabic(F.col("text")).alias("has_arabic"), arabizi.is_arabizi(F.col("text")).alias("arabizi"))
 
 
 FUNNEL = [("latin", "regexp_matches(text, '[a-z]')"), ("length", "length(text) BETWEEN 3 AND 1000"), ("english", "lang = 'en'")]

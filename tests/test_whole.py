@@ -58,3 +58,8 @@ def test_resolver_repairs(spark, folder, monkeypatch):
     found = {r.doc_id: r.token for r in registry.QUERIES["resolver_repairs"](spark, folder).collect()}
     assert {r.doc_id: r.tokens for r in tokens} == {i: [HEAD, *t.split(" ")] for i, t in TEXTS.items()}
     assert found == dict.fromkeys(TEXTS, HEAD)
+
+
+def test_script_flags_all(spark, folder):
+    out = {r.doc_id: (r.arabic_script, r.has_arabic, r.arabizi) for r in registry.QUERIES["script_flags_all"](spark, folder).collect()}
+    assert out == {i: (False, False, i == 2) for i in TEXTS}
