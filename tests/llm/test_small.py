@@ -365,6 +365,22 @@ def test_disguised(text, kinds):
     assert base == [] and [(k, text[s:e]) for s, k, e in both] == kinds
 
 
+def test_suspect_holds_where_texts_are_rewritten():
+    """Nothing is found by the transducers that the prefilter hides."""
+    import pyarrow as pa
+
+    from tamarisk.llm.pii import batch_spans, spans
+
+    rng = random.Random(6)
+    parts = ["john", "smith@example.com", "example", "com", "dot", "Punkt", "point", " at ", "[at]", "(dot)", "{.}", "@", " @ ", "%40", "&#64;", "one", "two", "five", "4111", "+", ".", "-", "plus", "a", "AT", "<at>", "chez", "\n", "1", "@x.", "(", ")", "[ @ ]", "\xa0", "\x0b", "\x1c", "\x85", "é"]
+    texts = ["mail john dot smith@example.com now", "a@b\tdot com x"]
+    texts += ["".join(rng.choice(parts) + rng.choice(("", " ", " ", "  ")) for _ in range(rng.randint(2, 14))) for _ in range(20000)]
+    for text, base, both in batch_spans(pa.array(texts)):
+        assert (base, both) == spans(text, True), text
+    text, _, both = batch_spans(pa.array(texts[:1]))[0]
+    assert [text[s:e] for s, _, e in both] == ["john dot smith@example.com", "smith@example.com"]
+
+
 def test_pii_base(spark, empty):
     from tamarisk.llm import pii
 
