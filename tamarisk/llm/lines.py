@@ -25,6 +25,8 @@ from tamarisk.llm.store import Scratch
 EDITS = 1
 #: (code points, edits): what op4_lines and the pipeline allow, one edit for each 20 code points of the shorter line.
 BY_LENGTH = ((20, 1), (40, 2), (60, 3), (80, 4))
+#: So many levels of the banded distance fit into one long.
+MOST_EDITS = 4
 #: Lines of more code points are one class of lengths.
 LONG = 2000
 #: Shorter lines (code points) have no near copies; equal ones go only with ``exact``.
@@ -37,6 +39,8 @@ NO_ID = -(1 << 63)
 def classes(edits: int | tuple[tuple[int, int], ...], shortest: int) -> list[tuple[int, float, int, int]]:
     """(low, high, edits, size of a segment) of the classes of lengths; ``edits`` + 1 segments fit into each line of a class."""
     steps = ((shortest, edits),) if isinstance(edits, int) else tuple((max(low, shortest), e) for low, e in edits)
+    if max(e for _, e in steps) > MOST_EDITS:
+        raise ValueError(f"at most {MOST_EDITS} edits: the levels of the banded distance share one long")
     out: list[tuple[int, float, int, int]] = []
     for (low, e), above in zip(steps, [*(x for x, _ in steps[1:]), float("inf")], strict=True):
         while low < above:
@@ -94,6 +98,8 @@ def within(a: Column, b: Column, edits: int = EDITS, most: Column | None = None)
     move with a few word operations for each character of ``b``. ``most``, where given, is a
     row's own number of edits, ``edits`` at most.
     """
+    if edits > MOST_EDITS:
+        raise ValueError(f"at most {MOST_EDITS} edits: the levels of the banded distance share one long")
     width = 2 * edits + 1
     mask = (1 << width) - 1
 
@@ -234,7 +240,7 @@ def dedup_lines(docs: DataFrame, edits: int | tuple[tuple[int, int], ...] = EDIT
     Of each component of near-equal lines the first by (doc_id, line) stays, everywhere else
     they go; lines under ``shortest`` code points stay, or with ``exact`` go where an equal one
     came before, if they hold a letter or digit. ``edits`` is a number or, by the length of
-    the shorter line, rising steps (code points, edits). Null text stays null, without lines.
+    the shorter line, rising steps (code points, edits); 4 is the most. Null text stays null, without lines.
     Rows with equal doc_id and text are one document and come out alike; rows that share only
     the doc_id are ordered by a hash of their text; a null doc_id comes before all others.
     An empty table gives an empty result. All other columns pass through.

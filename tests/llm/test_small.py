@@ -281,6 +281,16 @@ def test_short_lines(spark, tmp_path):
     assert {i: (r.n_removed, r.n_near, r.kept_sha256) for i, r in out.items()} == {i: (n, 0, hashlib.sha256(kept[i].encode()).hexdigest()) for i, n in ((1, 0), (2, 1), (3, 3))}
 
 
+def test_lines_reject_five_edits(spark):
+    from tamarisk.llm import lines
+
+    for edits in (5, ((20, 1), (100, 5))):
+        with pytest.raises(ValueError, match="at most 4 edits"):
+            lines.dedup_lines(spark.createDataFrame([(1, "a")], "doc_id long, text string"), edits)
+    with pytest.raises(ValueError, match="at most 4 edits"):
+        lines.within(F.col("a"), F.col("b"), 5)
+
+
 def test_quality_counts(docs, empty, texts):
     from tamarisk.llm import quality
 
