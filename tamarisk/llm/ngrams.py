@@ -107,8 +107,8 @@ def dealt(bucket: np.ndarray, keys: np.ndarray, *values: np.ndarray) -> Iterator
     """(bucket, blob) of sorted keys dealt to buckets."""
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
-    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
-    for a, b in zip(starts, [*starts[1:], len(bucket)], strict=True):
+    starts = W.run_starts(bucket)
+    for a, b in zip(starts, np.append(starts[1:], len(bucket)), strict=True) if len(starts) else ():
         take = order[a:b]
         yield int(bucket[a]), packed(keys[take], *(v[take] for v in values))
 

@@ -189,8 +189,8 @@ class Sorted:
         ranked, where = keys[order], buckets[order]
         found = np.zeros(len(keys), bool)
         out = {n: np.zeros(len(keys), t) for n, t in values.items()}
-        starts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(where) else []
-        for a, b in zip(starts, [*starts[1:], len(where)], strict=True):
+        starts = W.run_starts(where)
+        for a, b in zip(starts, np.append(starts[1:], len(where)), strict=True) if len(starts) else ():
             there = load(f"{self.root}/{where[a]}.key", np.uint64)
             if not len(there):
                 continue

@@ -132,6 +132,11 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
+def run_starts(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal neighbours begins; none in an empty array."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Indices that gather the runs ``[starts[i], starts[i] + counts[i])`` one after another."""
     total = int(counts.sum())

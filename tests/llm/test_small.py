@@ -516,14 +516,31 @@ def test_null_ids_and_repeated_rows(spark):
     assert ngrams.perplexity(df).count() == 5
 
 
-def test_pipeline(spark, docs):
+PLAIN = "the committee met again in spring to talk about the cost of the old bridge over the river because nobody had paid for it since the winter and people in town wanted to know who would work on it next year while others said that a new road is better for all of them".split()
+
+
+def test_pipeline(spark):
+    """Every stage on prose, with copies, repeated lines, personal data, nulls, repeated rows and a null id."""
     import corpus_pipeline
 
-    own = docs.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    rng = random.Random(5)
+    rows = []
+    for i in range(30):
+        rows.append((i, "\n".join(" ".join(rng.choice(PLAIN) for _ in range(18)) for _ in range(6)) + f"\nwrite to me{i}@example.com"))
+    rows += [(30, rows[3][1] + " now"), (31, None), (32, ""), (33, "too short"), (34, "buy buy buy " * 40), (None, rows[5][1] + " then"), (4, rows[4][1]), (35, rows[6][1].replace("\n", " "))]
+    own = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = []
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, own, "")
         assert out.columns == own.columns
         own = spark.createDataFrame(out.collect(), own.schema)
         assert own.where("n_chars != length(text)").count() == 0
-    assert own.count() > 0
+        kept.append(sorted(-1 if r.doc_id is None else r.doc_id for r in own.collect()))
+    assert set(range(30)) <= set(kept[0]) and not {31, 32, 33, 34} & set(kept[0])
+    texts_ = " ".join(r.text for r in own.collect())
+    assert "<email>" in texts_ and "@example.com" not in texts_
+    assert set(range(30)) - {4} <= set(kept[-1])
     assert corpus_pipeline.STAGES[-1][1](spark, own, "").count() > 0
+    empty = own.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0
