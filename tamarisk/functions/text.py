@@ -12,7 +12,6 @@ import html
 import unicodedata
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -22,22 +21,37 @@ ARABIC = r"\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\
 RATIO_DENOMINATOR = r"a-zA-Zа-яА-Я\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{4E00}-\x{9FFF}"
 ZERO_WIDTH = "\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\ufeff"
 INVISIBLE = r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2069}\x{2028}\x{2029}\x{FEFF}\x{AD}\x{34F}\x{61C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180E}\x{3164}\x{FFA0}\x{FE00}-\x{FE0F}\x{0300}-\x{036F}\x{0483}-\x{0489}\x{1AB0}-\x{1AFF}\x{1DC0}-\x{1DFF}\x{20D0}-\x{20FF}]"
-# Letters of other alphabets and of neighbouring languages that stand for Arabic letters.
-CONFUSABLE_FROM = "аеорсухoaکیۀەھہۂةپچگژڤےڵڕڎڼټډړڑ۰۱۲۳۴۵۶۷۸۹"
-CONFUSABLE_TO = "اههرسوخهاكيهههههههبجقزفيلردنتدرر0123456789"
+# Letters of other alphabets and of neighbouring languages, and the Arabic letter or digit that each stands for.
+CONFUSABLES = {
+    "а": "ا", "е": "ه", "о": "ه", "р": "ر", "с": "س", "у": "و", "х": "خ",
+    "o": "ه", "a": "ا",
+    "ک": "ك", "ی": "ي", "ۀ": "ه", "ە": "ه", "ھ": "ه", "ہ": "ه", "ۂ": "ه", "ة": "ه",
+    "پ": "ب", "چ": "ج", "گ": "ق", "ژ": "ز", "ڤ": "ف",
+    "ے": "ي", "ڵ": "ل", "ڕ": "ر", "ڎ": "د", "ڼ": "ن", "ټ": "ت", "ډ": "د", "ړ": "ر", "ڑ": "ر", "ۃ": "ة",
+    "۰": "0", "۱": "1", "۲": "2", "۳": "3", "۴": "4", "۵": "5", "۶": "6", "۷": "7", "۸": "8", "۹": "9",
+}
+CONFUSABLE_FROM, CONFUSABLE_TO = "".join(CONFUSABLES), "".join(CONFUSABLES.values())
+assert len(CONFUSABLE_FROM) == len(CONFUSABLE_TO) == len(CONFUSABLES)
 ALEF_FROM, ALEF_TO = "أإآٱ", "اااا"
 SUBSTITUTION_FROM, SUBSTITUTION_TO = "یکۀؤئ", "يكهوي"
 SPACE = r"(?U)\s"
 
 
+def _composed(texts: pa.Array, unescape: bool = False) -> pa.Array:
+    """NFKC of the texts that are not in it yet (Arrow's own kernel decomposes and does not compose again)."""
+    texts = texts.cast(pa.string())
+    out = [t if t is None or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()]
+    return pa.array([html.unescape(t) if t and "&" in t else t for t in out] if unescape else out, pa.string())
+
+
 @F.arrow_udf(StringType())
 def _nfkc_unescape(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else html.unescape(unicodedata.normalize("NFKC", t)) for t in texts.to_pylist()], pa.string())
+    return _composed(texts, unescape=True)
 
 
 @F.arrow_udf(StringType())
 def _nfkc(texts: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(texts.cast(pa.string()), "NFKC")
+    return _composed(texts)
 
 
 def nfkc(text: Column, unescape: bool = False) -> Column:

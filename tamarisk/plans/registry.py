@@ -395,10 +395,23 @@ def resolver_repairs(spark, d):
     return R.resolve(docs, spark.createDataFrame([("غبي", "exact", "word")], "term string, tier string, kind string"))
 
 
-@query("SELECT event_id, CASE event_type WHEN 'error' THEN 0.9 WHEN 'click' THEN 0.2 WHEN 'view' THEN 0.85 ELSE 0.0 END AS score, event_type IN ('error', 'view') AS is_toxic FROM events", doubles="score")
+EMOJI = R.TOXIC_EMOJI + R.THREAT_EMOJI + R.ANIMAL_EMOJI + "😀🌍🐢"
+_GLYPH = f"substr('{EMOJI}', CAST(event_id % {len(EMOJI)} AS INTEGER) + 1, 1)"
+
+
+@query(
+    f"""SELECT event_id,
+  CASE WHEN contains('{R.TOXIC_EMOJI}', g) THEN 0.9 WHEN contains('{R.THREAT_EMOJI}', g) THEN 0.8 WHEN contains('{R.ANIMAL_EMOJI}', g) THEN CASE WHEN event_type = 'view' THEN 0.85 ELSE 0.2 END ELSE 0.0 END AS score,
+  contains('{R.TOXIC_EMOJI}', g) OR (contains('{R.ANIMAL_EMOJI}', g) AND event_type = 'view') AS is_toxic,
+  CASE WHEN contains('{R.TOXIC_EMOJI}', g) THEN 'toxic_emoji' WHEN contains('{R.THREAT_EMOJI}', g) THEN 'threat_emoji' WHEN contains('{R.ANIMAL_EMOJI}', g) THEN CASE WHEN event_type = 'view' THEN 'directed_animal_insult' ELSE 'undirected_animal' END ELSE '' END AS flags,
+  CASE WHEN contains('{R.TOXIC_EMOJI}', g) THEN '{R.INSULT_MARK}' WHEN contains('{R.THREAT_EMOJI}', g) THEN '{R.THREAT_MARK}' WHEN contains('{R.ANIMAL_EMOJI}', g) AND event_type = 'view' THEN '{R.AIMED_MARK}' ELSE '' END AS extracted
+FROM (SELECT event_id, event_type, {_GLYPH} AS g FROM events)""",
+    doubles="score",
+)
 def emoji_flags(spark, d):
-    sign = F.when(F.col("event_type") == "error", "💩 x").when(F.col("event_type") == "click", "🐷 x").when(F.col("event_type") == "view", "you 🐷").otherwise("x")
-    return table(spark, d, "events").select("event_id", R.emoji(sign).alias("e")).select("event_id", "e.score", "e.is_toxic")
+    glyph = F.substring(F.lit(EMOJI), (F.col("event_id") % len(EMOJI) + 1).cast("int"), F.lit(1))
+    sign = F.concat(F.when(F.col("event_type") == "view", "Ya ").otherwise("you "), glyph)
+    return table(spark, d, "events").select("event_id", R.emoji(sign).alias("e")).select("event_id", "e.score", "e.is_toxic", F.array_join("e.flags", ",").alias("flags"), "e.extracted")
 
 
 # --- pages, settings, suites, scoring, streams

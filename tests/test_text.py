@@ -36,6 +36,7 @@ def one(spark, expression, **values):
         ("", "corpus", ""),
         (None, "corpus", ""),
         ("سـ​لام", "runtime", "سلام"),
+        ("كتاب ؤب آخر", "runtime", "كتاب وب اخر"),
     ],
 )
 def test_normalize(spark, raw, profile, expected):
@@ -119,6 +120,56 @@ def test_exemptions_and_registers(spark):
     assert L.match(docs, lexicon, exempt=spark.createDataFrame([("غبي",)], "term string")).count() == 0
 
 
+def test_look_alikes(spark):
+    """Every pair by itself, so that no letter moves to its neighbour's place."""
+    df = spark.createDataFrame([(k, v) for k, v in T.CONFUSABLES.items()], "k string, v string")
+    assert df.where(T.fold_homoglyphs(F.col("k")) != F.col("v")).count() == 0
+    assert one(spark, T.fold_homoglyphs(F.col("t")), t="پچگ۰ڵۃ") == "بجق0لة"
+    assert one(spark, T.nfkc(F.col("t"), unescape=True), t="ﻻ &amp; ①") == "لا & 1"
+
+
+@pytest.mark.parametrize("token, evasive", [("غىىبي", True), ("كىب", True), ("aىb", True), ("غ.بي", True), ("غ-بي", True), ("غ_بي", True), ("غ!بي", True), ("غ%بي", False), ("غ+بي", False), ("على", False), ("غبي", False)])
+def test_evasion_signature(spark, token, evasive):
+    assert one(spark, R.evades(F.col("t")), t=token) is evasive
+
+
+def test_repairs():
+    assert R.repairs("كىىىم")[:2] == ["كسم", "كم"]
+    assert R.repairs("كىم")[0] != "كسم" and "كام" in R.repairs("كىم")
+    assert R.repairs("غ*بي")[0] == "ع*بي" and "غبي" in R.repairs("غ*بي")
+
+
+def test_expanded_words():
+    assert {"لب", "الب"} < set(L.stems("والب")) | {"لب"} and "الب" in L.stems("والب")
+    assert "كلبه" in L.spellings("جلبة") and "كلبة" in L.spellings("جلبة")
+    assert "كصه" not in L.spellings("چصه") and "كسه" in L.spellings("چصه")
+
+
+def test_verdict_as_shipped(spark):
+    """Morphology, forms, phrases, parts, patterns, allowed words and the model in one call."""
+    lexicon = spark.createDataFrame(
+        [("غبي", "exact", "word"), ("كلب", "contextual", "word"), ("ضرب", "pejorative", "word"), ("ابن الناس", "exact", "phrase"), ("حمار", "exact", "partial"), ("^سوء.*جدا$", "exact", "regex"), ("[", "exact", "regex")],
+        "term string, tier string, kind string",
+    )
+    texts = {1: "انت غ،بي", 2: "غغغبييي", 3: "ابن الناس هنا", 4: "كالحماره", 5: "سوء كبير جدا", 6: "هذا ابن كلام طويل", 7: "سعيد غبي", 8: "كلام آخر هنا طويل", 9: "يا كلب"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+
+    def scorer(df):
+        return df.select("text", F.when(F.col("text").contains("اخر"), "TOXIC").otherwise("SAFE").alias("label"), F.lit(0.9).alias("score"))
+
+    found = {r.doc_id: (r.layer, r.is_toxic) for r in R.verdict(docs, lexicon, scorer=scorer, roots=("ضرب",)).collect()}
+    assert found == {1: ("dict", True), 2: ("dict", True), 3: ("dict", True), 4: ("dict", True), 5: ("dict", True), 6: ("-", False), 7: ("dict", True), 8: ("model", True), 9: ("dict", True)}
+    spared = {r.doc_id: r.layer for r in R.verdict(docs, lexicon, allowed=("غبي",)).collect()}
+    assert spared[7] == "-" and spared[9] == "dict"
+
+
+def test_exempt_names_are_stemmed(spark):
+    lexicon = spark.createDataFrame([("غبي", "exact", "word")], "term string, tier string, kind string")
+    docs = spark.createDataFrame([(1, ["والغبي"]), (2, ["غبيين"])], "doc_id long, tokens array<string>")
+    assert L.match(docs, lexicon).count() == 2
+    assert L.match(docs, lexicon, exempt=spark.createDataFrame([("غبي",)], "term string")).count() == 0
+
+
 def test_stems_keep_short_stems():
     assert "زبون" in L.stems("الزبون") and "زب" not in L.stems("الزبون")
     assert "جسم" in L.spellings("جسم") and "كسم" not in L.spellings("جسم")
@@ -129,7 +180,8 @@ def test_resolver_and_emoji(spark):
     docs = spark.createDataFrame([(1, ["انت", "غىىىبي"]), (2, ["غيبي", "جدا"])], "doc_id long, tokens array<string>")
     assert {(r.doc_id, r.token) for r in R.resolve(docs, lexicon).collect()} == {(1, "غىىىبي")}
     e = one(spark, R.emoji(F.col("t")), t="يا 🐶")
-    assert e.is_toxic and e.flags == ["directed_animal"]
+    assert e.is_toxic and e.flags == ["directed_animal_insult"] and e.extracted == "[إهانة موجهة]"
+    assert one(spark, R.emoji(F.col("t")), t="you 🐶").flags == ["undirected_animal"]
     assert not one(spark, R.emoji(F.col("t")), t="🔪").is_toxic
     assert one(spark, R.emoji(F.col("t")), t="🖕🔪").score == 1.0
 
