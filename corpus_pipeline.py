@@ -36,8 +36,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id."""
-    gone = minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = minhash.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_text")).distinct()
+    is_gone = (docs["doc_id"].cast("long") == F.col("gone_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("gone_text"))
+    return docs.join(gone.hint("merge"), is_gone, "left_anti").select(*docs.columns)
 
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,32 +1,37 @@
 """Exact connected components of a similarity graph that is only known by its buckets.
 
-Two items can only be linked if they share a bucket. Testing all pairs of a bucket
-grows with its square, so each round tests a few *pivots* of every bucket against the
-others and retires them: whatever a pivot links to is then known. A bucket is done
-when all its items are in one component (no further test can change anything) or its
-pivots have run out (all its pairs are tested). The first pivot of a bucket is its
-most central item, the one that shares most buckets' members: what all copies were made
-from comes before the copies, which may be unlike each other. Pivots multiply from round
-to round, so a bucket of mostly unlike items ends after a few rounds, too. No link between
-components is lost, and like items cost one test each.
-
-Everything is joins and partial aggregations of DataFrames; nothing reaches the
-driver but counts. AQE splits the joins' hot keys.
+Two items can only be linked if they share a bucket. All pairs of a bucket grow with its
+square, so pairs are left out in three ways, none of which loses a link between components:
+
+1. *Centre.* The most central item of each bucket, the one that shares most buckets' members,
+   is tested against the others: what all copies were made from comes before the copies.
+2. *Components.* Afterwards only items of different components are tested. In a bucket, items
+   outside the centre's component meet the others; a bucket of one component is done.
+3. *Parity maps.* Each item carries a few longs in which every element of its set flips one
+   bit. Elements that two items don't share are at least as many as the bits in which
+   their maps differ, so a pair with too many is no link, whatever the sets hold. The join
+   itself applies this, and pairs that fail it are never made.
+
+Everything is joins and partial aggregations of DataFrames; nothing reaches the driver but
+counts. Joins on buckets read written tables through Spark's own exchanges, so AQE splits
+their hot keys. Merge joins are asked for: one strategy, and one growth, at every size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarisk.llm.store import Scratch
 
-#: Items of a bucket of which all pairs are tested once its centre has been; a larger bucket
-#: gets as many pivots then, and in each further round ``MORE_PIVOTS`` times as many.
-SMALL = 64
-MORE_PIVOTS = 8
+#: 64-bit words of the Bloom filter of :func:`sifted`; its table has at most so many rows.
+FILTER_WORDS = 1 << 17
+
+
+def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    return left.join(right.hint("merge"), on, how)
 
 
 def spread(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -45,69 +50,79 @@ def spread(links: DataFrame, scratch: Scratch) -> DataFrame:
         following = scratch.put(jump, "labels")
         moved = following.where("component < old").limit(1).count()
         scratch.drop(labels)
-        labels = following.select("id", "component")
-        labels._tamarisk_path = following._tamarisk_path
+        labels = scratch.same(following, following.select("id", "component"))
         if not moved:
             scratch.drop(both)
             return labels
 
 
-def components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, early: str | None = None) -> tuple[DataFrame | None, DataFrame | None]:
-    """((id, component) of linked items, all links (a, b)) from members (bucket, id, pivot boolean).
+def differing(x: str, y: str, words: int) -> Column:
+    """In how many bits two parity maps of so many longs differ (columns of structs, fields b0, b1, ...)."""
+    out = F.lit(0)
+    for i in range(words):
+        out = out + F.bit_count(F.col(f"{x}.b{i}").bitwiseXOR(F.col(f"{y}.b{i}")))
+    return out
+
+
+def components(
+    members: DataFrame, features: DataFrame, may_link: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], scratch: Scratch
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """((id, component) of linked items, links (a, b) that were found) of members (bucket, id long, pivot boolean).
 
-    ``verify`` keeps of pairs (a, b), a < b, those that are linked. None where nothing is linked.
-    ``early``: a condition on the buckets that the first round is limited to; where items share
-    many buckets, a few of them link most, and the others then need no tests.
+    ``features``: (id, f) of every member, ``may_link`` a necessary condition on two of them
+    (names of struct columns). Two items that are both no pivot of a bucket don't meet there.
+    ``verify`` keeps of pairs (a, b), a < b, those that are linked. None where nothing is.
+    A bucket holds an item once.
     """
-    if early is None:
-        members = members.withColumn("early", F.lit(True))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
-    weights = members.join(sizes, "bucket").groupBy("id").agg(F.sum("size").alias("weight"))
-    rows = members = scratch.put(members.join(weights, "id"), "members")
-    tested = links = labels = None
-    pivots, turn = 1, 0
-    while True:
-        first = early is not None and turn == 0
-        centre = turn <= (early is not None)
-        pivots = 1 if centre else SMALL if pivots == 1 else pivots * MORE_PIVOTS
-        turn += 1
-        now = rows
-        if labels is not None:
-            now = rows.drop("component", "size").join(labels, "id", "left").select("bucket", "id", "pivot", "weight", "early", F.coalesce("component", "id").alias("component"))
-        else:
-            now = rows.select("bucket", "id", "pivot", "weight", "early", F.col("id").alias("component"))
-        open_ = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("pivot").alias("any"), F.count("*").alias("size")).where("lo < hi AND any").select("bucket", "size")
-        following = scratch.put(now.join(open_, "bucket"), "rows")
-        scratch.drop(rows)
-        rows = following
-        if not rows.limit(1).count():
-            scratch.drop(rows)
-            return labels, links
-        tried = rows.where(early) if first else rows
-        small = F.lit(not centre) & (F.col("size") <= SMALL)
-        share = F.when(small, F.xxhash64("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(pivots)))
-        chosen = tried.where("pivot").groupBy("bucket", share.alias("s")).agg(F.max_by(F.struct("id", "component"), F.struct("weight", F.xxhash64("id"))).alias("p")).select("bucket", "p.*")
-        p = chosen.select(F.col("bucket").alias("b_"), F.col("id").alias("p_id"), F.col("component").alias("p_component"))
-        pairs = tried.join(p, (tried.bucket == p.b_) & (tried.component != p.p_component)).select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.put(pairs, "pairs")
-        found = scratch.put(verify(pairs), "links")
-        if found.limit(1).count():
-            more = found if links is None else scratch.put(links.union(found), "links")
-            if links is not None:
-                scratch.drop(links, found)
-            links = more
-            scratch.drop(labels)
-            labels = spread(links, scratch)
-        everything = pairs if tested is None else scratch.put(tested.union(pairs), "tested")
-        if tested is not None:
-            scratch.drop(tested, pairs)
-        tested = everything
-        if first:
-            continue
-        # the pivots have met all others of their bucket
-        rest = rows.join(chosen.select("bucket", "id"), ["bucket", "id"], "left_anti").select("bucket", "id", "pivot", "weight", "early")
-        following = scratch.put(rest, "rows")
-        scratch.drop(rows)
-        rows = following
+    weights = merged(members, sizes, "bucket").groupBy("id").agg(F.sum("size").alias("weight"))
+    weighed = scratch.put(merged(members, weights, "id"), "members")
+    centres = weighed.groupBy("bucket").agg(F.max(F.struct("pivot", "weight", "id")).alias("c")).select("bucket", F.col("c.id").alias("centre"), F.col("c.pivot").alias("by_pivot"))
+    centres = scratch.put(centres, "centres")
+    met = merged(weighed, centres, "bucket").where("id != centre AND (pivot OR by_pivot)")
+    pairs = met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    first, second = features.select(F.col("id").alias("a"), F.col("f").alias("x")), features.select(F.col("id").alias("b"), F.col("f").alias("y"))
+    pairs = scratch.put(merged(merged(pairs, first, "a"), second, "b").where(may_link("x", "y")).select("a", "b"), "pairs")
+    links = scratch.put(verify(pairs), "links")
+    scratch.drop(pairs)
+    labels = spread(links, scratch) if links.limit(1).count() else None
+
+    now = weighed.drop("weight")
+    now = now.withColumn("component", F.col("id")) if labels is None else merged(now, labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    now = scratch.put(now, "now")
+    scratch.drop(weighed)
+    at = F.struct((F.col("id") == F.col("centre")).alias("is"), "component")
+    open_ = merged(now, centres, "bucket").groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(at).alias("c"), F.min("centre").alias("centre"))
+    open_ = open_.where("lo != hi").select("bucket", "centre", F.col("c.component").alias("main"))
+    rest = scratch.put(merged(merged(now, open_, "bucket"), features, "id"), "open")
+    scratch.drop(now, centres)
+    x = rest.where("id != centre").select("bucket", F.col("id").alias("x_id"), F.col("component").alias("x_component"), (F.col("component") == F.col("main")).alias("x_main"), F.col("pivot").alias("x_pivot"), F.col("f").alias("x"))
+    y = rest.where("id != centre AND component != main").select("bucket", F.col("id").alias("y_id"), F.col("component").alias("y_component"), F.col("pivot").alias("y_pivot"), F.col("f").alias("y"))
+    meet = (x.bucket == y.bucket) & (F.col("x_component") != F.col("y_component")) & (F.col("x_main") | (F.col("x_id") < F.col("y_id"))) & (F.col("x_pivot") | F.col("y_pivot")) & may_link("x", "y")
+    pairs = scratch.put(merged(x, y, meet).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct(), "pairs")
+    scratch.drop(rest)
+    if not pairs.limit(1).count():
+        scratch.drop(pairs)
+        return labels, links if labels is not None else None
+    more = scratch.put(verify(pairs), "links")
+    scratch.drop(pairs)
+    if not more.limit(1).count():
+        scratch.drop(more)
+        return labels, links if labels is not None else None
+    every = scratch.put(links.union(more), "links")
+    scratch.drop(links, more, labels)
+    return spread(every, scratch), every
+
+
+def sifted(rows: DataFrame, key: str, wanted: DataFrame, how: str = "left_semi", on: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` joined with the ``wanted`` ones by ``key``, a long that both have, or by several columns with it.
+
+    A Bloom filter of ``FILTER_WORDS`` rows at most, joined by broadcast, keeps most others out
+    of the shuffle; where it is full all rows take part in it, and the result is the same.
+    """
+    word = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_WORDS))
+    bit = lambda c: F.shiftrightunsigned(F.xxhash64(c), 40).bitwiseAND(63).cast("int")
+    table = wanted.select(word(key).alias("_word"), bit(key).alias("_bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    names = rows.columns
+    maybe = rows.withColumn("_word", word(key)).withColumn("_bit", bit(key)).join(F.broadcast(table), "_word").where("getbit(_bits, _bit) = 1")
+    return merged(maybe.select(*(F.col(f"`{n}`") for n in names)), wanted, list(on or (key,)), how)

@@ -7,10 +7,8 @@ correlated than two draws of one, which lowers the variance). Bands of four valu
 two least and two greatest of different permutations, propose candidates; candidates
 are confirmed on the full shingle sets, and :mod:`linking` finds the components.
 
-Many documents made from one text may share bands and still be too unlike to link.
-Buckets of more than ``HOT`` documents are therefore replaced by an exact filter: with
-the shingles of those documents ordered from the rarest on, two linked ones share one
-of their first ``n - ceil(0.75 n) + 1`` shingles (the prefix filter of set joins).
+Of pairs that meet in a bucket only those are confirmed whose parity maps (1024 bits, one
+flipped by each shingle) leave the resemblance possible.
 
 With 32 bands of 4 values a pair at the threshold of 0.75 shares no band with
 probability (1 - 0.75**4) ** 32 = 5e-6.
@@ -26,18 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarisk.llm import words as W
-from tamarisk.llm.linking import components
+from tamarisk.llm.linking import components, differing, merged, sifted
 from tamarisk.llm.store import Scratch
 
 WIDTH = 5
 NUMERATOR, DENOMINATOR = 75, 100
 PERMUTATIONS = 64
 ROWS = 4
-#: Documents of a bucket beyond which it gives way to the prefix filter.
-HOT = 64
-#: Bands that the first round of tests is limited to.
-EARLY = 6
-SIGNED = "doc_id long, n_shingles long, set_1 long, set_2 long, bands array<long>"
+#: Longs of a parity map.
+MAP = 16
+SIGNED = "doc_id long, text_hash long, n_shingles long, set_1 long, set_2 long, bands array<long>"
+SETS = "id long, n long, " + ", ".join(f"b{i} long" for i in range(MAP)) + ", shingles binary"
 
 
 def shingle_sets(array: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -90,8 +87,30 @@ def band_keys(least: np.ndarray, most: np.ndarray, rows: int = ROWS) -> np.ndarr
     return out
 
 
+def digests(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Two 64-bit sums over each set, which name it; zeros for an empty set."""
+    out = np.zeros((2, len(starts) - 1), np.uint64)
+    full = np.flatnonzero(np.diff(starts))
+    for i, salt in enumerate((0x1234567, 0x89ABCDEF)):
+        if len(full):
+            out[i, full] = np.add.reduceat(W.mix(flat ^ np.uint64(salt)), starts[:-1][full])
+    return out
+
+
+def parity_maps(flat: np.ndarray, starts: np.ndarray, words: int = MAP, block: int = 1000) -> np.ndarray:
+    """A row of longs a set, in which each element has flipped one bit; ``block`` sets at once bound the memory."""
+    bits, n = 64 * words, len(starts) - 1
+    out = np.zeros((n, words), np.uint64)
+    for a in range(0, n, block):
+        b = min(n, a + block)
+        spot = (W.mix(flat[starts[a] : starts[b]]) % np.uint64(bits)).astype(np.int64) + np.repeat(np.arange(b - a), np.diff(starts[a : b + 1])) * bits
+        odd = (np.bincount(spot, minlength=(b - a) * bits) & 1).astype(np.uint8)
+        out[a:b] = np.packbits(odd, bitorder="little").view("<u8").reshape(-1, words)
+    return out
+
+
 def sign(docs: DataFrame, width: int = WIDTH, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, 128-bit digest of the set, band keys or null for an empty set)."""
+    """(doc_id, hash of the text, n_shingles, 128-bit digest of the set, band keys or null for an empty set)."""
     W.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,66 +118,31 @@ def sign(docs: DataFrame, width: int = WIDTH, permutations: int = PERMUTATIONS,
             flat, starts = shingle_sets(W.texts(chunk["text"]), width)
             sizes = np.diff(starts)
             full = np.flatnonzero(sizes)
-            digest = np.zeros((2, len(sizes)), np.uint64)
             keys = np.zeros((0, 2 * permutations // rows), np.uint64)
             if len(full):
-                begin = np.concatenate([starts[:-1][full], [len(flat)]])
-                keys = band_keys(*signatures(flat, begin, permutations), rows)
-                for i, salt in enumerate((0x1234567, 0x89ABCDEF)):
-                    digest[i, full] = np.add.reduceat(W.mix(flat ^ np.uint64(salt)), begin[:-1])
-            has = sizes > 0
-            bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has) * keys.shape[1]]), pa.int32()), pa.array(keys.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([chunk["doc_id"].combine_chunks(), pa.array(sizes), *(pa.array(d.view(np.int64)) for d in digest), bands], names=["doc_id", "n_shingles", "set_1", "set_2", "bands"])
+                keys = band_keys(*signatures(flat, np.append(starts[:-1][full], len(flat)), permutations), rows)
+            digest = digests(flat, starts)
+            bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes > 0) * keys.shape[1]]), pa.int32()), pa.array(keys.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays(
+                [chunk["doc_id"].combine_chunks(), chunk["text_hash"].combine_chunks(), pa.array(sizes), *(pa.array(d.view(np.int64)) for d in digest), bands], names=["doc_id", "text_hash", "n_shingles", "set_1", "set_2", "bands"]
+            )
 
-    return W.table(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNED)
+    own = W.table(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return own.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, SIGNED)
 
 
-def sets_of(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, shingles binary): each whole set as sorted little-endian 64-bit hashes."""
+def sets_of(texts: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Size, parity map and sorted little-endian 64-bit hashes of each whole set whose digest is the one named beside (id, text, set_1, set_2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in W.chunks(batches):
             flat, starts = shingle_sets(W.texts(chunk["text"]), width)
+            right = np.all([x.view(np.int64) == chunk[c].to_numpy() for x, c in zip(digests(flat, starts), ("set_1", "set_2"), strict=True)], axis=0)
             raw = [flat[a:b].astype("<u8").tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([chunk["doc_id"].combine_chunks(), pa.array(raw, pa.binary())], names=["doc_id", "shingles"])
-
-    return W.table(docs, "doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
+            longs = [chunk["id"].to_numpy(), np.diff(starts), *parity_maps(flat, starts).T]
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in longs), pa.array(raw, pa.binary())], names=[c.split(" ")[0] for c in SETS.split(", ")]).filter(pa.array(right))
 
-
-def prefix_buckets(sets: DataFrame, scratch: Scratch, numerator: int, denominator: int) -> DataFrame:
-    """(bucket, id): the shared ones among each document's rarest shingles, of which linked documents have one in common."""
-    from tamarisk.llm.ngrams import folder
-    from tamarisk.llm.substrings import Sorted, _longs, _write_rows
-
-    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    frequent = Sorted(f"{folder(sets.sparkSession, scratch)}/frequent", 1 << min(12, (4 * parts - 1).bit_length()))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = b"".join(x.as_buffer().to_pybytes() for x in batch["shingles"])
-            keys, n = np.unique(np.frombuffer(raw, "<u8"), return_counts=True)
-            yield _longs(shingle=keys, n=n)
-
-    counts = sets.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1")
-    _write_rows(counts, frequent, "shingle", parts, n=np.int64)
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [np.frombuffer(x.as_buffer(), "<u8") for x in batch["shingles"]]
-            flat = np.concatenate([np.zeros(0, np.uint64), *own])
-            keys, inverse = np.unique(flat, return_inverse=True)
-            found, n = frequent.find(keys, frequent.bucket(keys), n=np.int64)
-            n = np.where(found, n, 1)[inverse]
-            bucket, ids, at = [], [], 0
-            for name, s in zip(batch["doc_id"].to_pylist(), own, strict=True):
-                counts_, at = n[at : at + len(s)], at + len(s)
-                take = np.lexsort((s, counts_))[: len(s) - -(-numerator * len(s) // denominator) + 1]
-                take = take[counts_[take] > 1]
-                bucket.append(s[take])
-                ids.append(np.full(len(take), name, np.int64))
-            yield _longs(bucket=np.concatenate([np.zeros(0, np.uint64), *bucket]), id=np.concatenate([np.zeros(0, np.int64), *ids]))
-
-    return sets.mapInArrow(first, "bucket long, id long")
+    return texts.select("id", "text", "set_1", "set_2").mapInArrow(run, SETS)
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -174,48 +158,62 @@ def confirm(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int)
                 keep.append(denominator * common >= numerator * (len(both) - common))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    first = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    second = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    # length of the smaller set bounds the resemblance
-    small = F.least(F.length("x"), F.length("y")) * denominator >= F.greatest(F.length("x"), F.length("y")) * numerator
-    return pairs.join(first, "a").join(second, "b").where(small).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    first = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
+    second = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    return merged(merged(pairs, first, "a"), second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``.
+    """(doc_id, n_shingles, component_id, kept, text_hash) of every row of ``docs``.
 
     Null or empty text: an empty set, linked with nothing. Documents with equal sets are one
-    item until the end, however many they are. Rows of one doc_id count as one document's
-    and repeat in the result; rows with a null doc_id are never linked (component null, kept).
+    item until the end, however many they are. Rows of one doc_id with different texts are
+    items of their own; equal rows repeat in the result. Rows with a null doc_id are never
+    linked (component null, kept). ``text_hash`` (xxhash64) tells rows of one doc_id apart.
     An empty table gives an empty result. Other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     signed = scratch.put(sign(docs, width), "signed")
     own = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    groups = own.groupBy("set_1", "set_2").agg(F.min("doc_id").alias("first"), F.min_by("bands", "doc_id").alias("bands"))
-    groups = scratch.put(groups, "groups")
-    members = groups.select(F.posexplode("bands").alias("band", "bucket"), F.col("first").alias("id"))
-    shared = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", "n")
-    members = scratch.put(members.join(shared, "bucket").select("bucket", "id", "n", (F.col("band") < EARLY).alias("early")), "members")
-    W.small_batches(spark, 500)
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = W.table(docs, "doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = scratch.put(sets_of(texts, width), "sets")
-    crowded = members.where(F.col("n") > HOT).select(F.col("id").alias("doc_id")).distinct()
-    few = members.where(F.col("n") <= HOT).select("bucket", "id", "early")
-    prefix = prefix_buckets(sets.join(crowded, "doc_id", "left_semi"), scratch, numerator, denominator)
-    bucketed = scratch.put(few.union(prefix.withColumn("early", F.pmod("bucket", F.lit(8)) == 0)).withColumn("pivot", F.lit(True)), "bucketed")
+    groups = own.groupBy("set_1", "set_2").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"))
+    # numbered as they are written, so the numbers are unique and stay
+    groups = scratch.put(groups.withColumn("id", F.monotonically_increasing_id()), "groups")
+    banded = groups.select(F.explode("bands").alias("bucket"), "id")
+    shared = banded.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
+    members = scratch.put(merged(banded, shared, "bucket").select("bucket", "id", F.lit(True).alias("pivot")), "members")
+    labels = None
+    if members.limit(1).count():
+        wanted = merged(groups.select("id", "first", "set_1", "set_2"), members.select("id").distinct(), "id", "left_semi")
+        wanted = scratch.put(wanted, "wanted")
+        W.small_batches(spark, 500)
+        texts = W.table(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+        texts = sifted(texts, "doc_id", wanted.withColumnRenamed("first", "doc_id"), "inner")
+        # equal rows once; they lie in one partition already
+        texts = texts.withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "id", "text_hash"])
+        sets = scratch.put(sets_of(texts, width), "sets")
+
+        def may_link(x: str, y: str):
+            """Of n + m elements at least as many as the maps differ in are not shared: is what is left enough?"""
+            both = F.col(f"{x}.n") + F.col(f"{y}.n")
+            common = (both - differing(x, y, MAP)) / 2
+            large = F.least(F.col(f"{x}.n"), F.col(f"{y}.n")) * denominator >= F.greatest(F.col(f"{x}.n"), F.col(f"{y}.n")) * numerator
+            return large & (common * denominator >= (both - common) * numerator)
+
+        features = sets.select("id", F.struct("n", *(f"b{i}" for i in range(MAP))).alias("f"))
+        labels, links = components(members, features, may_link, lambda pairs: confirm(pairs, sets, numerator, denominator), scratch)
+        scratch.drop(sets, wanted, links)
     scratch.drop(members)
-    members = bucketed
-    labels, _ = components(members, lambda pairs: confirm(pairs, sets, numerator, denominator), scratch, early="early")
-    scratch.drop(sets, members)
-    roots = groups.select("set_1", "set_2", F.col("first").alias("id"))
+    roots = groups.select("id", "set_1", "set_2", "first")
     if labels is not None:
-        roots = roots.join(labels, "id", "left").select("set_1", "set_2", F.coalesce("component", "id").alias("root"))
+        linked = merged(roots, labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        least = linked.groupBy("component").agg(F.min("first").alias("root"))
+        roots = merged(linked, least, "component").select("set_1", "set_2", "root")
     else:
-        roots = roots.withColumnRenamed("id", "root")
-    out = signed.drop("bands").join(roots, ["set_1", "set_2"], "left")
-    linked = F.col("n_shingles") > 0
-    component = F.when(F.col("doc_id").isNotNull(), F.when(linked, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+        roots = roots.select("set_1", "set_2", F.col("first").alias("root"))
+    # the many documents without words don't meet under one key
+    some = F.col("n_shingles") > 0
+    keyed = signed.drop("bands").withColumn("set_1", F.when(some, F.col("set_1")).otherwise(F.xxhash64("doc_id"))).withColumn("set_2", F.when(some, F.col("set_2")))
+    out = merged(keyed, roots, ["set_1", "set_2"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.when(some, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "text_hash")

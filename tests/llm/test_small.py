@@ -104,6 +104,25 @@ def test_pieces(docs, empty, texts):
     assert sp.encode(empty, PIECES).count() == 0
 
 
+def test_pieces_of_awkward_texts(spark):
+    """Segments on both sides of the longest, long texts, the space's own sign, control characters, repeated rows, null ids."""
+    import sentencepiece
+
+    from tamarisk.llm import sentencepieces as sp
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = random.Random(14)
+    rows = [(n, "".join(rng.choice("abcdeé☃") for _ in range(n))) for n in range(60, 70)]
+    rows += [(100, "a▁b"), (101, "\t\x00x\n\n y"), (102, "word " * 30000), (103, "z" * 20000), (None, "same"), (104, "same"), (104, "same"), (105, None), (106, "  two  spaces  ")]
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, ids int")
+    found = sp.encode(df, PIECES).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, tuple(r.ids)) for r in found) == sorted((-1 if i is None else i, tuple(library.encode(t or ""))) for i, t in rows)
+    assert {r.doc_id for r in found if not r.round_trip} == {100}
+    assert all(zlib.crc32(b"".join(x.to_bytes(4, "little") for x in r.ids)) == r.ids_crc32 and r.n_ids == len(r.ids) for r in found)
+    back = {r.doc_id: r.text for r in sp.decode(sp.encode(df.where("doc_id IS NOT NULL"), PIECES), PIECES).collect()}
+    assert all(back[i] == (t or "") for i, t in rows if i not in (None, 100))
+
+
 def test_viterbi_is_best():
     from tamarisk.llm import sentencepieces as sp
 
@@ -141,17 +160,81 @@ def near_groups(texts):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("hot", [64, 2])
-def test_minhash(docs, empty, texts, hot, monkeypatch):
+def test_minhash(docs, empty, texts):
     from tamarisk.llm import minhash
 
-    monkeypatch.setattr(minhash, "HOT", hot)
     rows = by_id(minhash.near_duplicates(docs))
     assert {i: (r.n_shingles, r.component_id) for i, r in rows.items()} == near_groups(texts)
     assert all(r.kept == (i == r.component_id) for i, r in rows.items())
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_minhash_of_unlike_copies(spark):
+    """Copies of one text, many of them linked with no other, of a group without a centre, and chains; resemblances around the threshold."""
+    from tamarisk.llm import minhash
+
+    rng = random.Random(12)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{rng.randint(0, 400)}" for _ in range(90)]
+        chain = list(base)
+        for k in range(40):
+            own = list(base if k % 3 else chain)
+            for _ in range(rng.randint(0, 5)):
+                own[rng.randrange(len(own))] = f"x{rng.randint(0, 30)}"
+            chain = chain if k % 3 else own
+            rows.append((len(rows) * 7, " ".join(own)))
+    rng.shuffle(rows)
+    found = by_id(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)))
+    sets = {i: set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    assert {i: r.component_id for i, r in found.items()} == {i: find(i) for i in sets}
+    sizes = [sum(find(i) == r for i in sets) for r in set(map(find, sets))]
+    assert max(sizes) > 10 and sizes.count(1) > 10
+
+
+def test_minhash_recall():
+    """Bands propose every pair at the threshold or over it, of a thousand generated ones."""
+    import numpy as np
+
+    from tamarisk.llm import minhash
+
+    rng = np.random.default_rng(2)
+    missed = 0
+    for n in (30, 150, 900):
+        for _ in range(350):
+            common = -(-6 * n // 7)
+            x = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            y = np.concatenate([x[:common], rng.integers(0, 1 << 63, n - common, dtype=np.uint64)])
+            both = np.concatenate([x, y, x[:1]])
+            keys = minhash.band_keys(*minhash.signatures(both, np.array([0, n, 2 * n, 2 * n + 1])))
+            missed += not (keys[0] == keys[1]).any()
+    assert missed <= 1
+
+
+def test_parity_maps_bound_differences():
+    import numpy as np
+
+    from tamarisk.llm import minhash
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 400, n, dtype=np.uint64)) for n in (1, 5, 80, 200, 0, 900)]
+    maps = minhash.parity_maps(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]))
+    for (x, p), (y, q) in itertools.combinations(zip(sets, maps, strict=True), 2):
+        assert np.bitwise_count(p ^ q).sum() <= len(np.setxor1d(x, y))
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -213,7 +296,7 @@ def test_lines(spark, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
-def near_groups(items, most):
+def near_lines(items, most):
     """(document, place) of all but the first of each component, by all pairs."""
     root = list(range(len(items)))
 
@@ -249,7 +332,7 @@ def test_lines_by_length(spark):
     rng.shuffle(texts)
     rows = [(i, "\n".join(texts[i * 7 : i * 7 + 7])) for i in range(13)]
     items = [(i, p, x) for i, t in rows for p, x in enumerate(t.split("\n")) if len(x) >= 20]
-    gone = near_groups(items, lambda n: min(n // 20, 4))
+    gone = near_lines(items, lambda n: min(n // 20, 4))
     found = by_id(lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), lines.BY_LENGTH))
     for i, t in rows:
         assert found[i].text == "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in gone)
@@ -510,6 +593,12 @@ def test_null_ids_and_repeated_rows(spark):
     near = minhash.near_duplicates(df).collect()
     assert sorted((r.doc_id, r.component_id) for r in near if r.doc_id) == [(1, 1), (1, 1), (2, 1), (2, 2)]
     assert [r.kept for r in near if r.doc_id is None] == [True]
+    import corpus_pipeline
+
+    other = text.replace("w", "v")
+    rows = [(1, text), (2, text), (2, other), (3, other + " end"), (3, text + " end"), (1, None)]
+    own = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r.doc_id, r.text or "") for r in corpus_pipeline.near_dedup(spark, own, "").collect()) == [(1, ""), (1, text), (2, other)]
     gone = sorted((r.doc_id or 0, r.n_removed) for r in substrings.remove_repeats(df).collect())
     assert gone == [(0, 0), (1, 0), (1, 0), (2, 0), (2, 80)]
     assert packing.pack(df, WORD_BPE).agg(F.count_distinct("sequence_id", "offset")).first()[0] == packing.pack(df, WORD_BPE).count()
