@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # How letters, letter pairs and digits are read.
@@ -21,7 +21,7 @@ LETTERS = {
     "sh": "ش", "kh": "خ", "gh": "غ", "th": "ث", "dh": "ذ", "ch": "تش", "ou": "و", "oo": "و", "ee": "ي", "aa": "ا", "ii": "ي", "ph": "ف",
     "3a": "ع", "3e": "ع", "3i": "عي", "7a": "ح", "7e": "ح", "7i": "حي", "5a": "خ", "5e": "خ", "9a": "ص", "6a": "ط", "2a": "أ", "2i": "إ", "2o": "ؤ",
 }
-MARKS = r"(?i)(?<![A-Za-z0-9_])(?:ya|yala|w?allah|insha|7a[br]|ma3a|3ala|a5|el|el-|al-|ibn|bnt|kel[bm]|5awal|ta7t)(?![A-Za-z0-9_])"
+MARKS = r"(?i)(?<![A-Za-z0-9_])(?:ya|yala|w?allah|insha|7a[br]|ma3a|3ala|kos|7mar|a5|el|el-|al-|ibn|bnt|kel[bm]|shar?m|na?yek|5awal|ta7t)(?![A-Za-z0-9_])"
 
 
 def is_arabizi(text: Column) -> Column:
@@ -37,6 +37,14 @@ def transliterator(letters: dict[str, str] | None = None):
     return lambda word: keys.sub(lambda m: table[m[0].lower()], word)
 
 
+def word_table(words: DataFrame, most: int = 100_000) -> dict[str, str]:
+    """The readings of whole words and phrases from a table (latin, arabic); a parameter of a known, small size."""
+    rows = words.select("latin", "arabic").where("latin IS NOT NULL AND arabic IS NOT NULL").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} words: join them instead")
+    return {r.latin.lower(): r.arabic for r in rows}
+
+
 def transliterate(text: Column, words: dict[str, str] | None = None, letters: dict[str, str] | None = None) -> Column:
     """Arabizi text word by word; whole phrases and words of ``words`` first. Other text stays."""
     known, read = {k.lower(): v for k, v in (words or {}).items()}, transliterator(letters)

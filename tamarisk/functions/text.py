@@ -189,6 +189,10 @@ def has_mojibake(text: Column) -> Column:
     return text.contains("\ufffd")
 
 
+def length_between(text: Column, shortest: int, longest: int) -> Column:
+    return F.coalesce(F.length(text).between(shortest, longest), F.lit(False))
+
+
 def truncate(text: Column, n: int, mark: str = "") -> Column:
     return F.when(F.length(text) > n, F.concat(F.left(text, F.lit(n)), F.lit(mark))).otherwise(text)
 

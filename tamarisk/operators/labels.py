@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamarisk.functions import text as T
+
 
 def map_label(label: Column, mapping: dict[str, int]) -> Column:
     """0/1 by the exact (trimmed) label, else by its lower case; null if unmapped."""
@@ -51,8 +53,47 @@ def says_offensive(value: Column) -> Column:
     return F.coalesce(low.contains("offensive") & ~low.contains("not"), F.lit(False)).cast("int")
 
 
-def standardize(df: DataFrame, text: str, label: str | list[str], mapping: dict[str, int], source: str, dialect: str = "Unknown") -> DataFrame:
-    """(text, label, source, dialect) of a raw table; unmapped labels stay null for the caller to route."""
+def with_text(df: DataFrame, label: bool = False, strip: bool = False) -> DataFrame:
+    """Rows (text, ...) whose text is neither null nor blank, in all of Unicode's white space.
+
+    ``label``: nor the label null. ``strip``: the text is kept without white space at its ends.
+    """
+    bare = T.strip(F.col("text"))
+    out = df.where(F.col("text").isNotNull() & (bare != ""))
+    out = out.where(F.col("label").isNotNull()) if label else out
+    return out.withColumn("text", bare) if strip else out
+
+
+def routed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with a label, rows without one, which a label map did not know)."""
+    return df.where(F.col("label").isNotNull()), df.where(F.col("label").isNull())
+
+
+def prepare(df: DataFrame, text: str | int, label: str | list[str], mapping: dict[str, int], source: str, dialect: str = "Unknown", script: bool = True, shortest: int = 3, longest: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """((text, label, source, dialect, original_text) fit for a corpus, (text, label, source) of unknown labels).
+
+    In order: no null or blank text, Arabic script, no text in the place of a label, known label,
+    normalised text of ``shortest`` to ``longest`` characters, no replacement characters, not blank.
+    Each is a filter on the raw row, so Spark reads it once for either result.
+    """
+    own = with_text(df.withColumn("text", (df[df.columns[text]] if isinstance(text, int) else df[f"`{text}`"]).cast("string")))
+    own = own.where(T.is_arabic_script(F.col("text"))) if script else own
+    many = isinstance(label, list)
+    if many:
+        value = any_positive([own[f"`{c}`"] for c in label], mapping)
+    else:
+        own = own.where(~is_corrupt(own[f"`{label}`"]))
+        value = map_label(own[f"`{label}`"], mapping)
+    raw = own.select("text", F.lit(None).cast("string").alias("raw_label") if many else own[f"`{label}`"].cast("string").alias("raw_label"), value.alias("label"))
+    known, unknown = routed(raw)
+    clean = known.select(F.col("text").alias("original_text"), T.normalize(F.col("text")).alias("text"), "label", F.lit(source).alias("source"), F.lit(dialect).alias("dialect"))
+    clean = with_text(clean.where(T.length_between(F.col("text"), shortest, longest) & ~T.has_mojibake(F.col("text"))))
+    return clean.select("text", "label", "source", "dialect", "original_text"), unknown.select("text", F.col("raw_label").alias("label"), F.lit(source).alias("source"))
+
+
+def standardize(df: DataFrame, text: str | int, label: str | list[str], mapping: dict[str, int], source: str, dialect: str = "Unknown") -> DataFrame:
+    """(text, label, source, dialect) of a raw table, the text by name or place; unmapped labels stay null for :func:`routed`."""
+    text = df.columns[text] if isinstance(text, int) else text
     value = any_positive([df[c] for c in label], mapping) if isinstance(label, list) else map_label(df[label], mapping)
     return df.select(df[text].cast("string").alias("text"), value.alias("label"), F.lit(source).alias("source"), F.lit(dialect).alias("dialect"))
 

@@ -22,6 +22,12 @@ def exploded_counts(df: DataFrame, column: str, k: int | None = None) -> DataFra
     return value_counts(df.select(F.explode(F.split(column, r"\|")).alias("part")), F.col("part"), k)
 
 
+def distinct_parts(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
+    """How many distinct ``|``-joined parts there are, of all rows or a row of ``by``."""
+    parts = df.select(*([by] if by else []), F.explode(F.split(column, r"\|")).alias("part"))
+    return parts.groupBy(*([by] if by else [])).agg(F.count_distinct("part").alias("n_parts"))
+
+
 def keyword_coverage(df: DataFrame, keywords: DataFrame) -> DataFrame:
     """(category, hits, rows, pct) of toxic rows: ``hits`` counts a row once a keyword, ``rows`` once.
 
@@ -97,6 +103,21 @@ def columns(df: DataFrame) -> DataFrame:
     return counts.select(F.inline(rows))
 
 
+def inspect(df: DataFrame, few: int = 20, head: int = 3) -> DataFrame:
+    """:func:`columns` and, where a column has at most ``few`` values, a map of their counts; and its first ``head`` values.
+
+    The counts of all columns come of one aggregation by (column, value); columns with more
+    values only add to it what a distinct count needs anyway.
+    """
+    first = df.limit(head).agg(*(F.collect_list(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("null"))).alias(f"h{i}") for i, c in enumerate(df.columns)))
+    first = first.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"h{i}").alias("head")) for i, c in enumerate(df.columns)))))
+    cells = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in df.columns))))
+    by_value = cells.where("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n"))
+    small = by_value.groupBy("column").agg(F.count("*").alias("distinct_values")).where(F.col("distinct_values") <= few).select("column")
+    values = by_value.join(small, "column").groupBy("column").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "n")))).alias("values"))
+    return columns(df).join(values, "column", "left").join(first, "column", "left")
+
+
 def duplicates(df: DataFrame, key: str = "text") -> DataFrame:
     return df.agg((F.count(key) - F.count_distinct(key)).alias("n_duplicates"))
 

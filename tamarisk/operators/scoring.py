@@ -2,22 +2,63 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from concurrent import futures
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BATCH, LONGEST = 50, 2000
+# Seconds to wait before another try, by what failed, and for a call to end.
+WAITS = {"busy": 20.0, "limited": 5.0, "timeout": 1.0, "other": 20.0}
+TIMEOUT = 60.0
 SCORED = "text string, scores array<struct<label:string,score:double>>, error string"
 
 
-def classify(texts: DataFrame, load: Callable[[], Callable[[list[str]], list[list[tuple[str, float]]]]], batch: int = BATCH, retries: int = 3) -> DataFrame:
+class ModelFailure(Exception):
+    """What a model raises to say how it failed: ``busy`` (503), ``limited`` (429), ``timeout`` or ``other``."""
+
+    def __init__(self, kind: str, message: str = ""):
+        super().__init__(message or kind)
+        self.kind = kind
+
+
+def patiently(model: Callable, texts: list[str], retries: int = 3, waits: dict[str, float] | None = None, timeout: float = TIMEOUT, sleep: Callable[[float], None] = time.sleep) -> tuple[list | None, str | None]:
+    """(answer, None) or (None, error): a call is given ``timeout`` seconds, and after a failure ``retries`` more tries, each after the wait of its kind."""
+    waits = WAITS | (waits or {})
+    for left in range(retries, -1, -1):
+        pool = futures.ThreadPoolExecutor(1)
+        try:
+            return pool.submit(model, texts).result(timeout), None
+        except futures.TimeoutError:
+            kind, message = "timeout", f"no answer in {timeout} s"
+        except Exception as e:  # noqa: BLE001  a model may fail in any way; the error is told in its column
+            kind, message = getattr(e, "kind", "other"), str(e)
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
+        if left:
+            sleep(waits.get(kind, waits["other"]))
+    return None, message
+
+
+def score_new(texts: DataFrame, known: DataFrame, scorer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(text, label, score) of every distinct text: from the table of ``known`` ones where it has it, else by ``scorer``."""
+    own = texts.select("text").where("text IS NOT NULL").distinct()
+    names = ["text", "label", "score"]
+    found = own.join(known.select(*names).dropDuplicates(["text"]), "text")
+    return found.select(*names).union(scorer(own.join(known.select("text"), "text", "left_anti")).select(*names))
+
+
+def classify(texts: DataFrame, load: Callable[[], Callable[[list[str]], list[list[tuple[str, float]]]]], batch: int = BATCH, retries: int = 3, waits: dict[str, float] | None = None, timeout: float = TIMEOUT) -> DataFrame:
     """(text, scores, error) of rows (text): the model is loaded once a worker and called with up to ``batch`` texts.
 
     Blank texts and those over 2000 characters are refused with an error. A call that keeps
-    failing gives null scores and the error, never a verdict.
+    failing (:func:`patiently`) gives null scores and the error, never a verdict.
     """
+    if not 1 <= batch <= BATCH:
+        raise ValueError(f"a request holds 1 to {BATCH} texts")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
@@ -28,14 +69,9 @@ def classify(texts: DataFrame, load: Callable[[], Callable[[list[str]], list[lis
                 scores, error = [None] * len(part), [None if v else "empty or too long" for v in valid]
                 own = part.text[valid].tolist()
                 if own:
-                    for left in range(retries, -1, -1):
-                        try:
-                            made = model(own)
-                            break
-                        except Exception as e:  # noqa: BLE001  a model may fail in any way; the error is told in its column
-                            made, message = None, str(e)
-                            if not left:
-                                error = [x or message for x in error]
+                    made, message = patiently(model, own, retries, waits, timeout)
+                    if made is None:
+                        error = [x or message for x in error]
                     if made is not None:
                         it = iter(made)
                         scores = [[{"label": a, "score": float(b)} for a, b in next(it)] if v else None for v in valid]

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tamarisk.operators.splits import seeded
 
 
+#: What an adversarial suite hides words by.
+OBFS = ("dots", "spaces", "elongate", "tatweel", "diacritics", "zero_width", "mask")
+
+
 def disguises(word: Column) -> dict[str, Column]:
     """Name -> disguised word; ``plain`` is the word itself."""
     letters = F.split(word, "")
@@ -32,16 +36,17 @@ def disguised(words: DataFrame, word: str = "word", only: tuple[str, ...] | None
     return words.select("*", F.inline(F.array(*made)))
 
 
-def generate(seeds: DataFrame, morphs: list[tuple[str, str]], carriers: list[str], target: int, seed: int = 42, carried: int = 60) -> DataFrame:
+def generate(seeds: DataFrame, morphs: list[tuple[str, str]], carriers: list[str], target: int, seed: int = 42, carried: int = 60, safe_frames: list[str] | None = None) -> DataFrame:
     """(text, expected, dialect, category, obf, morph): up to ``target`` distinct cases, half toxic and half safe as far as they go.
 
     ``seeds`` (word, expected, dialect, category); ``morphs`` (name, pattern with {}); ``carriers``
-    are frames with {}. Every seed meets every form, disguise and carrier: three nested
+    are frames with {}, ``safe_frames`` those of safe seeds (else the same). Every seed meets every form, disguise and carrier: three nested
     expansions of each seed's own row by fixed lists, no join.
     """
     forms = seeds.select("expected", "dialect", "category", F.inline(F.array(*(F.struct(F.lit(n).alias("morph"), F.replace(F.lit(p), F.lit("{}"), F.col("word")).alias("form")) for n, p in morphs))))
     made = disguised(forms, "form")
-    framed = F.transform(F.array(*map(F.lit, carriers)), lambda c: F.replace(c, F.lit("{}"), F.col("text")))
+    frames = F.when(F.col("expected") == 1, F.array(*map(F.lit, carriers))).otherwise(F.array(*map(F.lit, safe_frames or carriers)))
+    framed = F.transform(frames, lambda c: F.replace(c, F.lit("{}"), F.col("text")))
     in_frame = F.pmod(F.xxhash64("text", "expected"), F.lit(100)) < carried
     cases = made.select("expected", "dialect", "category", "obf", "morph", F.explode(F.when(in_frame, framed).otherwise(F.array("text"))).alias("text"))
     cases = cases.groupBy("text", "expected").agg(F.min(F.struct("dialect", "category", "obf", "morph")).alias("of")).select("text", "expected", "of.*")
@@ -50,9 +55,47 @@ def generate(seeds: DataFrame, morphs: list[tuple[str, str]], carriers: list[str
     return cases.where("expected = 1").orderBy(order, "text").limit(half).union(cases.where("expected = 0").orderBy(order, "text").limit(target - half))
 
 
-def hard_negatives(texts: DataFrame, frames: list[str], obfs: tuple[str, ...] = ("dots", "spaces", "elongate", "tatweel", "diacritics", "zero_width")) -> DataFrame:
-    """(text, expected = 0, category, flags): safe texts in frames and in disguise, each once."""
-    framed = texts.select("category", F.explode(F.transform(F.array(*map(F.lit, frames)), lambda f: F.replace(f, F.lit("{}"), F.col("text")))).alias("text"), F.array(F.lit("framed")).alias("flags"))
+def pick(options: list[str], *salt: Column) -> Column:
+    """One of the options, fixed by a hash."""
+    return F.get(F.array(*map(F.lit, options)), F.pmod(F.xxhash64(*salt), F.lit(len(options))).cast("int"))
+
+
+def adversarial(seeds: DataFrame, morphs: list[tuple[str, str]], carriers: list[str], safe_frames: list[str], context_frames: list[str], obfs: tuple[str, ...] = OBFS) -> DataFrame:
+    """(text, expected, category): a small suite, each text once.
+
+    ``seeds`` (word, expected, category, contextual boolean). A toxic seed stands plain, carried,
+    inflected, disguised, and inflected and disguised; a safe one plain, framed and disguised;
+    a contextual one, safe where nobody is addressed, in all context frames.
+    """
+    word = F.col("word")
+    filled = lambda frame, w: F.replace(frame, F.lit("{}"), w)
+
+    def hidden(w: Column, salt: str) -> Column:
+        by_name = disguises(w)
+        return F.get(F.array(*(by_name[n] for n in obfs)), F.pmod(F.xxhash64("word", F.lit(salt)), F.lit(len(obfs))).cast("int"))
+
+    inflected = filled(pick([p for _, p in morphs], word, F.lit("morph")), word)
+    toxic = F.array(word, filled(pick(carriers, word, F.lit("carrier")), word), inflected, hidden(word, "obf"), hidden(inflected, "both"))
+    safe = F.array(word, filled(pick(safe_frames, word, F.lit("frame")), word), hidden(word, "obf"))
+    framed = F.array(*(filled(F.lit(f), word) for f in context_frames))
+    made = F.when(F.col("contextual"), framed).when(F.col("expected") == 1, toxic).otherwise(safe)
+    cases = seeds.select(F.explode(made).alias("text"), F.when(F.col("contextual"), 0).otherwise(F.col("expected")).alias("expected"), "category")
+    return cases.where("text IS NOT NULL AND text != ''").groupBy("text", "expected").agg(F.min("category").alias("category"))
+
+
+def hard_negatives(texts: DataFrame, frames: list[str] | dict[str, list[str]], obfs: tuple[str, ...] = ("dots", "spaces", "elongate", "tatweel", "diacritics", "zero_width")) -> DataFrame:
+    """(text, expected = 0, category, flags): safe texts in frames and in disguise, each once.
+
+    ``frames`` by category, or one list for all; a category without frames is only disguised.
+    """
+    listed = lambda f: F.array(*map(F.lit, f)).cast("array<string>")
+    if isinstance(frames, dict):
+        own = listed([])
+        for category, some in frames.items():
+            own = F.when(F.col("category") == category, listed(some)).otherwise(own)
+    else:
+        own = listed(frames)
+    framed = texts.select("category", F.explode(F.transform(own, lambda f: F.replace(f, F.lit("{}"), F.col("text")))).alias("text"), F.array(F.lit("framed")).alias("flags"))
     hidden = disguised(texts.select("category", F.col("text").alias("word")), "word", obfs).select("category", "text", F.array(F.lit("disguised"), "obf").alias("flags"))
     both = framed.union(hidden)
     return both.groupBy("text").agg(F.lit(0).alias("expected"), F.min("category").alias("category"), F.min("flags").alias("flags"))

@@ -129,18 +129,47 @@ def script_ratio_filter(spark, d):
     return docs.where("ratio >= 0.8").select("doc_id", "ratio")
 
 
-@query("SELECT doc_id, false AS arabic_script, false AS has_arabic, false AS arabizi FROM documents WHERE contains(text, 'zzzz') UNION ALL SELECT doc_id, false, false, false FROM documents WHERE NOT contains(text, 'zzzz') AND NOT regexp_matches(text, '[2345679]') AND NOT regexp_matches(text, '(?i)(^|[^a-z0-9_])(ya|yala|w?allah|insha|7a[br]|ma3a|3ala|a5|el|el-|al-|ibn|bnt|kel[bm]|5awal|ta7t)([^a-z0-9_]|$)')")
-def script_flags(spark, d):
-    return script_flags_all(spark, d).where("NOT arabizi")
+_COUNT = lambda c: f"length(regexp_replace(text, '[^{c}]', '', 'g'))"
+_ARABIC = r"\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}"
+_SCRIPTS = r"a-zA-Zа-яА-Я\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{4E00}-\x{9FFF}"
+_BARE = r"trim(regexp_replace(text, 'https?://[^\x20\x09-\x0D]+|www\.[^\x20\x09-\x0D]+', '', 'g'), ' ')"
 
 
-@query()
-def script_flags_all(spark, d):
-    """Every document; ``script_flags`` is what its twin can check of it."""
+@query(
+    f"""SELECT doc_id, coalesce({_COUNT(_ARABIC)} * 1.0 / nullif({_COUNT(_SCRIPTS)}, 0) >= 0.5, false) AS arabic_script, coalesce({_COUNT(_ARABIC)} * 1.0 / nullif({_COUNT(_ARABIC + "a-zA-Z")}, 0) >= 0.5, false) AS has_arabic,
+  coalesce(regexp_matches(text, '[a-zA-Z]') AND NOT regexp_matches(text, '[\\x{{0600}}-\\x{{06FF}}]') AND length(bare) >= 3 AND (regexp_matches(bare, '[2345679]')
+    OR regexp_matches(bare, '(?i)(^|[^A-Za-z0-9_])(ya|yala|w?allah|insha|7a[br]|ma3a|3ala|kos|7mar|a5|el|el-|al-|ibn|bnt|kel[bm]|shar?m|na?yek|5awal|ta7t)([^A-Za-z0-9_]|$)')), false) AS arabizi
+FROM (SELECT doc_id, text, {_BARE} AS bare FROM documents)"""
+)
+def script_flags(spark, d):
     docs = table(spark, d, "documents")
     return docs.select("doc_id", T.is_arabic_script(F.col("text")).alias("arabic_script"), T.has_arabic(F.col("text")).alias("has_arabic"), arabizi.is_arabizi(F.col("text")).alias("arabizi"))
 
 
+@query(
+    f"""WITH j AS (SELECT d.doc_id, d.text, d.source, l.toxic AS label FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+SELECT count_if(text IS NOT NULL AND regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g') <> '') AS with_text,
+  count_if(text IS NOT NULL AND label IS NOT NULL AND regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g') <> '') AS with_both,
+  count_if(label IS NOT NULL) AS labelled, count_if(label IS NULL) AS unlabeled FROM j"""
+)
+def cleaned_rows(spark, d):
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").select("text", F.col("toxic").alias("label"))
+    known, unknown = B.routed(rows)
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    out = count(B.with_text(rows), "with_text")
+    for df, name in ((B.with_text(rows, label=True, strip=True), "with_both"), (known, "labelled"), (unknown, "unlabeled")):
+        out = out.join(count(df, name), F.lit(True))  # one row each
+    return out
+
+
+@query()
+def prepared_rows(spark, d):
+    """The kept rows and those of unknown labels, side by side; the Latin texts lose all but spaces in the corpus' normal form, so an Arabic word is put before each."""
+    docs = table(spark, d, "documents").select(F.concat(F.lit("سلام يا عالم وكلام طويل هنا "), F.substring_index("text", " ", 8)).alias("text"), F.col("lang").alias("label"))
+    clean, unknown = B.prepare(docs, "text", "label", {"en": 1, "fr": 0}, "own", script=False)
+    return clean.select("text", "label", F.lit(True).alias("kept")).union(unknown.select("text", F.lit(None).cast("int"), F.lit(False)))
+
+
 FUNNEL = [("latin", "regexp_matches(text, '[a-z]')"), ("length", "length(text) BETWEEN 3 AND 1000"), ("english", "lang = 'en'")]
 
 
@@ -202,10 +231,22 @@ def seeded_sample(spark, d):
     return S.sample(table(spark, d, "documents"), "doc_id", 100, 7).select("doc_id")
 
 
-@query("SELECT 'none' AS left_split, 'none' AS right_split, 0 AS n WHERE false")
+@query(
+    """WITH p AS (SELECT DISTINCT text, CASE WHEN h < '4' THEN 'a' WHEN h < 'a' THEN 'b' ELSE 'c' END AS split FROM (SELECT text, md5('42' || CAST(doc_id AS VARCHAR)) AS h FROM documents))
+SELECT l.split AS left_split, r.split AS right_split, count(*) AS n FROM p l JOIN p r ON l.text = r.text AND l.split < r.split GROUP BY ALL"""
+)
 def leakage_check(spark, d):
+    """A split by row, which copies of a text do leak through."""
+    order = S.seeded(F.col("doc_id"))
+    rows = table(spark, d, "documents").select("text", F.when(order < "4", "a").when(order < "a", "b").otherwise("c").alias("split"))
+    return S.leakage(rows).select(F.col("left").alias("left_split"), F.col("right").alias("right_split"), "n")
+
+
+@query("SELECT 0 AS n")
+def leakage_of_text_split(spark, d):
+    """The split by text shares none."""
     texts = labelled(spark, d).groupBy("text").agg(F.max("label").alias("label"))
-    return S.leakage(S.stratified(texts, "label", "text")).select(F.col("left").alias("left_split"), F.col("right").alias("right_split"), F.col("n").cast("int").alias("n"))
+    return S.leakage(S.stratified(texts, "label", "text")).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("int").alias("n"))
 
 
 @query("SELECT event_id, user_id, rank FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rank FROM events) WHERE rank <= 5")
@@ -270,6 +311,21 @@ def profile_columns(spark, d):
     return P.columns(table(spark, d, "documents")).select("column", "nulls", "distinct_values")
 
 
+@query("""WITH l AS (SELECT count_if(quality IS NULL) AS nq, count(DISTINCT quality) AS dq, count_if(toxic IS NULL) AS nt, count(DISTINCT toxic) AS dt, count_if(doc_id IS NULL) AS ni, count(DISTINCT doc_id) AS di FROM labels),
+v AS (SELECT 'quality' AS c, quality AS k, count(*) AS n FROM labels WHERE quality IS NOT NULL GROUP BY 2 UNION ALL SELECT 'toxic', toxic, count(*) FROM labels WHERE toxic IS NOT NULL GROUP BY 2),
+m AS (SELECT c, string_agg(k || '=' || n, ',' ORDER BY k) AS values FROM v GROUP BY c)
+SELECT a.column, a.nulls, a.distinct_values, CASE WHEN a.distinct_values <= 20 THEN m.values END AS values FROM (SELECT 'doc_id' AS column, ni AS nulls, di AS distinct_values FROM l UNION ALL SELECT 'quality', nq, dq FROM l UNION ALL SELECT 'toxic', nt, dt FROM l) a LEFT JOIN m ON m.c = a.column""")
+def inspect_labels(spark, d):
+    found = P.inspect(table(spark, d, "labels"))
+    values = F.array_join(F.transform(F.map_entries("values"), lambda e: F.concat_ws("=", e.key, e.value.cast("string"))), ",")
+    return found.select("column", "nulls", "distinct_values", values.alias("values"))
+
+
+@query("SELECT lang, count(DISTINCT part) AS n_parts FROM (SELECT lang, unnest(string_split(source || '|' || lang, '|')) AS part FROM documents) GROUP BY lang")
+def distinct_sources(spark, d):
+    return P.distinct_parts(table(spark, d, "documents").select("lang", F.concat_ws("|", "source", "lang").alias("source")), "source", "lang")
+
+
 @query("SELECT count(text) - count(DISTINCT text) AS n_duplicates FROM documents")
 def duplicate_count(spark, d):
     return P.duplicates(table(spark, d, "documents"))
@@ -440,10 +496,25 @@ def share_code_round_trip(spark, d):
     return C.from_share_code(C.share_code(docs.select(F.col("source").alias("word"))), docs.select(F.col("lang").alias("word")).distinct())
 
 
-@query("SELECT word, array_to_string(string_split(word, ''), '.') AS dots, repeat(left(word, 1), 4) || substr(word, 2) AS elongate, left(word, length(word) // 2) || '*' || substr(word, length(word) // 2 + 1) AS mask FROM (SELECT DISTINCT source AS word FROM documents)")
+_JOINED = lambda sign: f"array_to_string(string_split(word, ''), '{sign}')"
+_HEAD, _TAIL = "left(word, length(word) // 2)", "substr(word, length(word) // 2 + 1)"
+
+
+@query(
+    f"""SELECT word, word AS plain, {_JOINED(".")} AS dots, {_JOINED(" ")} AS spaces, {_JOINED("-")} AS dashes, {_JOINED("_")} AS underscore, repeat(left(word, 1), 4) || substr(word, 2) AS elongate,
+  {_JOINED(chr(0x640))} AS tatweel, {_JOINED(chr(0x64E))} AS diacritics, {_JOINED(chr(0x200B))} AS zero_width, translate(word, 'ا', 'أ') AS alef_swap, translate(word, 'كي', 'کی') AS farsi, regexp_replace(word, 'ه$', 'ة') AS ta_marbuta,
+  translate(word, 'اهaeo', 'аеаео') AS cyrillic, {_HEAD} || 'ىى' || {_TAIL} AS filler, {_HEAD} || '*' || {_TAIL} AS mask
+FROM (SELECT DISTINCT source || '/' || lang AS word FROM documents)"""
+)
 def suite_disguises(spark, d):
-    words = table(spark, d, "documents").select(F.col("source").alias("word")).distinct()
-    return words.select("word", *(c.alias(n) for n, c in G.disguises(F.col("word")).items() if n in ("dots", "elongate", "mask")))
+    words = table(spark, d, "documents").select(F.concat_ws("/", "source", "lang").alias("word")).distinct()
+    return words.select("word", *(c.alias(n) for n, c in G.disguises(F.col("word")).items()))
+
+
+@query()
+def suite_adversarial(spark, d):
+    seeds = spark.createDataFrame([(*row[:2], row[3], False) for row in SUITE_SEEDS] + [("dog", 1, "animal", True)], "word string, expected int, category string, contextual boolean")
+    return G.adversarial(seeds, MORPHS, CARRIERS, ["a {} came", "my {}"], ["the {} is here", "I saw a {}", "{} is a word"])
 
 
 @query()
@@ -467,6 +538,14 @@ def batch_scoring(spark, d):
     return M.classify(texts, _toy_model).select("text", M.reduce_scores(F.col("scores")).alias("r")).select("text", "r.label", "r.score")
 
 
+@query("SELECT text, CASE WHEN length(text) % 3 = 0 THEN 'TOXIC' WHEN contains(text, 'idiot') THEN 'TOXIC' ELSE 'SAFE' END AS label, CASE WHEN length(text) % 3 = 0 THEN 0.5 ELSE 0.25 END AS score FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)", doubles="score")
+def known_scores(spark, d):
+    """A third of the texts is in the table of scored ones; a rule stands for the model on the others."""
+    texts = table(spark, d, "documents").select("text")
+    known = texts.where("length(text) % 3 = 0").select("text", F.lit("TOXIC").alias("label"), F.lit(0.5).alias("score"))
+    return M.score_new(texts, known, lambda df: df.select("text", F.when(F.col("text").contains("idiot"), "TOXIC").otherwise("SAFE").alias("label"), F.lit(0.25).alias("score")))
+
+
 @query()
 def lockout_replay(spark, d):
     tries = table(spark, d, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), (F.col("event_type") != "error").alias("success"))

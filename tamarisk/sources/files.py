@@ -8,17 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
-from tamarisk.operators import labels
+from tamarisk.operators import labels, profile
 
 # What a config means where it says nothing.
+EXTENSIONS = (".csv", ".tsv", ".xlsx", ".parquet", ".json", ".jsonl")
 DEFAULTS = {"dialect": "Unknown", "encoding": "utf-8", "separator": ",", "no_header": False}
 
 
-def read_table(spark: SparkSession, path: str, separator: str = ",", encoding: str = "utf-8", columns: list[str] | None = None, strict: bool = False, no_header: bool = False, sheet: int | str = 0) -> DataFrame:
+def read_table(spark: SparkSession, path: str, separator: str = ",", encoding: str = "utf-8", columns: list[str] | None = None, strict: bool = False, no_header: bool = False, sheet: int | str = 0, json_lines: bool | None = None) -> DataFrame:
     """A raw dataset by its extension: parquet, xlsx, tsv, json, jsonl, else CSV.
 
     Labels and texts are read as strings. Bad lines of CSV and TSV are skipped, or fail with
-    ``strict``. A directory of parquet is one table.
+    ``strict``. A directory of parquet is one table. ``json_lines`` says whether a ``.json``
+    file holds a value a line (by default a ``.jsonl`` file does, a ``.json`` file doesn't).
     """
     low = path.lower().rstrip("/")
     mode = "FAILFAST" if strict else "DROPMALFORMED"
@@ -26,10 +28,9 @@ def read_table(spark: SparkSession, path: str, separator: str = ",", encoding: s
         return spark.read.parquet(path)
     if low.endswith((".xlsx", ".xls")):
         return read_excel(spark, path, [sheet], columns if no_header else None)
-    if low.endswith(".jsonl"):
-        return spark.read.json(path, multiLine=False, mode=mode)
-    if low.endswith(".json"):
-        return spark.read.json(path, multiLine=True, mode=mode)
+    if low.endswith((".json", ".jsonl")):
+        lines = low.endswith(".jsonl") if json_lines is None else json_lines
+        return spark.read.json(path, multiLine=not lines, mode=mode)
     reader = spark.read.option("mode", mode).option("encoding", encoding).option("sep", "\t" if low.endswith(".tsv") else separator).option("quote", '"').option("escape", '"').option("multiLine", not low.endswith(".tsv"))
     if no_header:
         return reader.schema(ST.StructType([ST.StructField(c, ST.StringType()) for c in columns or ["text", "label"]])).csv(path, header=False)
@@ -46,6 +47,40 @@ def read_excel(spark: SparkSession, path: str, sheets: list[int | str], names: l
     return spark.createDataFrame(own.astype(object).where(own.notna(), None), schema)
 
 
+def read_many(spark: SparkSession, paths: list[str], **options) -> DataFrame:
+    """Several files of one dataset, one below the other, columns by name; what one lacks is null."""
+    if not paths:
+        raise ValueError("no files given")
+    out = read_table(spark, paths[0], **options)
+    for path in paths[1:]:
+        out = out.unionByName(read_table(spark, path, **options), allowMissingColumns=True)
+    return out
+
+
+def listed(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS) -> list[str]:
+    """Paths of the data files below a folder, sorted; none if there is no such folder."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return []
+    found, files = [], fs.listFiles(top, True)
+    while files.hasNext():
+        path = files.next().getPath().toString()
+        if path.lower().endswith(extensions):
+            found.append(path)
+    return sorted(found)
+
+
+def inspect_tree(spark: SparkSession, root: str) -> DataFrame | None:
+    """:func:`profile.inspect` of every data file below a folder, with ``file``; None where there is none. Its rows are as few as the columns."""
+    out = None
+    for path in listed(spark, root):
+        own = profile.inspect(read_table(spark, path)).select(F.lit(path).alias("file"), "*")
+        out = own if out is None else out.union(own)
+    return out
+
+
 def read_tree(spark: SparkSession, root: str, pattern: str = "*.parquet") -> DataFrame:
     """All parquet files below a folder, with ``file``."""
     return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).parquet(root).withColumn("file", F.input_file_name())
