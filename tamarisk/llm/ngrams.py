@@ -61,6 +61,11 @@ def folder(spark, scratch: Scratch) -> str:
     return root
 
 
+def bucket_count(parts: int) -> int:
+    """A power of two, four times the partitions of a shuffle: more data needs more partitions, and so gets more buckets."""
+    return 1 << min(16, (4 * parts - 1).bit_length())
+
+
 def save(path: str, array: np.ndarray) -> None:
     """Written under another name and renamed: a retried or speculative task replaces it by the same."""
     os.makedirs(os.path.dirname(path), exist_ok=True)
@@ -75,12 +80,11 @@ def load(path: str, dtype) -> np.ndarray:
 
 
 def packed(keys: np.ndarray, *values: np.ndarray) -> bytes:
-    """Sorted keys as differences, and small values beside, compressed."""
+    """Sorted keys as differences, and values beside, byte by byte (the upper bytes are nearly all zero), compressed."""
     import zstandard
 
-    gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    planes = gaps.view(np.uint8).reshape(-1, 8).T
-    raw = planes.tobytes() + b"".join(v.astype("<u4").tobytes() for v in values)
+    planes = lambda x: np.ascontiguousarray(x).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    raw = planes(np.diff(keys, prepend=np.uint64(0))) + b"".join(planes(v) for v in values)
     return np.int64(len(keys)).tobytes() + zstandard.ZstdCompressor(level=1).compress(raw)
 
 
@@ -88,9 +92,9 @@ def unpacked(blob: bytes, values: int) -> tuple[np.ndarray, ...]:
     import zstandard
 
     n = int(np.frombuffer(blob[:8], np.int64)[0])
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8:], max_output_size=n * (8 + 4 * values) + 64), np.uint8)
-    gaps = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<u8").ravel()
-    return np.cumsum(gaps, dtype=np.uint64), *(raw[8 * n + 4 * n * i : 8 * n + 4 * n * (i + 1)].view("<u4") for i in range(values))
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8:], max_output_size=8 * n * (1 + values) + 64), np.uint8)
+    gaps, *found = (np.ascontiguousarray(raw[8 * n * i : 8 * n * (i + 1)].reshape(8, n).T).view("<u8").ravel() for i in range(1 + values))
+    return np.cumsum(gaps, dtype=np.uint64), *(v.view("<i8") for v in found)
 
 
 def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -200,7 +204,7 @@ class Model:
             there = load(f"{self.root}/bigrams/{b}.key", np.uint64)
             if len(there):
                 at = np.minimum(np.searchsorted(there, ranked[x:y]), len(there) - 1)
-                count = load(f"{self.root}/bigrams/{b}.count", np.uint32)[at]
+                count = load(f"{self.root}/bigrams/{b}.count", np.int64)[at]
                 out[order[x:y]] = np.where(there[at] == ranked[x:y], count, 0)
         return out
 
@@ -251,7 +255,7 @@ def train(docs: DataFrame, scratch: Scratch) -> Model:
     """Counts over all of ``docs`` (doc_id, text) whose crc32 remainder is not 0."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 1 << min(12, (4 * parts - 1).bit_length())
+    buckets = bucket_count(parts)
     root = folder(spark, scratch)
     model = Model(root, buckets)
     end, begin = _special(END), _special(BEGIN)
@@ -271,7 +275,7 @@ def train(docs: DataFrame, scratch: Scratch) -> Model:
         for bucket, (keys, n) in merged(batches, 1):
             keys, n = keys[n > 0], n[n > 0]
             save(f"{root}/words/{bucket}.hash", keys)
-            save(f"{root}/words/{bucket}.count", n.astype(np.uint32))
+            save(f"{root}/words/{bucket}.count", n.astype(np.int64))
             real = keys != begin
             yield pa.RecordBatch.from_pylist([{"bucket": bucket, "size": len(keys), "n": int(n[real].sum())}])
 
@@ -285,12 +289,14 @@ def train(docs: DataFrame, scratch: Scratch) -> Model:
     model.n = sum(row.n for row in told)
     model.begin, model.end = (int(x) for x in model.ids(np.array([begin, end], np.uint64)))
     model.v = int(model.sizes.sum()) - (model.begin >= 0)
+    if model.sizes.sum() >= 1 << 32:
+        raise OverflowError("word ids take 32 bits of a bigram's key")
     least = max(1, model.n // HOT)
 
     def hot_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bucket in batch["id"].to_pylist():
-                n = load(f"{root}/words/{bucket}.count", np.uint32)
+                n = load(f"{root}/words/{bucket}.count", np.int64)
                 yield pa.RecordBatch.from_pylist([{"id": int(i) + int(model.offsets[bucket])} for i in np.flatnonzero(n > least)], pa.schema([("id", pa.int64())]))
 
     # at most HOT words can each have more than 1 / HOT of all tokens
@@ -311,7 +317,7 @@ def train(docs: DataFrame, scratch: Scratch) -> Model:
         held = []
         for bucket, (keys, n) in merged(batches, 1):
             save(f"{root}/bigrams/{bucket}.key", keys)
-            save(f"{root}/bigrams/{bucket}.count", n.astype(np.uint32))
+            save(f"{root}/bigrams/{bucket}.count", n.astype(np.int64))
             of += counts_of_counts(n)
             context, word = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
             one, zero = np.ones(len(keys), np.int64), np.zeros(len(keys), np.int64)
@@ -328,7 +334,7 @@ def train(docs: DataFrame, scratch: Scratch) -> Model:
 
     def write_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, (keys, *values) in merged(batches, 4):
-            table = np.zeros((model.sizes[bucket], 4), np.uint32)
+            table = np.zeros((model.sizes[bucket], 4), np.int64)
             table[keys.astype(np.int64) - model.offsets[bucket]] = np.stack(values, 1)
             save(f"{root}/words/{bucket}.stats", table)
             yield pa.RecordBatch.from_pylist([{"types": int(table[:, 3].sum()), "of": counts_of_counts(table[:, 3]), "more": int((table[:, 3] > 2).sum())}], pa.schema([("types", pa.int64()), ("of", pa.list_(pa.int64())), ("more", pa.int64())]))
@@ -353,8 +359,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             n_docs = len(words.counts)
             ids = model.ids(hashes)
             known = np.unique(np.concatenate([ids[ids >= 0], [x for x in (model.end, model.begin) if x >= 0]])).astype(np.int64)
-            count = model.of_words(known, "count", np.uint32)[:, 0]
-            stats = model.of_words(known, "stats", np.uint32, 4)
+            count = model.of_words(known, "count", np.int64)[:, 0]
+            stats = model.of_words(known, "stats", np.int64, 4)
             follow, precede = stats[:, :3], stats[:, 3]
             # a place for the unknown word at the end of the local arrays
             place = np.searchsorted(known, ids)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarisk.llm import words as W
-from tamarisk.llm.ngrams import folder, load, save
+from tamarisk.llm.ngrams import bucket_count, folder, load, save
 from tamarisk.llm.store import Scratch
 
 LENGTH, GRAM = 50, 16
@@ -142,7 +142,8 @@ class Contexts:
             cuts = (sizes + LONGEST - 1) // LONGEST
             offset = W.ragged(np.zeros(len(first), np.int64), cuts)
             first, sizes = np.repeat(first, cuts) + offset * LONGEST, np.minimum(np.repeat(sizes, cuts) - offset * LONGEST, LONGEST)
-        self.anchor, self.document, self.start, self.n = anchors[first], owner[first], starts[first], sizes
+        # a minimum is small: mixed, so that its upper bits deal evenly
+        self.anchor, self.document, self.start, self.n = W.mix(anchors[first]), owner[first], starts[first], sizes
         self.length = length
 
     def digests(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +243,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     scratch = Scratch(spark, "substrings")
     root = folder(spark, scratch)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 1 << min(12, (4 * parts - 1).bit_length())
+    buckets = bucket_count(parts)
     shared, shards, hot_windows = (Sorted(f"{root}/{n}", buckets) for n in ("anchors", "shards", "windows"))
     known = docs.where("doc_id IS NOT NULL")
 
