@@ -16,6 +16,7 @@ Characters without a piece become their bytes' pieces.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,6 +30,8 @@ from tamarisk.llm import words as W
 from tamarisk.llm.bpe import NONE, PairTable, merge
 
 SPACE = "▁"
+#: Upper bits of a hash by which its place among the sorted keys is looked up.
+TOP = 20
 #: Longer segments go through the library (merges) or alone (Viterbi).
 LONGEST = 64
 SEGMENTS = re.compile(r"\n+| *[^ \n]+| +")
@@ -76,6 +79,10 @@ class Pieces:
             if p.type == 6:
                 self.byte[int(p.piece[1:-1], 16)] = i
                 self.is_byte[i] = True
+        raw = [bytes([int(t[1:-1], 16)]) if b else t.encode() for t, b in zip(self.text, self.is_byte, strict=True)]
+        self.spelled = np.frombuffer(b"".join(raw), np.uint8)
+        self.spelled_sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        self.spelled_starts = np.cumsum(self.spelled_sizes) - self.spelled_sizes
         self.unknown_score = float(self.score[normal].min()) - 10.0
         number = {self.text[i]: i for i in normal}
         # sorted piece keys of the Viterbi search
@@ -83,6 +90,10 @@ class Pieces:
         order = np.argsort(keys)
         self.keys, self.key_id = keys[order], np.array(normal, np.int32)[order]
         assert len(np.unique(keys)) == len(keys), "two pieces share a hash"
+        # where in the sorted keys those with some upper bits begin: most other hashes meet an empty place
+        self.first = np.append(np.searchsorted(self.keys, np.arange(1 << TOP, dtype=np.uint64) << np.uint64(64 - TOP)), len(self.keys)).astype(np.int32)
+        self.some = self.first[1:] > self.first[:-1]
+        self.most = int((self.first[1:] - self.first[:-1]).max())
         self.lengths = sorted({len(self.text[i]) for i in normal})
         # merges: every way to put two symbols together into a piece; single characters
         # without a piece of their own take numbers from the end of the vocabulary
@@ -181,44 +192,53 @@ class Pieces:
         flat, counts = self.with_bytes(out, made)
         return flat, counts, scores
 
+    def probe(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the hashes are pieces' keys, the ids of those pieces)."""
+        top = (key >> np.uint64(64 - TOP)).astype(np.int64)
+        which = np.flatnonzero(self.some[top])
+        at, end, wanted = self.first[top[which]], self.first[top[which] + 1], key[which]
+        place = at.copy()
+        for i in range(1, self.most):
+            place += (self.keys[place] != wanted) & (at + i < end)
+        hit = self.keys[place] == wanted
+        return which[hit], self.key_id[place[hit]]
+
     def _viterbi_equal(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n, length = points.shape
+        # a row a position, so that all segments' values at one lie together
+        points = np.ascontiguousarray(points.T)
         letters = W.mix((points + 1).astype(np.uint64))
-        prefix = np.zeros((n, length + 1), np.uint64)
+        prefix = np.zeros((length + 1, n), np.uint64)
         for j in range(length):
-            prefix[:, j + 1] = prefix[:, j] * BASE + letters[:, j]
-        best = np.full((n, length + 1), -np.inf)
-        best[:, 0] = 0
-        back = np.zeros((n, length + 1), np.int64)
-        piece = np.zeros((n, length + 1), np.int64)
+            prefix[j + 1] = prefix[j] * BASE + letters[j]
+        best = np.zeros((length + 1, n))
+        back = np.ones((length + 1, n), np.int64)
+        piece = np.zeros((length + 1, n), np.int64)
         power = {k: np.uint64(pow(int(BASE), k, 1 << 64)) for k in self.lengths}
         for j in range(1, length + 1):
-            best[:, j] = best[:, j - 1] + self.unknown_score
-            back[:, j], piece[:, j] = 1, -points[:, j - 1] - 1
+            best[j] = best[j - 1] + self.unknown_score
+            piece[j] = -points[j - 1] - 1
             for k in self.lengths:
                 if k > j:
                     break
-                key = prefix[:, j] - prefix[:, j - k] * power[k]
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                found = self.keys[at] == key
-                number = self.key_id[at]
-                score = np.where(found, best[:, j - k] + self.score[number], -np.inf)
-                better = score > best[:, j]
-                if k == 1:  # a known character is never unknown
-                    better |= found
-                best[better, j], back[better, j], piece[better, j] = score[better], k, number[better]
+                found, number = self.probe(prefix[j] - prefix[j - k] * power[k])
+                score = best[j - k, found] + self.score[number]
+                if k > 1:  # a known character is never unknown
+                    better = score > best[j, found]
+                    found, number, score = found[better], number[better], score[better]
+                best[j, found], back[j, found], piece[j, found] = score, k, number
         at = np.full(n, length)
         taken, where = [], []
         rows = np.arange(n)
         while len(rows):
-            taken.append(piece[rows, at[rows]])
+            taken.append(piece[at[rows], rows])
             where.append(rows)
-            at[rows] -= back[rows, at[rows]]
+            at[rows] -= back[at[rows], rows]
             rows = rows[at[rows] > 0]
         where_flat, taken_flat = np.concatenate(where), np.concatenate(taken)
         turn = np.concatenate([np.full(len(w), i) for i, w in enumerate(where)])
         order = np.lexsort((-turn, where_flat))
-        return taken_flat[order], np.bincount(where_flat, minlength=n), best[:, length]
+        return taken_flat[order], np.bincount(where_flat, minlength=n), best[length]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces joined, byte pieces as UTF-8, the dummy prefix taken off."""
@@ -251,7 +271,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     """Ids of every whole text, by the model's own segmentation, with the Viterbi path beside it.
 
     ``ids``: the model's ids (equal to the library's); ``round_trip``: whether both
-    segmentations decode to the text again. Null and empty text: no ids, true. Equal rows
+    segmentations decode to the text again (not where it holds U+2581, which stands for a space). Null and empty text: no ids, true. Equal rows
     give equal rows; an empty table an empty result; other columns are not read.
     """
     W.small_batches(docs.sparkSession, 500)
@@ -262,38 +282,57 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
             texts = W.texts(chunk["text"]).to_pylist()
             numbers: dict[str, int] = {}
             per = [[numbers.setdefault(s, len(numbers)) for s in SEGMENTS.findall(" " + t)] if t else [] for t in texts]
+            sizes = np.fromiter(map(len, per), np.int64, len(per))
+            own = np.fromiter(itertools.chain.from_iterable(per), np.int64, int(sizes.sum()))
+            del per
             distinct = [s.replace(" ", SPACE) for s in numbers]
-            flat, counts = model_.bpe(distinct) if model_.kind == "bpe" else model_.viterbi(distinct)[:2]
             v_flat, v_counts, v_score = model_.viterbi(distinct)
-            starts, v_starts = np.cumsum(counts) - counts, np.cumsum(v_counts) - v_counts
-            byte_count = np.add.reduceat(np.append(model_.is_byte[flat], 0), starts)[: len(counts)] if len(flat) else np.zeros(len(counts), np.int64)
-            byte_count = np.where(counts > 0, byte_count, 0)
-            same = decodes(model_, distinct, flat, counts) & decodes(model_, distinct, v_flat, v_counts)
-            out: list[list] = [[] for _ in range(8)]
-            for own in per:
-                own = np.array(own, np.int64)
-                ids = flat[W.ragged(starts[own], counts[own])]
-                best = v_flat[W.ragged(v_starts[own], v_counts[own])]
-                for column, value in zip(out, (len(ids), ids, zlib.crc32(ids.astype("<u4").tobytes()), int(byte_count[own].sum()), len(best), zlib.crc32(best.astype("<u4").tobytes()), float(v_score[own].sum()), bool(same[own].all())), strict=True):
-                    column.append(value)
-            sizes = np.array(out[0], np.int64)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *out[1]]), pa.int32()))
-            kinds = [pa.int64(), None, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
-            arrays = [ids if k is None else pa.array(v, k) for k, v in zip(kinds, out, strict=True)]
+            flat, counts = model_.bpe(distinct) if model_.kind == "bpe" else (v_flat, v_counts)
+            # a text's own U+2581 decodes to a space
+            same = decodes(model_, distinct, flat, counts) & decodes(model_, distinct, v_flat, v_counts) & np.fromiter((SPACE not in s for s in numbers), bool, len(numbers))
+            bytes_ = np.add.reduceat(np.append(model_.is_byte[flat], 0), np.cumsum(counts) - counts)[: len(counts)] * (counts > 0) if len(counts) else counts
+            per_text = lambda x: np.add.reduceat(np.append(x[own], x.dtype.type(0)), np.cumsum(sizes) - sizes)[: len(sizes)] * (sizes > 0) if len(sizes) else sizes
+            ids, n_ids = flat[W.ragged((np.cumsum(counts) - counts)[own], counts[own])].astype("<u4"), per_text(counts)
+            best, n_best = v_flat[W.ragged((np.cumsum(v_counts) - v_counts)[own], v_counts[own])].astype("<u4"), per_text(v_counts)
+            arrays = [
+                pa.array(n_ids),
+                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_ids)]), pa.int32()), pa.array(ids.view(np.int32))),
+                pa.array(checksums(ids, n_ids), pa.int64()),
+                pa.array(per_text(bytes_)),
+                pa.array(n_best),
+                pa.array(checksums(best, n_best), pa.int64()),
+                pa.array(per_text(v_score)),
+                pa.array(per_text((~same).astype(np.int64)) == 0),
+            ]
             yield pa.RecordBatch.from_arrays([chunk["doc_id"].combine_chunks(), *arrays], names=[c.split(" ")[0] for c in SCHEMA.split(", ")])
 
     return W.table(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
 
+def checksums(flat: np.ndarray, counts: np.ndarray) -> list[int]:
+    """crc32 of each run of little-endian ids."""
+    raw, ends = memoryview(flat.tobytes()), np.cumsum(counts) * 4
+    return [zlib.crc32(raw[a:b]) for a, b in zip((ends - counts * 4).tolist(), ends.tolist(), strict=True)]
+
+
 def decodes(model: Pieces, distinct: list[str], flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Whether each segment's ids spell it."""
-    raw = [bytes([int(t[1:-1], 16)]) if b else t.encode() for t, b in zip(model.text, model.is_byte, strict=True)]
-    ends = np.cumsum(counts).tolist()
-    ids, at, out = flat.tolist(), 0, np.zeros(len(distinct), bool)
-    for i, (segment, end) in enumerate(zip(distinct, ends, strict=True)):
-        out[i] = b"".join([raw[x] for x in ids[at:end]]) == segment.encode("utf-8", "surrogatepass")
-        at = end
-    return out
+    """Whether each segment's ids spell it: all bytes of all pieces against all bytes of the segments."""
+    if not len(distinct):
+        return np.zeros(0, bool)
+    wanted = [s.encode("utf-8", "surrogatepass") for s in distinct]
+    sizes = np.fromiter(map(len, wanted), np.int64, len(wanted))
+    lengths = model.spelled_sizes[flat]
+    total = np.concatenate([[0], np.cumsum(lengths)])
+    ends = np.cumsum(counts)
+    right = total[ends] - total[ends - counts] == sizes
+    made = model.spelled[W.ragged(model.spelled_starts[flat], lengths)]
+    which = np.flatnonzero(right)
+    a = made[W.ragged(total[ends - counts][which], sizes[which])]
+    b = np.frombuffer(b"".join([wanted[i] for i in which.tolist()]), np.uint8)
+    wrong = np.concatenate([[0], np.cumsum(a != b)])
+    ends = np.cumsum(sizes[which])
+    right[which] = wrong[ends] == wrong[ends - sizes[which]]
+    return right
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
