@@ -27,35 +27,30 @@ SCHEMA = (
 )
 
 #: Per language or script: (least, most) characters per token of either vocabulary, most
-#: byte-fallback share, least token entropy relative to what the length allows. Lower bounds
+#: byte-fallback share, least token entropy of a window relative to what its size allows. Lower bounds
 #: of fertility give way by ``SLACK / sqrt(tokens)``, the spread of a mean over few tokens.
 #: The four languages' bounds lie below nearly all documents labelled good (0.4 % of them
 #: fall out at scale factor 0.1); the scripts' bounds only catch what is far off.
 BANDS = {
-    "en": ((2.09, 8.0), (2.26, 8.0), 0.05, 0.50),
-    "fr": ((1.86, 8.0), (1.88, 8.0), 0.05, 0.50),
-    "de": ((2.12, 8.0), (2.08, 8.0), 0.05, 0.50),
-    "es": ((1.84, 8.0), (1.84, 8.0), 0.05, 0.50),
-    "latin": ((1.4, 8.0), (1.3, 8.0), 0.10, 0.45),
-    "arabic": ((0.7, 6.0), (0.5, 6.0), 0.30, 0.45),
-    "other": ((0.3, 8.0), (0.3, 8.0), 0.90, 0.40),
+    "en": ((2.09, 8.0), (2.26, 8.0), 0.05, 0.84),
+    "fr": ((1.86, 8.0), (1.88, 8.0), 0.05, 0.84),
+    "de": ((2.12, 8.0), (2.08, 8.0), 0.05, 0.84),
+    "es": ((1.84, 8.0), (1.84, 8.0), 0.05, 0.84),
+    "latin": ((1.4, 8.0), (1.3, 8.0), 0.10, 0.60),
+    "arabic": ((0.7, 6.0), (0.5, 6.0), 0.30, 0.60),
+    "other": ((0.3, 8.0), (0.3, 8.0), 0.90, 0.50),
 }
 SLACK = 1.5
+#: Tokens of a window whose entropy is taken.
+WINDOW = 50
 
 
-def script(text: str) -> str:
-    """latin, arabic or other, by the letters of the text."""
-    latin = arabic = other = 0
-    for c in text:
-        if c.isalpha():
-            p = ord(c)
-            if p < 0x250:
-                latin += 1
-            elif 0x600 <= p < 0x780 or 0x8A0 <= p < 0x900:
-                arabic += 1
-            else:
-                other += 1
-    return max((latin, "latin"), (arabic, "arabic"), (other, "other"))[1]
+def scripts(texts: pa.Array) -> list[str]:
+    """latin, arabic or other, by most of the letters of each text; latin where there are none."""
+    letters = lambda pattern: pc.count_substring_regex(texts, pattern).to_numpy(zero_copy_only=False)
+    latin, arabic = letters(r"[A-Za-zªµºÀ-ÖØ-öø-ɏ]"), letters(r"[\x{620}-\x{64A}\x{66E}\x{66F}\x{671}-\x{6D3}\x{6D5}\x{6E5}\x{6E6}\x{6EE}\x{6EF}\x{6FA}-\x{6FC}\x{6FF}\x{750}-\x{77F}\x{8A0}-\x{8B4}]")
+    other = letters(r"\p{L}") - latin - arabic
+    return [max((a, 2, "latin"), (b, 1, "arabic"), (c, 0, "other"))[2] for a, b, c in zip(latin.tolist(), arabic.tolist(), other.tolist(), strict=True)]
 
 
 def repeated_words(codes: np.ndarray, starts: np.ndarray, width: int = 3) -> np.ndarray:
@@ -98,19 +93,29 @@ def duplicate_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-def entropies(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray, words: W.Words) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, bits of entropy of the token distribution relative to log2 of the tokens) per document."""
+def entropies(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray, words: W.Words, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, entropy of the token distribution) per document: the mean over windows of ``width`` tokens, 1 where all of a window's differ.
+
+    Windows cover the whole text (the last one ends with it), and are of one size, so the measure does not
+    depend on the length. A text of fewer tokens is one window; one of fewer than two has 1.
+    """
     n_tokens = words.sums(counts)
+    ids = flat[W.ragged(starts[words.codes], counts[words.codes])] if len(words.codes) else flat[:0]
+    begins = np.cumsum(n_tokens) - n_tokens
     out = np.ones(len(n_tokens))
-    for d, (a, b) in enumerate(zip(words.starts[:-1].tolist(), words.starts[1:].tolist(), strict=True)):
-        if n_tokens[d] < 2:
+    for size in np.unique(np.minimum(n_tokens, width)).tolist():
+        if size < 2:
             continue
-        own = words.codes[a:b]
-        ids = np.sort(flat[W.ragged(starts[own], counts[own])])
-        sizes = np.diff(np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1], [True]]))).astype(np.float64)
-        total = float(len(ids))
-        bits = np.log2(total) - float((sizes * np.log2(sizes)).sum()) / total
-        out[d] = bits / np.log2(min(total, 4096.0))
+        which = np.flatnonzero(np.minimum(n_tokens, width) == size)
+        per = -(-n_tokens[which] // size)
+        place = np.minimum(W.ragged(np.zeros(len(which), np.int64), per) * size, np.repeat(n_tokens[which] - size, per))
+        rows = np.sort(ids[(np.repeat(begins[which], per) + place)[:, None] + np.arange(size)], axis=1)
+        new = np.ones(rows.shape, bool)
+        new[:, 1:] = rows[:, 1:] != rows[:, :-1]
+        first = np.flatnonzero(new.ravel())
+        runs = np.diff(np.append(first, rows.size)).astype(np.float64)
+        lost = np.bincount(first // size, runs * np.log2(runs), len(rows)) / size / np.log2(size)
+        out[which] = 1 - np.bincount(np.repeat(np.arange(len(which)), per), lost, len(which)) / per
     return n_tokens, out
 
 
@@ -143,9 +148,13 @@ def judged(chunk: pa.Table, piece_model: str, word_model: str, bands=BANDS) -> l
     share = words.sums(fallback) / np.maximum(n_tokens, 1)
     failed = (n_words < 50) | (100 * repeat > 50 * n_words)
     within = np.zeros(len(raw), bool)
-    for i, name in enumerate(chunk["lang"].to_pylist()):
+    names = chunk["lang"].to_pylist()
+    unknown = [i for i, name in enumerate(names) if name not in bands and not failed[i]]
+    for i, name in zip(unknown, scripts(texts.take(pa.array(unknown, pa.int64()))) if unknown else (), strict=True):
+        names[i] = name
+    for i, name in enumerate(names):
         if not failed[i]:
-            band = bands.get(name) or bands[script(raw[i])]
+            band = bands[name]
             slack = SLACK / np.sqrt(max(1, n_tokens[i]))
             within[i] = band[0][0] - slack <= per[i] <= band[0][1] and band[1][0] - slack <= per_2[i] <= band[1][1] and share[i] <= band[2] and entropy[i] >= band[3]
     return [n_words, word_chars, words.sums(symbols), np.array([duplicate_lines(t) for t in raw], np.int64), repeat, failed, ~failed & within, n_tokens, per, per_2, share, entropy]

@@ -398,6 +398,50 @@ def test_quality_counts(docs, empty, texts):
     assert quality.measure(empty, PIECES, WORD_BPE).count() == 0
 
 
+def test_quality_verdict(spark, texts):
+    """Every measure and the verdict against the libraries and the definition, in known and unknown languages and scripts."""
+    import math
+    from collections import Counter
+
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from tamarisk.llm import quality
+
+    pieces, words_ = sentencepiece.SentencePieceProcessor(model_file=PIECES), Tokenizer.from_file(WORD_BPE)
+    rng = random.Random(21)
+    arabic, symbols = "سلام كلام كتاب بيت نهر جبل باب شمس قمر ليل".split(), "☃ 漢 字 語 ☂ ♞".split()
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    rows += [(200 + k, " ".join(rng.choice(PLAIN) for _ in range(n)), lang) for k, (n, lang) in enumerate([(60, "en"), (400, "en"), (3000, "en"), (60, "xx"), (60, None), (400, "de")])]
+    rows += [(300, " ".join(rng.choice(arabic) for _ in range(90)), "ar"), (301, " ".join(rng.choice(symbols) for _ in range(90)), "zz"), (302, "x" * 70 + " " + " ".join(rng.choice(PLAIN) for _ in range(80)), "en"), (303, "x y z " * 30, "en"), (None, None, None)]
+    found = [r for r in quality.measure(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PIECES, WORD_BPE).collect()]
+    by = {r.doc_id: r for r in found}
+    assert len(found) == len(rows)
+    for i, t, lang in rows:
+        own = re.findall(WORDS, t or "")
+        ids = [x for w in own for x in pieces.encode(w)]
+        others = sum(len(words_.encode(w, add_special_tokens=False).ids) for w in own)
+        r = by[i]
+        assert r.n_tokens == len(ids)
+        chars = sum(map(len, own))
+        assert r.chars_per_token == pytest.approx(chars / max(1, len(ids))) and r.chars_per_token_2 == pytest.approx(chars / max(1, others))
+        assert r.byte_share == pytest.approx(sum(pieces.is_byte(x) for x in ids) / max(1, len(ids)))
+        size = min(50, len(ids))
+        if size < 2:
+            assert r.entropy == 1
+        else:
+            places = [min(k * size, len(ids) - size) for k in range(-(-len(ids) // size))]
+            each = [-sum(n / size * math.log2(n / size) for n in Counter(ids[p : p + size]).values()) / math.log2(size) for p in places]
+            assert r.entropy == pytest.approx(sum(each) / len(each))
+        letters = Counter("latin" if ord(c) < 0x250 else "arabic" if 0x600 <= ord(c) < 0x780 else "other" for c in t or "" if c.isalpha())
+        name = lang if lang in quality.BANDS else max(("latin", "arabic", "other"), key=lambda k: letters[k])
+        one, two, most, least = quality.BANDS[name]
+        slack = quality.SLACK / max(1, len(ids)) ** 0.5
+        within = one[0] - slack <= r.chars_per_token <= one[1] and two[0] - slack <= r.chars_per_token_2 <= two[1] and r.byte_share <= most and r.entropy >= least
+        assert r.kept == (not r.base_failed and within), (i, name)
+    assert by[201].kept and by[202].kept and not by[303].kept and abs(by[200].entropy - by[202].entropy) < 0.05
+
+
 def test_fingerprints(docs, empty, texts):
     from tamarisk.llm import fingerprints
 
@@ -605,7 +649,11 @@ def test_null_ids_and_repeated_rows(spark):
     assert ngrams.perplexity(df).count() == 5
 
 
-PLAIN = "the committee met again in spring to talk about the cost of the old bridge over the river because nobody had paid for it since the winter and people in town wanted to know who would work on it next year while others said that a new road is better for all of them".split()
+PLAIN = (
+    "the committee met again in spring to talk about the cost of the old bridge over the river because nobody had paid for it since winter and people in town wanted to know who would work on it next year "
+    "while others said that a new road is better for all of them after lunch every child drew maps with green hills small boats tall towers and some horses near water under bright clouds before evening came "
+    "music played from open windows as farmers sold apples bread honey cheese fish salt wool candles paper books lamps chairs ropes"
+).split()
 
 
 def test_pipeline(spark):
