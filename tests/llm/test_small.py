@@ -581,12 +581,18 @@ def test_urls(spark):
     from tamarisk.llm import urls
 
     rows = ["https://A.Example.com/en/7?x#y", "http://example.com/en/8", "ftp://x.net/de/1", "https://www.example.net/de/8x", "https://q.org/es/", "https://b.example/xxx/a", "https://b.example/axxx/", "https://b/free-win-bet", "https://b/free-win", "no scheme porn", None, "", "http://notexample.com:80?a=://b", "http://com/en/", "x://é.org/es/\nz"]
+    rows += ["https://b/poker-poker", "https://b/poker.win", "https://b/free-cheap", "https://b/free-cheap-deal", "https://b/deal.com/free", ""] + ["https://b/" + "x-" * 30000 + "poker-casino"]
     pages = pd.DataFrame({"page_id": range(len(rows)), "url": rows})
-    names = ["page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft"]
+    names = ["page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft", "soft_weight"]
     mine = urls.judge(spark.createDataFrame(list(zip(range(len(rows)), rows, strict=True)), "page_id long, url string")).orderBy("page_id").select(*names).collect()
     con = duckdb.connect()
     con.register("pages", pages)
     assert [tuple(r) for r in mine] == con.sql(f"SELECT {', '.join(names)} FROM ({urls.oracle_sql()}) ORDER BY page_id").fetchall()
+    assert [r.verdict for r in mine[15:21]] == ["allow", "block", "allow", "block", "allow", "allow"] and mine[-1].verdict == "block"
+    empty_pages = spark.createDataFrame([], "page_id long, url string")
+    assert urls.judge(empty_pages).count() == 0
+    twice = urls.judge(spark.createDataFrame([(1, "https://b/xxx", "h")] * 2 + [(None, None, "h")], "page_id long, url string, host string")).collect()
+    assert sorted((r.page_id or 0, r.verdict) for r in twice) == [(0, "allow"), (1, "block"), (1, "block")]
     assert [r.verdict for r in mine[:9]] == ["allow", "block", "allow", "block", "block", "block", "allow", "block", "allow"]
 
 
