@@ -31,14 +31,24 @@ def stratified(df: DataFrame, label: str, key: str, parts: tuple[tuple[str, floa
 
 
 def exact_split(df: DataFrame, label: str, key: str, parts: tuple[tuple[str, float], ...] = (("train", 0.8), ("val", 0.1), ("test", 0.1)), seed: int = 42) -> DataFrame:
-    """``df`` with ``split`` in exact shares of each label's rows (ranks within a label: for few-label tables of moderate size)."""
-    order = Window.partitionBy(label).orderBy(seeded(F.col(key), seed), key)
-    share = (F.row_number().over(order) - 1) / F.count("*").over(Window.partitionBy(label))
+    """``df`` with ``split`` in exact shares of each label's rows, in the order of :func:`seeded`.
+
+    A row's rank is its place within its part of the order (4096 parts a label, by the hash's first
+    digits) and the number of rows in the parts before: no task holds a whole label.
+    """
+    rows = df.withColumn("_order", seeded(F.col(key), seed)).withColumn("_part", F.substring("_order", 1, 3))
+    counts = rows.groupBy(F.col(label).alias("_label"), F.col("_part").alias("_in")).agg(F.count("*").alias("_n"))
+    by_label = Window.partitionBy("_label")  # over 4096 counts a label
+    counts = counts.select("_label", "_in", (F.sum("_n").over(by_label.orderBy("_in")) - F.col("_n")).alias("_before"), F.sum("_n").over(by_label).alias("_all"))
+    rows = rows.join(counts, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_part") == F.col("_in")))
+    own = Window.partitionBy(label, "_part").orderBy("_order", key)
+    share = (F.col("_before") + F.row_number().over(own) - 1) / F.col("_all")
     cut, out = 0.0, None
     for name, part in parts[:-1]:
         cut += part
         out = F.when(share < round(cut, 9), name) if out is None else out.when(share < round(cut, 9), name)
-    return df.withColumn("split", out.otherwise(parts[-1][0]))
+    rows = rows.withColumn("split", out.otherwise(parts[-1][0]) if out is not None else F.lit(parts[-1][0]))
+    return rows.select(*(F.col(f"`{c}`") for c in df.columns if c != "split"), "split")
 
 
 def leakage(df: DataFrame, key: str = "text") -> DataFrame:

@@ -60,6 +60,6 @@ def test_resolver_repairs(spark, folder, monkeypatch):
     assert found == dict.fromkeys(TEXTS, HEAD)
 
 
-def test_script_flags_all(spark, folder):
-    out = {r.doc_id: (r.arabic_script, r.has_arabic, r.arabizi) for r in registry.QUERIES["script_flags_all"](spark, folder).collect()}
+def test_script_flags(spark, folder):
+    out = {r.doc_id: (r.arabic_script, r.has_arabic, r.arabizi) for r in registry.QUERIES["script_flags"](spark, folder).collect()}
     assert out == {i: (False, False, i == 2) for i in TEXTS}
