@@ -1,16 +1,21 @@
 """Near-duplicate lines by a segment-partition edit join, in DataFrame functions only.
 
-Two lines within ``edits`` of each other keep at least one of the first ``edits + 1``
-segments of the shorter one unchanged, at a place that is off by at most ``edits``. The
-size of a segment is fixed for a class of lengths. Every line is indexed under its
-segments and probes with the substrings that can face a segment of a partner of no more
-length (a multi-match-aware window without the partner's length). Lines that meet in a
-bucket are verified by a banded bit-parallel edit distance; linked lines form components,
-of which the first line stays.
-
-Equal lines are one item from the first aggregation on, which the map side starts.
-Only lines that share a bucket are read again as text; a Bloom filter of fixed size,
-joined by broadcast, keeps most others out of that shuffle.
+Lines of one class of lengths have ``edits + 1`` segments of one size: the first ones count
+from the start, the others from the end. Of the segments of the shorter of two lines that
+are within ``edits``, one, the i-th, is unchanged after exactly i - 1 edits; so it lies in
+the longer line at the same place from its end of the line, but for i - 1 (or, from the end,
+``edits`` + 1 - i) characters. Every line is indexed under its segments and probes with the
+substrings at all these places.
+
+A long segment names only a part of itself: what follows the first space among its first
+``GAP`` characters. Probes at neighbouring places mostly find the same space and so the same
+substring, which halves the rows; an unchanged segment still names the same part.
+
+Lines that meet in a bucket are tested by :mod:`linking`, with counts of some letters and
+a thresholded distance of Spark's own as necessary conditions in the join, and verified by a banded bit-parallel edit distance; linked lines form
+components, of which the first line stays. Equal lines are one item from the first
+aggregation on, which the map side starts. Only lines that share a bucket are read again as
+text, behind a Bloom filter of fixed size.
 """
 
 from __future__ import annotations
@@ -18,8 +23,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamarisk.llm import store
 from tamarisk.llm import words as W
-from tamarisk.llm.linking import components
+from tamarisk.llm.linking import components, merged, sifted
 from tamarisk.llm.store import Scratch
 
 EDITS = 1
@@ -31,9 +37,18 @@ MOST_EDITS = 4
 LONG = 2000
 #: Shorter lines (code points) have no near copies; equal ones go only with ``exact``.
 SHORTEST = 20
-#: 64-bit words of the Bloom filter; its table has at most so many rows.
-FILTER_WORDS = 1 << 17
+#: (size of a segment, characters at its start among which a space is looked for): what is left must tell lines apart.
+GAPS = ((28, 12), (24, 8))
 NO_ID = -(1 << 63)
+#: (segment, shift) of every substring that a line may name; negative segments count from the end. A line
+#: of ``edits`` names the first ``edits + 1`` segments of 1, -1, 2, -2, 3.
+SEGMENTS = (1, -1, 2, -2, 3)
+SLOTS = tuple((i, shift) for i in SEGMENTS for shift in sorted(range(1 - abs(i), abs(i)), key=abs))
+
+#: Bits of a line's length beside its number; longer lines have the greatest such length.
+LENGTH_BITS = 12
+#: Letters whose counts are compared, in Latin and in Arabic script.
+LETTERS = "etaoinsrhldualيمونرته"
 
 
 def classes(edits: int | tuple[tuple[int, int], ...], shortest: int) -> list[tuple[int, float, int, int]]:
@@ -50,15 +65,6 @@ def classes(edits: int | tuple[tuple[int, int], ...], shortest: int) -> list[tup
     return out
 
 
-def probes(edits: int) -> list[tuple[int, int]]:
-    """(segment, shift): where in a line of the same or more length a segment of a partner can stand.
-
-    Of ``edits`` + 1 segments one, the i-th, is unchanged after exactly i - 1 edits (none where i is 1), so
-    it is off by i - 1 at most; and as the partner is no longer, what is lost before it is gained behind it.
-    """
-    return [(i, shift) for i in range(1, edits + 2) for shift in range(-min(i - 1, edits + 1 - i), i)]
-
-
 def allowed(length: Column, edits: int | tuple[tuple[int, int], ...]) -> Column:
     """The edits that two lines may be apart, by the length of the shorter one."""
     if isinstance(edits, int):
@@ -69,25 +75,57 @@ def allowed(length: Column, edits: int | tuple[tuple[int, int], ...]) -> Column:
     return out
 
 
-def buckets(line: Column, length: Column, edits: int | tuple[tuple[int, int], ...] = EDITS, shortest: int = SHORTEST) -> Column:
-    """Buckets of a line as longs: of its index entries odd ones, of its probes even ones.
-
-    The lowest bit of a hash makes room for the mark; an index entry and a probe of one
-    segment differ in that bit only. A line has index entries of its own class of lengths
-    and probes of every class that a partner of no more length may be in.
-    """
+def of_length(length: Column, edits: int | tuple[tuple[int, int], ...], shortest: int) -> Column:
+    """array<struct<c, size, gap, edits, own>>: the class of a line of some length, and those of shorter partners."""
     every = classes(edits, shortest)
     ends = sorted({x for low, high, e, _ in every for x in (low, high, high + e)})
-    out = F.array().cast("array<struct<tag:int,start:int,size:int,mark:bigint>>")
+    out = F.expr("CAST(array() AS array<struct<c:int,size:int,gap:int,edits:int,own:boolean>>)")
     for least in ends[:-1]:
         found = []
         for c, (low, high, e, size) in enumerate(every):
             if low <= least < high + e:
-                marked = least < high
-                found += [f"struct({c * 8 + i} AS tag, {at} AS start, {size} AS size, {int(marked and shift == 0)}L AS mark)" for i, shift in probes(e) if (at := (i - 1) * size + shift) >= 0]
+                gap = next((g for at_least, g in GAPS if size >= at_least), 0)
+                found.append(f"struct({c} AS c, {size} AS size, {gap} AS gap, {e} AS edits, {str(least < high).lower()} AS own)")
         out = F.when(length >= least, F.expr(f"array({', '.join(found)})")).otherwise(out)
-    fitting = F.filter(out, lambda p: p["start"] + p["size"] <= length)
-    return F.transform(fitting, lambda p: F.xxhash64(p["tag"], F.substring(line, p["start"] + 1, p["size"])).bitwiseAND(-2).bitwiseOR(p["mark"]))
+    return out
+
+
+def named(lines: DataFrame, edits: int | tuple[tuple[int, int], ...] = EDITS, shortest: int = SHORTEST) -> DataFrame:
+    """``lines`` (with line, n its length), ``own`` and ``buckets``: the substrings that a line is indexed under or probes with.
+
+    A row of its ``own`` class, and one more for a class of shorter partners. The lowest bit of a
+    bucket says that the line is indexed there; apart from it, an index entry and a probe of one
+    segment are the same. What a line doesn't name is null; of one under ``shortest`` all is.
+    """
+    names = lines.columns
+    one = lines.select(*names, F.explode_outer(of_length(F.col("n"), edits, shortest)).alias("of"))
+    start = {i: (F.lit(i - 1) if i > 0 else F.lit(i)) * F.col("of.size") + (F.lit(0) if i > 0 else F.col("n")) for i in SEGMENTS}
+    radius = {i: abs(i) - 1 for i in SEGMENTS}
+    # each step is a column of its own, used by several of the next; what is cut out of the line once is short from then on
+    one = one.select(*names, "of", *(F.substring("line", start[i] - radius[i] + 1, F.col("of.size") + 2 * radius[i]).alias(f"w{i}") for i in SEGMENTS))
+
+    def place(i: int, shift: int) -> Column:
+        """From the segment's start: where the named part starts, if the segment lies ``shift`` characters on."""
+        space = F.locate(" ", F.col(f"w{i}"), shift + radius[i] + 1) - (shift + radius[i])
+        return F.lit(shift) + F.when(space.between(1, F.col("of.gap")), space).otherwise(0)
+
+    one = one.select(*names, "of", *(f"w{i}" for i in SEGMENTS), *(place(i, shift).alias(f"q{i}_{shift}") for i, shift in SLOTS))
+    keys = []
+    for k, i in enumerate(SEGMENTS):
+        before: list[str] = []
+        for shift in (s for j, s in SLOTS if j == i):
+            q = F.col(f"q{i}_{shift}")
+            key = F.xxhash64(F.col("of.c") * 8 + k, F.substring(f"w{i}", q + radius[i] + 1, F.col("of.size") - F.col("of.gap"))).bitwiseAND(-2)
+            key = key.bitwiseOR(F.when(F.col("of.own"), 1).otherwise(0)) if shift == 0 else key
+            wanted = F.col("of.edits") >= k
+            for other in before:
+                wanted = wanted & (q != F.col(other))
+            keys.append(F.when(wanted, key))
+            before.append(f"q{i}_{shift}")
+    keys = F.array(*keys)
+    # the higher-order function keeps this projection out of whole-stage code, where it would be one method too large to compile
+    keys = F.when(F.exists(keys, lambda k: k.isNotNull()), keys)
+    return one.select(*names, F.coalesce("of.own", F.lit(True)).alias("own"), keys.alias("buckets"))
 
 
 def within(a: Column, b: Column, edits: int = EDITS, most: Column | None = None) -> Column:
@@ -174,8 +212,7 @@ def verified(pairs: DataFrame, texts: DataFrame, edits: int | tuple[tuple[int, i
     """Of pairs (a, b) of line ids those within the distance."""
     first = texts.select(F.col("id").alias("a"), F.col("line").alias("x"))
     second = texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
-    both = pairs.join(first, "a").join(second, "b").withColumn("most", allowed(F.least(F.length("x"), F.length("y")), edits))
-    both = both.where(F.abs(F.length("x") - F.length("y")) <= F.col("most"))
+    both = merged(merged(pairs, first, "a"), second, "b").withColumn("most", allowed(F.least(F.length("x"), F.length("y")), edits))
     chars = lambda c: F.when(F.length(c) == 0, F.array().cast("array<string>")).otherwise(F.split(c, ""))
     alike = F.transform(trimmed(F.col("x"), F.col("y")), lambda s: F.struct(chars(s.x).alias("x"), chars(s.y).alias("y")))
     top = edits if isinstance(edits, int) else max(e for _, e in edits)
@@ -185,53 +222,84 @@ def verified(pairs: DataFrame, texts: DataFrame, edits: int | tuple[tuple[int, i
     return both.repartition(parts, "a", "b").where(alike).select("a", "b")
 
 
+def counted(line: Column, n: Column) -> Column:
+    """struct<n, b0, b1, ...>: the length, and how many there are of some letters."""
+    size = F.octet_length(line)
+    return F.struct(n.alias("n"), *(((size - F.octet_length(F.replace(line, F.lit(c), F.lit("")))) / len(c.encode())).cast("int").alias(f"b{i}") for i, c in enumerate(LETTERS)))
+
+
+def may_be_near(x: str, y: str, edits: int | tuple[tuple[int, int], ...]) -> Column:
+    """Whether the counts of two lines allow so few edits: one edit adds at most one letter and takes at most one."""
+    n, m = F.col(f"{x}.counts.n"), F.col(f"{y}.counts.n")
+    most = allowed(F.least(n, m), edits)
+    gains = losses = F.lit(0)
+    for i in range(len(LETTERS)):
+        more = F.col(f"{x}.counts.b{i}") - F.col(f"{y}.counts.b{i}")
+        gains, losses = gains + F.greatest(more, F.lit(0)), losses + F.greatest(-more, F.lit(0))
+    return (F.abs(n - m) <= most) & (gains <= most) & (losses <= most)
+
+
+def not_far(x: str, y: str, edits: tuple[tuple[int, int], ...]) -> Column:
+    """Whether Spark's own edit distance, which gives up beyond a threshold, stays below it: keeps near misses of crowded buckets out of the join's rows."""
+    return F.levenshtein(F.col(f"{x}.line"), F.col(f"{y}.line"), max(e for _, e in edits)) >= 0
+
+
 def lines_of(docs: DataFrame, shortest: int = SHORTEST, words: bool = False) -> DataFrame:
-    """(id struct<d, t, pos>, line) of the lines that take part; with ``words`` shorter ones with a letter or digit, too."""
+    """(d, t, pos, line, n, h1, h2) of the lines that take part; with ``words`` shorter ones with a letter or digit, too."""
     # the text's hash is taken below the explode, once a document and not once a line
     keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("t"), F.split("text", "\n").alias("parts"))
-    keyed = keyed.select("d", "t", F.posexplode("parts").alias("pos", "line"))
-    part = F.length("line") >= shortest
+    keyed = keyed.select("d", "t", F.posexplode("parts").alias("pos", "line")).select("*", F.length("line").alias("n"))
+    part = F.col("n") >= shortest
     if words:
         part = part | F.col("line").rlike(r"[\p{L}\p{N}]")
-    return keyed.where(part).select(F.struct("d", "t", "pos").alias("id"), "line")
-
-
-def filtered(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The lines whose id is wanted, after a Bloom filter of ``FILTER_WORDS`` rows at most."""
-    spot = lambda c: F.xxhash64(c)
-    word = lambda c: F.pmod(spot(c), F.lit(FILTER_WORDS))
-    bit = lambda c: F.shiftrightunsigned(spot(c), 40).bitwiseAND(63).cast("int")
-    one = F.expr("shiftleft(1L, bit)")
-    table = wanted.select(word("id").alias("word"), bit("id").alias("bit")).groupBy("word").agg(F.bit_or(one).alias("bits"))
-    maybe = lines.withColumn("word", word("id")).withColumn("bit", bit("id")).join(F.broadcast(table), "word").where("getbit(bits, bit) = 1")
-    return maybe.select("id", "line").join(wanted, "id", "left_semi")
+    return keyed.where(part).select("*", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
 
 
 def repeated_lines(docs: DataFrame, scratch: Scratch, edits: int | tuple[tuple[int, int], ...] = EDITS, shortest: int = SHORTEST, exact: bool = False) -> DataFrame:
-    """(d, t, removed array<int>, n_near): the positions of the lines of each document that go."""
-    lines = lines_of(docs, shortest)
-    # the length walks the whole line: a column, so that it is taken once
-    measured = lines.select("id", "line", F.length("line").alias("n"))
-    hashed = measured.select("id", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), buckets(F.col("line"), F.col("n"), edits, shortest).alias("buckets"))
-    distinct = hashed.groupBy("h1", "h2").agg(F.min_by(F.struct("id", "buckets"), "id").alias("first"))
-    members = distinct.select(F.col("first.id").alias("id"), F.explode("first.buckets").alias("b"))
-    members = members.select(F.col("b").bitwiseAND(-2).alias("bucket"), "id", (F.col("b").bitwiseAND(1) == 1).alias("pivot"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # one exchange serves the aggregation and both sides of the join
-    members = members.repartition(parts, "bucket").groupBy("bucket", "id").agg(F.max("pivot").alias("pivot"))
-    shared = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("pivot").alias("any")).where("lo != hi AND any").select("bucket")
-    members = scratch.put(members.join(shared, "bucket", "left_semi"), "members")
-    texts = scratch.put(filtered(lines, members.select("id").distinct()), "texts")
-    labels, _ = components(members, lambda pairs: verified(pairs, texts, edits), scratch)
-    scratch.drop(members, texts)
-    plain = lines_of(docs, shortest, exact).select("id", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
-    firsts = plain.groupBy("h1", "h2").agg(F.min("id").alias("first"))
-    if labels is not None:
-        firsts = firsts.join(labels.select(F.col("id").alias("first"), "component"), "first", "left").select("h1", "h2", "first", F.coalesce("component", "first").alias("root"))
+    """(d, t, gone map<int, long>, n_removed, n_near) of documents with lines that go: of 64 lines each, a bit for each that does."""
+    lines = lines_of(docs, shortest, exact)
+    place = F.struct("d", "t", "pos")
+    keyed = named(lines, edits, shortest).groupBy("h1", "h2", "n", "own").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.first("buckets").alias("buckets"))
+    # numbered as they are written, so the numbers are unique and stay
+    keyed = scratch.put(keyed.withColumn("id", F.monotonically_increasing_id()), "keyed")
+    distinct, others = keyed.where("own"), keyed.where("NOT own").select("h1", "h2", "buckets")
+    others = sifted(distinct.select("h1", "h2", "n", "id"), "h1", others, "inner", ("h1", "h2"))
+    # length and mark stand in the id, so that one exchange of two longs serves both sides of the join
+    packed = F.shiftleft("id", LENGTH_BITS + 1).bitwiseOR(F.least("n", F.lit((1 << LENGTH_BITS) - 1)).cast("long") * 2)
+    length = lambda c: F.shiftright(c, 1).bitwiseAND((1 << LENGTH_BITS) - 1)
+    rows = distinct.select(packed.alias("id"), F.explode("buckets").alias("b")).union(others.select(packed.alias("id"), F.explode("buckets").alias("b")))
+    rows = rows.where("b IS NOT NULL").select(F.col("b").bitwiseAND(-2).alias("bucket"), F.col("id").bitwiseOR(F.col("b").bitwiseAND(1)).alias("marked"))
+    there = rows.select(F.col("bucket").alias("bucket_"), F.col("marked").alias("marked_"))
+    another = F.shiftright("marked", LENGTH_BITS + 1) != F.shiftright("marked_", LENGTH_BITS + 1)
+    fitting = F.abs(length("marked") - length("marked_")) <= max(e for _, e in edits)
+    shared = merged(rows, there, (F.col("bucket") == F.col("bucket_")) & another & fitting, "left_semi")
+    members = shared.groupBy("bucket", F.shiftright("marked", LENGTH_BITS + 1).alias("id")).agg((F.max(F.col("marked").bitwiseAND(1)) == 1).alias("pivot"))
+    members = scratch.put(members, "members")
+    store.release(docs.sparkSession)
+    met = members.select("id").distinct()
+    repeated = merged(distinct.where("copies > 1"), met.withColumn("met", F.lit(True)), "id", "left")
+    single = sifted(distinct.where("copies = 1"), "id", met).withColumn("met", F.lit(True))
+    names = ("h1", "h2", "id", "first", "met")
+    relevant = scratch.put(repeated.select(*names).union(single.select(*names)), "relevant")
+    found = sifted(lines.select("d", "t", "pos", "line", "n", "h1", "h2"), "h1", relevant, "inner", ("h1", "h2"))
+    text = F.when(F.col("met") & (place == F.col("first")), F.col("line"))
+    found = scratch.put(found.select(place.alias("place"), "id", "first", "n", text.alias("line")), "found")
+    scratch.drop(keyed)
+    store.release(docs.sparkSession)
+    texts = found.where("line IS NOT NULL").select("id", "line", "n").dropDuplicates(["id"])
+    features = scratch.put(texts.select("id", F.struct(counted(F.col("line"), F.col("n")).alias("counts"), "line").alias("f")), "features")
+    labels, links = components(members, features, lambda x, y: may_be_near(x, y, edits), lambda pairs: verified(pairs, texts, edits), scratch, lambda x, y: not_far(x, y, edits))
+    scratch.drop(members, links, features)
+    lost = found.select("place", "id", "first")
+    if labels is None:
+        lost = lost.withColumn("root", F.col("first"))
     else:
-        firsts = firsts.withColumn("root", F.col("first"))
-    gone = plain.join(firsts, ["h1", "h2"]).where("id != root")
-    return gone.groupBy("id.d", "id.t").agg(F.collect_set("id.pos").alias("removed"), F.count_if(F.col("id") == F.col("first")).alias("n_near"))
+        linked = merged(relevant.select("id", "first"), labels, "id")
+        roots = merged(linked, linked.groupBy("component").agg(F.min("first").alias("root")), "component").select("id", "root")
+        lost = merged(lost, roots, "id", "left").withColumn("root", F.coalesce("root", "first"))
+    lost = lost.where("place != root").select("place.*", (F.col("place") == F.col("first")).alias("near")).distinct()
+    words = lost.groupBy("d", "t", F.floor(F.col("pos") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"), F.count("*").alias("n"), F.count_if("near").alias("near"))
+    return words.groupBy("d", "t").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("gone"), F.sum("n").alias("n_removed"), F.sum("near").alias("n_near"))
 
 
 def dedup_lines(docs: DataFrame, edits: int | tuple[tuple[int, int], ...] = EDITS, shortest: int = SHORTEST, exact: bool = False) -> DataFrame:
@@ -248,18 +316,26 @@ def dedup_lines(docs: DataFrame, edits: int | tuple[tuple[int, int], ...] = EDIT
     names = docs.columns
     scratch = Scratch(docs.sparkSession, "lines")
     own = W.table(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = repeated_lines(own, scratch, edits, shortest, exact).select(F.struct("d", "t").alias("gone_key"), "removed", "n_near")
-    found = scratch.put(found, "found")
+    found = repeated_lines(own, scratch, edits, shortest, exact).select(F.struct("d", "t").alias("gone_key"), "gone", "n_removed", "n_near")
+    found = scratch.put(found, "gone")
+    store.release(docs.sparkSession)
     keyed = docs.select(F.struct(*(docs[f"`{c}`"].alias(c) for c in names)).alias("row"), F.struct(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(docs["text"].cast("string")).alias("t")).alias("key"))
     # one strategy at every size: what is found grows with the documents and is never broadcast
     joined = keyed.join(found.hint("merge"), F.col("key") == F.col("gone_key"), "left")
     split = F.split(F.col("row.text").cast("string"), "\n")
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("removed", i)), "\n")
-    text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(kept)
+    # the map as an array by position, so that each line's bit is read at once
+    last = F.array_max(F.map_keys("gone"))
+    bits = F.transform(F.sequence(F.lit(0), last), lambda i: F.coalesce(F.try_element_at("gone", i.cast("int")), F.lit(0).cast("long")))
+
+    def stays(bits: Column) -> Column:
+        return F.filter(split, lambda x, i: F.getbit(F.coalesce(F.get(bits, F.floor(i / 64).cast("int")), F.lit(0).cast("long")), i % 64) == 0)
+
+    kept = F.array_join(F.get(F.transform(F.array(bits), stays), F.lit(0)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept)
     n_lines = F.when(F.col("row.text").isNull(), F.lit(0)).otherwise(F.size(split))
     return joined.select(
         *(text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names),
         n_lines.cast("long").alias("n_lines"),
-        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )

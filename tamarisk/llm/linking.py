@@ -65,12 +65,13 @@ def differing(x: str, y: str, words: int) -> Column:
 
 
 def components(
-    members: DataFrame, features: DataFrame, may_link: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], scratch: Scratch
-) -> tuple[DataFrame | None, DataFrame | None]:
+    members: DataFrame, features: DataFrame, may_link: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], scratch: Scratch,
+    near: Callable[[str, str], Column] | None = None,
+) -> tuple[DataFrame | None, DataFrame | None]:
     """((id, component) of linked items, links (a, b) that were found) of members (bucket, id long, pivot boolean).
 
     ``features``: (id, f) of every member, ``may_link`` a necessary condition on two of them
-    (names of struct columns). Two items that are both no pivot of a bucket don't meet there.
+    (names of struct columns), ``near`` a dearer one for the pairs without a centre. Two items that are both no pivot of a bucket don't meet there.
     ``verify`` keeps of pairs (a, b), a < b, those that are linked. None where nothing is.
     A bucket holds an item once.
     """
@@ -99,6 +100,7 @@ def components(
     x = rest.where("id != centre").select("bucket", F.col("id").alias("x_id"), F.col("component").alias("x_component"), (F.col("component") == F.col("main")).alias("x_main"), F.col("pivot").alias("x_pivot"), F.col("f").alias("x"))
     y = rest.where("id != centre AND component != main").select("bucket", F.col("id").alias("y_id"), F.col("component").alias("y_component"), F.col("pivot").alias("y_pivot"), F.col("f").alias("y"))
     meet = (x.bucket == y.bucket) & (F.col("x_component") != F.col("y_component")) & (F.col("x_main") | (F.col("x_id") < F.col("y_id"))) & (F.col("x_pivot") | F.col("y_pivot")) & may_link("x", "y")
+    meet = meet if near is None else meet & near("x", "y")
     pairs = scratch.put(merged(x, y, meet).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct(), "pairs")
     scratch.drop(rest)
     if not pairs.limit(1).count():
