@@ -257,6 +257,8 @@ def lines_of(docs: DataFrame, shortest: int = SHORTEST, words: bool = False) ->
 
 def repeated_lines(docs: DataFrame, scratch: Scratch, edits: int | tuple[tuple[int, int], ...] = EDITS, shortest: int = SHORTEST, exact: bool = False) -> DataFrame:
     """(d, t, gone map<int, long>, n_removed, n_near) of documents with lines that go: of 64 lines each, a bit for each that does."""
+    if int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) > 1 << (50 - 33):
+        raise ValueError("a line's number, its length and a mark share one long: at most 131072 partitions")
     lines = lines_of(docs, shortest, exact)
     place = F.struct("d", "t", "pos")
     keyed = named(lines, edits, shortest).groupBy("h1", "h2", "n", "own").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.first("buckets").alias("buckets"))

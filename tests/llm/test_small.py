@@ -694,7 +694,7 @@ def test_nulls_repeats_and_long_texts(spark):
     from tamarisk.llm import fingerprints, lines, pii
 
     long = "\n".join(f"line number {i} of a very long text with mail me{i % 7}@example.com in it" for i in range(3000))
-    rows = [(None, "a line that is long enough to count\nsecond"), (1, "a line that is long enough to count\nsecond"), (1, "a line that is long enough to count\nsecond"), (1, "another text"), (2, None), (3, ""), (4, long), (5, long[: len(long) // 2])]
+    rows = [(None, "a line that is long enough to count\nsecond"), (1, "a line that is long enough to count\nsecond"), (1, "a line that is long enough to count\nsecond"), (1, "another text"), (2, None), (3, ""), (4, long), (5, "\n".join(long.split("\n")[:1500]))]
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, gone string, bucket int")
     out = lines.dedup_lines(df, lines.BY_LENGTH, exact=True).collect()
     assert len(out) == len(rows) and all(r.gone == "x" and r.bucket == 1 for r in out)
@@ -704,6 +704,6 @@ def test_nulls_repeats_and_long_texts(spark):
     assert whole[5].text == "" and whole[4].n_lines == 3000 and whole[4].text.startswith("line number 0 of")
     found = pii.detect(df).collect()
     assert len(found) == len(rows) and {r.doc_id: r.n_email for r in found}[4] == 3000
-    assert sorted(r.n_email for r in found) == [0] * 6 + [1500, 3000] or {r.doc_id: r.n_email for r in found}[5] >= 1499
+    assert sorted(r.n_email for r in found) == [0] * 6 + [1500, 3000]
     prints = fingerprints.near_edits(df.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])).collect()
     assert len(prints) == 5 and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in prints)
