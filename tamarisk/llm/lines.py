@@ -47,14 +47,14 @@ SLOTS = tuple((i, shift) for i in SEGMENTS for shift in sorted(range(1 - abs(i),
 
 #: Bits of a line's length beside its number; longer lines have the greatest such length.
 LENGTH_BITS = 12
-#: Letters whose counts are compared, in Latin and in Arabic script.
-LETTERS = "etaoinsrhldualيمونرته"
+#: Letters whose counts are compared, in Latin and in Arabic script; each once, as a letter that counts twice would make one edit two.
+LETTERS = "".join(dict.fromkeys("etaoinsrhlducmيمونرتهلا"))
 
 
 def classes(edits: int | tuple[tuple[int, int], ...], shortest: int) -> list[tuple[int, float, int, int]]:
     """(low, high, edits, size of a segment) of the classes of lengths; ``edits`` + 1 segments fit into each line of a class."""
     steps = ((shortest, edits),) if isinstance(edits, int) else tuple((max(low, shortest), e) for low, e in edits)
-    if max(e for _, e in steps) > MOST_EDITS:
+    if most_edits(steps) > MOST_EDITS:
         raise ValueError(f"at most {MOST_EDITS} edits: the levels of the banded distance share one long")
     out: list[tuple[int, float, int, int]] = []
     for (low, e), above in zip(steps, [*(x for x, _ in steps[1:]), float("inf")], strict=True):
@@ -75,6 +75,11 @@ def allowed(length: Column, edits: int | tuple[tuple[int, int], ...]) -> Column:
     return out
 
 
+def most_edits(edits: int | tuple[tuple[int, int], ...]) -> int:
+    """The greatest number of edits at any length."""
+    return edits if isinstance(edits, int) else max(e for _, e in edits)
+
+
 def of_length(length: Column, edits: int | tuple[tuple[int, int], ...], shortest: int) -> Column:
     """array<struct<c, size, gap, edits, own>>: the class of a line of some length, and those of shorter partners."""
     every = classes(edits, shortest)
@@ -215,8 +220,7 @@ def verified(pairs: DataFrame, texts: DataFrame, edits: int | tuple[tuple[int, i
     both = merged(merged(pairs, first, "a"), second, "b").withColumn("most", allowed(F.least(F.length("x"), F.length("y")), edits))
     chars = lambda c: F.when(F.length(c) == 0, F.array().cast("array<string>")).otherwise(F.split(c, ""))
     alike = F.transform(trimmed(F.col("x"), F.col("y")), lambda s: F.struct(chars(s.x).alias("x"), chars(s.y).alias("y")))
-    top = edits if isinstance(edits, int) else max(e for _, e in edits)
-    alike = F.exists(alike, lambda s: within(s.x, s.y, top, F.col("most")))
+    alike = F.exists(alike, lambda s: within(s.x, s.y, most_edits(edits), F.col("most")))
     # few bytes but much work: dealt anew, so that all cores take part
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return both.repartition(parts, "a", "b").where(alike).select("a", "b")
@@ -239,9 +243,9 @@ def may_be_near(x: str, y: str, edits: int | tuple[tuple[int, int], ...]) -> Col
     return (F.abs(n - m) <= most) & (gains <= most) & (losses <= most)
 
 
-def not_far(x: str, y: str, edits: tuple[tuple[int, int], ...]) -> Column:
+def not_far(x: str, y: str, edits: int | tuple[tuple[int, int], ...]) -> Column:
     """Whether Spark's own edit distance, which gives up beyond a threshold, stays below it: keeps near misses of crowded buckets out of the join's rows."""
-    return F.levenshtein(F.col(f"{x}.line"), F.col(f"{y}.line"), max(e for _, e in edits)) >= 0
+    return F.levenshtein(F.col(f"{x}.line"), F.col(f"{y}.line"), most_edits(edits)) >= 0
 
 
 def lines_of(docs: DataFrame, shortest: int = SHORTEST, words: bool = False) -> DataFrame:
@@ -273,7 +277,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, edits: int | tuple[tuple[i
     rows = rows.where("b IS NOT NULL").select(F.col("b").bitwiseAND(-2).alias("bucket"), F.col("id").bitwiseOR(F.col("b").bitwiseAND(1)).alias("marked"))
     there = rows.select(F.col("bucket").alias("bucket_"), F.col("marked").alias("marked_"))
     another = F.shiftright("marked", LENGTH_BITS + 1) != F.shiftright("marked_", LENGTH_BITS + 1)
-    fitting = F.abs(length("marked") - length("marked_")) <= max(e for _, e in edits)
+    fitting = F.abs(length("marked") - length("marked_")) <= most_edits(edits)
     shared = merged(rows, there, (F.col("bucket") == F.col("bucket_")) & another & fitting, "left_semi")
     members = shared.groupBy("bucket", F.shiftright("marked", LENGTH_BITS + 1).alias("id")).agg((F.max(F.col("marked").bitwiseAND(1)) == 1).alias("pivot"))
     members = scratch.put(members, "members")

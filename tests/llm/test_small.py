@@ -338,6 +338,36 @@ def test_lines_by_length(spark):
         assert found[i].text == "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in gone)
 
 
+def test_line_conditions_are_necessary(spark):
+    """What the join tests before the distance holds for every pair within the edits, whichever letters they touch."""
+    from tamarisk.llm import lines
+
+    assert len(set(lines.LETTERS)) == len(lines.LETTERS)
+    rng = random.Random(12)
+    alphabet = lines.LETTERS + "zq é"
+    pairs = []
+    for c in alphabet:
+        for n in (20, 39, 40, 41, 60, 79, 80, 120):
+            base = "".join(rng.choice(alphabet) for _ in range(n))
+            most = min(n // 20, 4)
+            other = list(base)
+            for _ in range(most):
+                at = rng.randrange(len(other) + 1)
+                other[at : at + rng.choice((0, 1))] = rng.choice(([], [c], [c]))
+            pairs += [(base, "".join(other))] + [(base, base[:k] + c * e + base[k:]) for k in (0, n // 2, n) for e in range(1, most + 1)]
+    df = spark.createDataFrame(pairs, "x string, y string")
+    for edits in (lines.BY_LENGTH, 1, 3):
+        allowed = (lambda n: min(n // 20, 4)) if edits is lines.BY_LENGTH else (lambda n, e=edits: e)
+        f = lambda c: F.struct(lines.counted(F.col(c), F.length(c)).alias("counts"), F.col(c).alias("line")).alias(f"f_{c}")
+        rows = df.select("x", "y", f("x"), f("y")).select("x", "y", lines.may_be_near("f_x", "f_y", edits).alias("may"), lines.not_far("f_x", "f_y", edits).alias("close")).collect()
+        seen = 0
+        for r in rows:
+            if distance(r.x, r.y) <= allowed(min(len(r.x), len(r.y))):
+                seen += 1
+                assert r.may and r.close, (r.x, r.y)
+        assert seen > 100
+
+
 def test_line_queries_use_the_threshold(spark, tmp_path):
     """A changed short word, three edits, is found by the query and the stage."""
     import corpus_pipeline
