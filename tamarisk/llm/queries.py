@@ -80,6 +80,24 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.perplexity(_documents(spark, sf_dir))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamarisk.llm import audit
+
+    return audit.audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamarisk.llm import shards
+
+    return shards.report(_documents(spark, sf_dir))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamarisk.llm import manifest
+
+    return manifest.manifest(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -92,10 +110,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substrings": op8_substrings,
         "op9_urls": op9_urls,
         "op10_kneser_ney": op10_kneser_ney,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_sharding": op12_sharding,
+        "op13_manifest": op13_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from tamarisk.llm import urls
+    from tamarisk.llm import audit, manifest, urls
 
-    return {"op9_urls": urls.oracle_sql()}
+    return {"op9_urls": urls.oracle_sql(), "op11_filter_audit": audit.oracle_sql(), "op13_manifest": manifest.oracle_sql()}
