@@ -75,8 +75,14 @@ def save(path: str, array: np.ndarray) -> None:
     os.replace(own, path)
 
 
-def load(path: str, dtype) -> np.ndarray:
-    return np.memmap(path, dtype, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, dtype)
+def load(path: str, dtype, n: int) -> np.ndarray:
+    """The ``n`` values that were written there; an error if they are not all there, as an empty array would silently change results."""
+    if not n:
+        return np.zeros(0, dtype)
+    found = np.memmap(path, dtype, "r")
+    if len(found) != n:
+        raise OSError(f"{path} holds {len(found)} values of {n}")
+    return found
 
 
 def packed(keys: np.ndarray, *values: np.ndarray) -> bytes:
@@ -152,7 +158,8 @@ class Model:
 
     def __init__(self, root: str, buckets: int):
         self.root, self.buckets, self.bits = root, buckets, buckets.bit_length() - 1
-        self.sizes = np.zeros(buckets, np.int64)
+        #: What was written: words and bigrams of each bucket.
+        self.sizes, self.pairs = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         self.offsets = np.zeros(buckets + 1, np.int64)
         self.n = self.v = self.types = 0
         self.discounts = self.low_discounts = np.zeros(4)
@@ -169,7 +176,7 @@ class Model:
         order = np.argsort(hashes, kind="stable")
         ranked = hashes[order]
         for b, (x, y) in self._runs(self.word_bucket(ranked)):
-            there = load(f"{self.root}/words/{b}.hash", np.uint64)
+            there = load(f"{self.root}/words/{b}.hash", np.uint64, self.sizes[b])
             if len(there):
                 at = np.minimum(np.searchsorted(there, ranked[x:y]), len(there) - 1)
                 out[order[x:y]] = np.where(there[at] == ranked[x:y], at + self.offsets[b], -1)
@@ -185,7 +192,7 @@ class Model:
         """A per-word array's rows at sorted ids."""
         out = np.zeros((len(ids), width), np.int64)
         for b, (x, y) in self._runs(np.searchsorted(self.offsets, ids, side="right") - 1):
-            out[x:y] = load(f"{self.root}/words/{b}.{name}", dtype).reshape(-1, width)[ids[x:y] - self.offsets[b]]
+            out[x:y] = load(f"{self.root}/words/{b}.{name}", dtype, self.sizes[b] * width).reshape(-1, width)[ids[x:y] - self.offsets[b]]
         return out
 
     def bigram_bucket(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -201,10 +208,10 @@ class Model:
         order = np.lexsort((keys, bucket))
         ranked, out = keys[order], np.zeros(len(keys), np.int64)
         for b, (x, y) in self._runs(bucket[order]):
-            there = load(f"{self.root}/bigrams/{b}.key", np.uint64)
+            there = load(f"{self.root}/bigrams/{b}.key", np.uint64, self.pairs[b])
             if len(there):
                 at = np.minimum(np.searchsorted(there, ranked[x:y]), len(there) - 1)
-                count = load(f"{self.root}/bigrams/{b}.count", np.int64)[at]
+                count = load(f"{self.root}/bigrams/{b}.count", np.int64, self.pairs[b])[at]
                 out[order[x:y]] = np.where(there[at] == ranked[x:y], count, 0)
         return out
 
@@ -296,7 +303,7 @@ def train(docs: DataFrame, scratch: Scratch) -> Model:
     def hot_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bucket in batch["id"].to_pylist():
-                n = load(f"{root}/words/{bucket}.count", np.int64)
+                n = load(f"{root}/words/{bucket}.count", np.int64, model.sizes[bucket])
                 yield pa.RecordBatch.from_pylist([{"id": int(i) + int(model.offsets[bucket])} for i in np.flatnonzero(n > least)], pa.schema([("id", pa.int64())]))
 
     # at most HOT words can each have more than 1 / HOT of all tokens
@@ -319,6 +326,7 @@ def train(docs: DataFrame, scratch: Scratch) -> Model:
             save(f"{root}/bigrams/{bucket}.key", keys)
             save(f"{root}/bigrams/{bucket}.count", n.astype(np.int64))
             of += counts_of_counts(n)
+            yield from blobs([(-2, np.array([bucket, len(keys)], np.int64).tobytes())])
             context, word = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
             one, zero = np.ones(len(keys), np.int64), np.zeros(len(keys), np.int64)
             follow = summed(context, n == 1, n == 2, n > 2)
@@ -330,7 +338,10 @@ def train(docs: DataFrame, scratch: Scratch) -> Model:
             yield from blobs(dealt(np.searchsorted(model.offsets, keys.astype(np.int64), side="right") - 1, keys, *values))
 
     stats = scratch.put(by_bucket(docs.mapInArrow(count_bigrams, BLOB)).mapInArrow(write_bigrams, BLOB), "stats")
-    model.discounts = discounts(sum((np.frombuffer(r.blob, np.int64) for r in stats.where("bucket < 0").collect()), np.zeros(4, np.int64)))
+    model.discounts = discounts(sum((np.frombuffer(r.blob, np.int64) for r in stats.where("bucket = -1").collect()), np.zeros(4, np.int64)))
+    for r in stats.where("bucket = -2").collect():
+        bucket, n = np.frombuffer(r.blob, np.int64)
+        model.pairs[bucket] = n
 
     def write_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, (keys, *values) in merged(batches, 4):

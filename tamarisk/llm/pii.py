@@ -162,19 +162,11 @@ def normalise(text: str) -> Track | None:
                 pattern = re.compile("[" + "".join(map(re.escape, sorted(strange))) + "]")
                 track.rewrite(pattern.finditer(track.text), lambda m: lookalike(m[0]))
                 changed = True
-    low = track.text.lower()
-    if any(x in low for x in ("dot", "punkt", "point", "punto", "[.]", "(.)")) and DOT.search(track.text):
-        if AT.search(track.text):
-            track.rewrite(AT.finditer(track.text), lambda m: "@")
+    # an at that stands alone is told by the dot after it, so it comes first
+    for pattern, sign in ((AT, "@"), (DOT, "."), (AT_SIGN, "@")):
+        if pattern.search(track.text):
+            track.rewrite(pattern.finditer(track.text), lambda m, sign=sign: sign)
             changed = True
-        track.rewrite(DOT.finditer(track.text), lambda m: ".")
-        changed = True
-    elif any(x in low for x in ("[at]", "(at)", "{at}", "<at>", "&#64;", "%40", "[ at ]", "( at )", "arroba")):
-        track.rewrite(AT.finditer(track.text), lambda m: "@")
-        changed = True
-    if "@" in low and AT_SIGN.search(track.text):
-        track.rewrite(AT_SIGN.finditer(track.text), lambda m: "@")
-        changed = True
     if DIGIT_RUN.search(track.text):
         track.rewrite(DIGIT_WORD.finditer(track.text), lambda m: DIGITS[m[0].lower()])
         track.rewrite(PLUS.finditer(track.text), lambda m: "+")

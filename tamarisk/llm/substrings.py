@@ -174,6 +174,8 @@ class Sorted:
 
     def __init__(self, root: str, buckets: int):
         self.root, self.bits = root, buckets.bit_length() - 1
+        #: How many keys each written bucket has.
+        self.sizes: dict[int, int] = {}
 
     def bucket(self, keys: np.ndarray) -> np.ndarray:
         return (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
@@ -192,32 +194,39 @@ class Sorted:
         out = {n: np.zeros(len(keys), t) for n, t in values.items()}
         starts = W.run_starts(where)
         for a, b in zip(starts, np.append(starts[1:], len(where)), strict=True) if len(starts) else ():
-            there = load(f"{self.root}/{where[a]}.key", np.uint64)
-            if not len(there):
+            n_keys = self.sizes.get(int(where[a]), 0)
+            if not n_keys:
                 continue
+            there = load(f"{self.root}/{where[a]}.key", np.uint64, n_keys)
             at = np.minimum(np.searchsorted(there, ranked[a:b]), len(there) - 1)
             found[order[a:b]] = there[at] == ranked[a:b]
             for n, t in values.items():
-                out[n][order[a:b]] = load(f"{self.root}/{where[a]}.{n}", t)[at]
+                out[n][order[a:b]] = load(f"{self.root}/{where[a]}.{n}", t, n_keys)[at]
         return found, *out.values()
 
 
-def _write_rows(rows: DataFrame, target: Sorted, key: str, parts: int, **values) -> int:
-    """Rows (key long, values) into sorted files; how many."""
+WRITTEN = "bucket long, n long"
+
+
+def _told(bucket: int, n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([{"bucket": bucket, "n": n}], pa.schema([("bucket", pa.int64()), ("n", pa.int64())]))
+
+
+def _write_rows(rows: DataFrame, target: Sorted, key: str, parts: int, **values) -> None:
+    """Rows (key long, values) into sorted files, whose sizes ``target`` then knows: one number a bucket."""
     bucket = F.shiftrightunsigned(key, 64 - target.bits) if target.bits else F.lit(0).cast("long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pa.Table.from_batches([*batches] or [pa.RecordBatch.from_pylist([], _schema(["bucket", key, *values]))])
-        n = held.num_rows
-        if n:
+        if held.num_rows:
             column = {c: held[c].to_numpy() for c in held.column_names}
             for b in np.unique(column["bucket"]).tolist():
                 own = column["bucket"] == b
                 target.write(b, column[key][own].view(np.uint64), **{c: column[c][own].astype(t) for c, t in values.items()})
-        yield pa.RecordBatch.from_pylist([{"n": n}], pa.schema([("n", pa.int64())]))
+                yield _told(b, int(own.sum()))
 
-    told = rows.withColumn("bucket", bucket).select("bucket", key, *values).repartition(parts, "bucket").mapInArrow(run, "n long")
-    return told.agg(F.sum("n")).first()[0] or 0
+    told = rows.withColumn("bucket", bucket).select("bucket", key, *values).repartition(parts, "bucket").mapInArrow(run, WRITTEN)
+    target.sizes = {r.bucket: r.n for r in told.collect()}
 
 
 def _schema(names: list[str]) -> pa.Schema:
@@ -285,7 +294,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
                 yield pa.RecordBatch.from_arrays([*longs.columns, payload[s]], names=[*longs.schema.names, "words"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, rows, total = None, [], 0
+        bucket, rows = None, []
         group: list[tuple] = []
         waiting: list[list[tuple]] = []
         held = 0
@@ -316,15 +325,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
                     solve()
             group = []
 
-        def finish_bucket() -> None:
-            nonlocal rows, total
+        def finish_bucket() -> Iterator[pa.RecordBatch]:
+            nonlocal rows
             finish_group()
             if waiting:
                 solve()
             if rows:
                 one, two, doc, mask = (np.array(c, t) for c, t in zip(zip(*rows, strict=True), (np.int64, np.int64, np.int64, np.uint64), strict=True))
                 shards.write(bucket, one.view(np.uint64), two=two, doc=doc, mask=mask)
-            total += len(rows)
+                yield _told(bucket, len(rows))
             rows = []
 
         last, seen = None, set()
@@ -332,7 +341,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
             for b, anchor, one, two, doc, words in zip(*(batch[c].to_pylist() for c in ("bucket", "anchor", "one", "two", "doc", "words")), strict=True):
                 if b != bucket:
                     if bucket is not None:
-                        finish_bucket()
+                        yield from finish_bucket()
                     bucket, last = b, None
                 if anchor != last:
                     finish_group()
@@ -341,11 +350,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
                     seen.add((one, two))
                     group.append((one, two, doc, words))
         if bucket is not None:
-            finish_bucket()
-        yield pa.RecordBatch.from_pylist([{"n": total}], pa.schema([("n", pa.int64())]))
+            yield from finish_bucket()
 
     dealt = known.mapInArrow(emit, "bucket long, anchor long, one long, two long, doc long, words binary")
-    dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "anchor", "doc").mapInArrow(judge, "n long").agg(F.sum("n")).collect()
+    judged = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "anchor", "doc").mapInArrow(judge, WRITTEN)
+    shards.sizes = {r.bucket: r.n for r in judged.collect()}
 
     if any_hot:
 

@@ -737,3 +737,43 @@ def test_nulls_repeats_and_long_texts(spark):
     assert sorted(r.n_email for r in found) == [0] * 6 + [1500, 3000]
     prints = fingerprints.near_edits(df.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])).collect()
     assert len(prints) == 5 and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in prints)
+
+
+def test_disguises_that_the_pattern_holds():
+    """Whatever the at pattern matches is rewritten, whether or not anything else in the text is disguised."""
+    from tamarisk.llm import pii
+
+    for text in ("jean (chez) example.com", "hans [klammeraffe] example.de", "john ( at) example.com", "a {AT } b.org", "x [at] y.net", "ann &#64; z.com", "bob%40z.com", "carl [\u00a0at] q.org"):
+        for whole in (text, f"to the point: {text}", f"{text} and no dot"):
+            assert pii.AT.search(whole)
+            assert [k for _, k, _ in pii.spans(whole)[1]] == ["email"], whole
+            assert re.search(pii.SUSPECT.replace("\\x{85}", "\\x85").replace("\\x{A0}", "\\xa0").replace("\\x{0}", "\\x00").replace("\\x{FF}", "\\xff").replace("\\x{AD}", "\\xad"), whole)
+    assert pii.spans("meet at noon (at the point)")[1] == []
+
+
+def test_lost_arrays_raise(spark, docs, monkeypatch):
+    """A file that is not there, or not whole, is an error and not an empty array."""
+    from tamarisk.llm import ngrams
+
+    real = ngrams.save
+    for lost in (".count", ".key"):
+        monkeypatch.setattr(ngrams, "save", lambda path, array, lost=lost: real(path, array[:-1] if path.endswith(lost) else array))
+        with pytest.raises(Exception, match="values of|No such file|cannot mmap"):
+            ngrams.perplexity(docs).collect()
+    with pytest.raises(FileNotFoundError):
+        ngrams.load("/nowhere/at/all", "int64", 1)
+    assert len(ngrams.load("/nowhere/at/all", "int64", 0)) == 0
+
+
+def test_batch_rows_only_shrink(spark):
+    from tamarisk.llm import words
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    try:
+        for before, after in (("10000", "500"), ("0", "500"), ("7", "7")):
+            spark.conf.set(key, before)
+            words.small_batches(spark)
+            assert spark.conf.get(key) == after
+    finally:
+        spark.conf.set(key, old)
