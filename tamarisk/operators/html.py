@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Elements whose text is not read, elements without an end, and elements that bound a block.
 SKIPPED = frozenset(("script", "style", "noscript", "iframe", "textarea", "input", "select", "code", "pre", "svg", "canvas", "template"))
@@ -76,12 +77,14 @@ def blocks(page: str) -> list[tuple[str, str]]:
     return [(tree.nodes[n][1], whole[n][:KEPT]) for n in out if whole[n]]
 
 
-def page_blocks(pages: DataFrame) -> DataFrame:
-    """(page_id, block_id, tag, text) of pages (page_id, html); null pages have none."""
+def page_blocks(pages: DataFrame, carried: str | None = None) -> DataFrame:
+    """(page_id, block_id, tag, text) of pages (page_id, html), after a long ``carried`` if that is named; null pages have none."""
+    more = [carried] if carried else []
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(p, i, t, x) for p, h in zip(frame.page_id, frame.html, strict=True) if isinstance(h, str) for i, (t, x) in enumerate(blocks(h))]
-            yield pd.DataFrame(rows, columns=["page_id", "block_id", "tag", "text"])
+            rows = [(*own, i, t, x) for *own, h in frame.itertuples(index=False) if isinstance(h, str) for i, (t, x) in enumerate(blocks(h))]
+            yield pd.DataFrame(rows, columns=["page_id", *more, "block_id", "tag", "text"])
 
-    return pages.select("page_id", "html").mapInPandas(run, SCHEMA)
+    schema = SCHEMA.replace("block_id", "".join(f"{c} long, " for c in more) + "block_id")
+    return pages.select("page_id", *(F.col(c).cast("long") for c in more), "html").mapInPandas(run, schema)

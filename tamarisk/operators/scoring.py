@@ -87,6 +87,13 @@ def reduce_scores(scores: Column, toxic: tuple[str, ...] = ("Toxic", "LABEL_1"))
     return F.struct(F.when(bad > good, "TOXIC").otherwise("SAFE").alias("label"), bad.alias("score"))
 
 
+def reduced(scores: list[tuple[str, float]], toxic: tuple[str, ...] = ("Toxic", "LABEL_1")) -> tuple[str, float]:
+    """:func:`reduce_scores` of one answer, where a stateful operator holds it."""
+    bad = next((s for label, s in scores if label in toxic), 0.0)
+    good = next((s for label, s in scores if label not in toxic), 0.0)
+    return ("TOXIC" if bad > good else "SAFE"), float(bad)
+
+
 def softmax(logits: Column) -> Column:
     """struct(predicted, confidence) of an array of logits."""
     top = F.array_max(logits)

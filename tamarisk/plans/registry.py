@@ -16,12 +16,11 @@ from tamarisk.operators import rules as R
 from tamarisk.operators import scoring as M
 from tamarisk.operators import splits as S
 from tamarisk.operators import suite as G
+from tamarisk.plans import streams
+from tamarisk.plans.catalog import ORACLE, QUERIES, query, table
 from tamarisk.sources import settings as C
 from tamarisk.streaming import moderation as O
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
 #: A small sample lexicon and keyword table; real ones are loaded as tables.
 LEXICON = [("idiot", "exact", "word"), ("moron", "exact", "word"), ("stupid", "exact", "word"), ("the", "contextual", "word"), ("thing", "pejorative", "word"), ("in the", "exact", "phrase")]
 CUES = ("of", "you")
@@ -37,10 +36,6 @@ CELLS = "sum(CAST(label = 1 AND predicted = 1 AS BIGINT)) AS tp, sum(CAST(label
 TOKENS = "list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
 
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 def labelled(spark: SparkSession, d: str) -> DataFrame:
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
     return docs.join(labels, "doc_id").select("doc_id", "text", "source", F.col("lang").alias("dialect"), F.col("toxic").alias("label"), "quality")
@@ -58,19 +53,6 @@ def tokenized(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("tokens"))
 
 
-def query(sql: str | None = None, longs: str = "", doubles: str = ""):
-    """Registers a query with its twin; sums and literals of the twin are cast to Spark's types."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            casts = [f"CAST({c} AS BIGINT) AS {c}" for c in longs.split()] + [f"CAST({c} AS DOUBLE) AS {c}" for c in doubles.split()]
-            ORACLE[f.__name__] = f"SELECT * REPLACE ({', '.join(casts)}) FROM ({sql})" if casts else sql
-        return f
-
-    return add
-
-
 # --- labels, votes, lineage
 
 
@@ -546,7 +528,7 @@ def known_scores(spark, d):
     return M.score_new(texts, known, lambda df: df.select("text", F.when(F.col("text").contains("idiot"), "TOXIC").otherwise("SAFE").alias("label"), F.lit(0.25).alias("score")))
 
 
-@query()
+@query(streams.lockout_twin("epoch_us(ts) / 1e6", "event_type <> 'error'"))
 def lockout_replay(spark, d):
     tries = table(spark, d, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), (F.col("event_type") != "error").alias("success"))
     return O.replay(tries)

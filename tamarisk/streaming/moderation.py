@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 FREE_TRIES, FIRST_SECONDS, MOST_SECONDS = 5, 30, 900
+OUTCOMES = "user_id long, event_id long, outcome string, locked_until double"
 
 
 def distinct_blocks(stream: DataFrame, key: str = "block_id", time: str = "ts", horizon: str = "1 hour") -> DataFrame:
@@ -58,8 +59,6 @@ def replay(tries: DataFrame) -> DataFrame:
     A fold per user: the state of one try depends on all before. Users are independent, and one
     user's tries come sorted from the shuffle and are folded as a stream of Arrow batches.
     """
-    schema = "user_id long, event_id long, outcome string, locked_until double"
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         user, state = None, (0, 0.0)
         for frame in frames:
@@ -72,22 +71,24 @@ def replay(tries: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["user_id", "event_id", "outcome", "locked_until"])
 
     own = tries.select("user_id", "event_id", F.col("at").cast("double"), F.col("success").cast("boolean"))
-    return own.repartition("user_id").sortWithinPartitions("user_id", "at", "event_id").mapInPandas(run, schema)
+    return own.repartition("user_id").sortWithinPartitions("user_id", "at", "event_id").mapInPandas(run, OUTCOMES)
 
 
 class Lockout(StatefulProcessor):
-    """The same state machine for ``transformWithStateInPandas``, keyed by user."""
+    """The same state machine for ``transformWithStateInPandas``, keyed by user; see :func:`stateful.lockouts`."""
+
+    def __init__(self, ttl_ms: int | None = None) -> None:
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("lockout", "fails int, until double")
+        self.state = handle.getValueState("lockout", "fails int, until double", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         state = tuple(self.state.get()) if self.state.exists() else (0, 0.0)
         out = []
-        for frame in rows:
-            for r in frame.sort_values(["at", "event_id"]).itertuples(index=False):
-                state, outcome, until = attempt(state, r.at, bool(r.success))
-                out.append((key[0], r.event_id, outcome, until))
+        for r in pd.concat(list(rows)).sort_values(["at", "event_id"]).itertuples(index=False):
+            state, outcome, until = attempt(state, r.at, bool(r.success))
+            out.append((key[0], r.event_id, outcome, until))
         self.state.update((int(state[0]), float(state[1])))
         yield pd.DataFrame(out, columns=["user_id", "event_id", "outcome", "locked_until"])
 
