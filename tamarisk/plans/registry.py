@@ -11,6 +11,7 @@ from tamarisk.operators import evaluate as E
 from tamarisk.operators import html as H
 from tamarisk.operators import labels as B
 from tamarisk.operators import lexicon as L
+from tamarisk.operators import phrases as N
 from tamarisk.operators import profile as P
 from tamarisk.operators import rules as R
 from tamarisk.operators import scoring as M
@@ -407,6 +408,18 @@ def phrase_hits(spark, d):
     return table(spark, d, "documents").where(L.phrase_hits(F.col("text"), ["in the", "of that"])).select("doc_id")
 
 
+_WINDOWS = "SELECT DISTINCT array_to_string(w[i:i + 2], ' ') AS term FROM (SELECT string_split(text, ' ') AS w, unnest(range(1, len(string_split(text, ' ')) - 1)) AS i FROM benchmark)"
+
+
+@query(f"SELECT doc_id, count(*) AS n_terms, min(term) AS least, sum(strpos(text, term) - 1) AS places FROM documents JOIN ({_WINDOWS}) ON contains(text, term) GROUP BY doc_id", longs="places")
+def phrase_matches(spark, d):
+    """All phrases of three words of the benchmark, anywhere in the documents, also across the borders of words."""
+    words = table(spark, d, "benchmark").select(F.split("text", " ").alias("w"))
+    terms = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))).alias("term")).distinct()
+    found = N.matches(table(spark, d, "documents").select("doc_id", F.lit(0).alias("variant"), "text"), terms.select(F.lit(0).alias("variant"), "term", F.col("term").alias("needle")))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.min("term").alias("least"), F.sum("first").alias("places"))
+
+
 @query("SELECT doc_id FROM documents WHERE regexp_matches(text, 'idi[o0]t|mor+on')")
 def regex_hits(spark, d):
     tokens = F.split("text", r"[\x20\x09-\x0D]+")
