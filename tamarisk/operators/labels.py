@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tamarisk.functions import text as T
@@ -69,6 +69,24 @@ def routed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where(F.col("label").isNotNull()), df.where(F.col("label").isNull())
 
 
+def write_routed(df: DataFrame, path: str, steps: list[tuple[str, Column]]) -> dict[str, int]:
+    """Write each row to the folder ``route=`` of the first step (name, condition) that it fails, or ``route=kept``; how many rows came and were left after each step.
+
+    One scan and one write: the counts are observed on the way. A condition that is null fails.
+    """
+    holds = [F.coalesce(c, F.lit(False)) for _, c in steps]
+    route, left = F.lit("kept"), F.lit(True)
+    for (name, _), c in reversed(list(zip(steps, holds, strict=True))):
+        route = F.when(~c, name).otherwise(route)
+    sums = [F.count(F.lit(1)).alias("raw")]
+    for (name, _), c in zip(steps, holds, strict=True):
+        left = left & c
+        sums.append(F.count_if(left).alias(name))
+    seen = Observation()
+    df.observe(seen, *sums).withColumn("route", route).write.mode("overwrite").partitionBy("route").parquet(path)
+    return seen.get
+
+
 def prepare(df: DataFrame, text: str | int, label: str | list[str], mapping: dict[str, int], source: str, dialect: str = "Unknown", script: bool = True, shortest: int = 3, longest: int = 1000) -> tuple[DataFrame, DataFrame]:
     """((text, label, source, dialect, original_text) fit for a corpus, (text, label, source) of unknown labels).
 

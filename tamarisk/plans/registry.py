@@ -17,6 +17,7 @@ from tamarisk.operators import rules as R
 from tamarisk.operators import scoring as M
 from tamarisk.operators import splits as S
 from tamarisk.operators import suite as G
+from tamarisk.operators import training as K
 from tamarisk.plans import streams
 from tamarisk.plans.catalog import ORACLE, QUERIES, query, table
 from tamarisk.sources import settings as C
@@ -168,6 +169,24 @@ def strip_mentions_digits(spark, d):
     return table(spark, d, "documents").select("doc_id", T.collapse_spaces(t).alias("clean"))
 
 
+@query("SELECT CASE WHEN NOT regexp_matches(text, '[a-z]') THEN 'latin' WHEN NOT length(text) BETWEEN 3 AND 1000 THEN 'length' WHEN NOT lang = 'en' THEN 'english' ELSE 'kept' END AS route, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY 1")
+def routed_rows(spark, d):
+    """The funnel as one write: what each step drops lies beside what is kept."""
+    path = streams.stateful.folder(spark, "routed")
+    B.write_routed(table(spark, d, "documents"), path, [("latin", F.col("text").rlike("[a-z]")), ("length", F.length("text").between(3, 1000)), ("english", F.col("lang") == "en")])
+    return spark.read.parquet(path).groupBy("route").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query()
+def continued_training(spark, d):
+    """A model of one half of the labelled documents goes on with the other half; the losses of either fit."""
+    rows = labelled(spark, d)
+    first = K.fit(rows.where("doc_id % 2 = 0"), features=1 << 12, passes=6)
+    second = K.fit(rows, first, passes=6)
+    told = [(name, i, *map(float, losses)) for name, m in (("first", first), ("continued", second)) for i, losses in enumerate(m.history)]
+    return spark.createDataFrame(told, "fit string, pass int, train_loss double, held_loss double")
+
+
 def _runs(most: int) -> str:
     keep = " OR ".join(["i <= 1"] + [f"c[i] <> c[i - {k}]" for k in range(1, most + 1)]) if most == 1 else f"i <= {most} OR " + " OR ".join(f"c[i] <> c[i - {k}]" for k in range(1, most + 1))
     return f"SELECT doc_id, array_to_string(list_transform(list_filter(range(1, len(c) + 1), lambda i: {keep}), lambda i: c[i]), '') AS squeezed FROM (SELECT doc_id, string_split(text, '') AS c FROM documents)"

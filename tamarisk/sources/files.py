@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from tamarisk.operators import labels, profile
+from tamarisk.sources import workbook
 
 # What a config means where it says nothing.
 EXTENSIONS = (".csv", ".tsv", ".xlsx", ".parquet", ".json", ".jsonl")
@@ -38,7 +39,9 @@ def read_table(spark: SparkSession, path: str, separator: str = ",", encoding: s
 
 
 def read_excel(spark: SparkSession, path: str, sheets: list[int | str], names: list[str] | None = None) -> DataFrame:
-    """Sheets of one workbook, one below the other; a workbook is a driver-sized file."""
+    """Sheets of one workbook, one below the other: see :func:`workbook.read_workbook`; the old binary format, a driver-sized file, goes through pandas' engine."""
+    if not path.lower().endswith(".xls"):
+        return workbook.read_workbook(spark, path, sheets, names)
     import pandas as pd
 
     frames = [pd.read_excel(path, sheet_name=s, header=None if names else 0, names=names, dtype=str) for s in sheets]
