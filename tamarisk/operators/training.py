@@ -9,7 +9,6 @@ partitioning, and a fit can be repeated to the bit.
 from __future__ import annotations
 
 import dataclasses
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarisk.functions import text as T
-from tamarisk.session import shared_dir
+from tamarisk.session import stored
 
 FEATURES = 1 << 16
 #: Passes without a better loss on the held-out part before the fit ends.
@@ -95,7 +94,6 @@ def fit(
     never makes a given model worse on them. ``balanced`` weighs toxic rows by safe over toxic. A row may bring its
     own ``weight``. Each weight's step shrinks with the gradients that it has seen.
     """
-    spark = train.sparkSession
     model = Model(start.weights.copy(), start.bias) if start is not None else Model.blank(features)
     known = train.where("label IN (0, 1)")
     own = F.col("weight").cast("double") if "weight" in train.columns else F.lit(1.0)
@@ -105,9 +103,7 @@ def fit(
         ratio = n.safe / n.toxic if n.safe and n.toxic else 1.0
     held = F.pmod(F.xxhash64(F.lit(seed), F.col("text")), F.lit(1 << 20)) < int(held_out * (1 << 20))
     rows = hashed(known, len(model.weights)).select(F.col("label").cast("double").alias("label"), (own * F.when(F.col("label") == 1, ratio).otherwise(1.0)).alias("weight"), held.alias("held"), "words")
-    path = f"{shared_dir(spark)}/tamarisk-training-{uuid.uuid4().hex[:12]}"
-    rows.write.parquet(path)
-    rows = spark.read.schema(rows.schema).parquet(path)
+    rows = stored(rows, "training")
     seen, history, best, stale = np.zeros(len(model.weights) + 1), [], None, 0
     for n_pass in range(passes + 1):
         told = _pass(rows, model)

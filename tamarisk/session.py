@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "tamarisk", cpus: int | None = None, **conf: str) -> SparkSession:
@@ -38,3 +39,11 @@ def shared_dir(spark: SparkSession) -> str:
         found = tempfile.mkdtemp(prefix="tamarisk-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once under the shared folder and read from there: computed once, and outliving any executor."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tamarisk-{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from tamarisk.functions import text as T
 from tamarisk.operators import lexicon as L
 from tamarisk.operators import phrases
 from tamarisk.operators import rules as R
@@ -75,3 +76,27 @@ def test_verdict_by_phrases(spark, many_forms):
     out = {r.doc_id: (r.layer, r.reason) for r in R.verdict(docs, lexicon, profile=None, many_forms=many_forms).collect()}
     assert out == {1: ("dict", "phrase"), 2: ("dict", "partial"), 3: ("dict", "regex"), 4: ("-", None), 5: ("dict", "phrase")}
     assert R.verdict(docs.where("doc_id = 4"), lexicon.where(F.col("kind") == "word"), profile=None).first().layer == "-"
+
+
+def whole_text_forms(docs, lexicon, **options):
+    """Every form of every text as a text of its own."""
+    many = docs.select("doc_id", F.posexplode(L.forms(F.col("text"))).alias("form_no", "form")).select(F.struct("doc_id", "form_no").alias("form_key"), T.tokens(F.col("form")).alias("tokens"))
+    found = L.match(many, lexicon, "form_key", **options)
+    return found.groupBy(F.col("form_key.doc_id").alias("doc_id")).agg(*(F.bool_or(c).alias(c) for c in ("exact", "contextual", "pejorative")), F.min_by("culprit", "form_key.form_no").alias("culprit"))
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_forms_of_tokens_are_forms_of_texts(spark, monkeypatch, most):
+    """Shaping the distinct tokens gives what shaping whole texts gives, with a hit table sent to the tasks or joined."""
+    monkeypatch.setattr(L, "BROADCAST_ROWS", most)
+    rng = random.Random(11)
+    words = ["غبي", "غغبي", "غ.ب.ي", "غبيي", "حماره", "حمارة", "يا", "انت", "كلمه", "كلمة", "برمجه", "و", "--", "ابن", "طيبه", "a.b", "كلب", "ككلب،كلب"]
+    texts = [(k, rng.choice((" ", "  ", "\n")).join(rng.choice(words) for _ in range(rng.randint(0, 8)))) for k in range(300)] + [(300, None), (301, "غبي")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    lexicon = spark.createDataFrame([("غبي", "exact", "word"), ("حمارة", "contextual", "word"), ("كلب", "pejorative", "word"), ("كلمة", "exact", "word")], "term string, tier string, kind string")
+    exempt = spark.createDataFrame([("طيبة",)], "term string")
+    registers = spark.createDataFrame([("كلمة", "برمجه"), ("غبي", "و")], "term string, cue string")
+    for stemming in (True, False):
+        options = {"stemming": stemming, "exempt": exempt, "registers": registers}
+        got, want = ({tuple(r) for r in f(docs, lexicon, **options).collect()} for f in (L.match_forms, whole_text_forms))
+        assert got == want and len(got) > 100
