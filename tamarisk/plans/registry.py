@@ -458,6 +458,53 @@ def layered_verdict(spark, d):
     return R.verdict(docs, lexicon(spark).where("tier = 'exact' AND kind = 'word'"), profile=None)
 
 
+_LATIN, _SCRIPT = "abcdefghijklmnopqrstuvwxyz", "ابتثةحخدذرزسشصعطظغضفقكلمنه"
+_SIGNS = ".-_*#$@!,،/\\"
+assert len(_LATIN) == len(_SCRIPT)
+
+
+def _ar(word: str) -> str:
+    return word.translate(str.maketrans(_LATIN, _SCRIPT))
+
+
+_HIDDEN = _ar("idiot")
+_BROKEN = _HIDDEN[:2] + "ىى" + _HIDDEN[2:]
+_ARABIC_WORDS = [_ar("moron"), _ar("stupid"), _ar("never").translate(L.FOLD), _HIDDEN]
+_ARABIC_PHRASE = _ar("in the")
+_SQUEEZED = "array_to_string(list_transform(list_filter(range(1, len(c) + 1), lambda i: i = 1 OR c[i] <> c[i - 1]), lambda i: c[i]), '')"
+_FOLDED = lambda c: f"translate({c}, 'ةىیۃہ', 'هييهه')"
+_IN_ARABIC = f"translate(translate(lower(text), '{_LATIN}', '{_SCRIPT}'), '{_SIGNS}', '{' ' * len(_SIGNS)}')"
+
+
+@query(
+    f"""WITH h AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN replace({_IN_ARABIC}, '{_HIDDEN}', '{_BROKEN}') ELSE {_IN_ARABIC} END AS t FROM documents),
+a AS (SELECT doc_id, coalesce(CASE doc_id % 7 WHEN 0 THEN t || ' 🖕' WHEN 1 THEN 'يا ' || t || ' 🐶' WHEN 2 THEN t || ' 🔪 🐶' ELSE t END, '') AS t FROM h),
+k AS (SELECT doc_id, t, string_split(t, '') AS c, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM a),
+p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM k),
+v AS (SELECT token, {_SQUEEZED} AS short FROM (SELECT token, string_split(token, '') AS c FROM (SELECT DISTINCT unnest(w) AS token FROM k))),
+s AS (SELECT token, unnest([0, 2, 4, 5]) AS shape, unnest([token, short, {_FOLDED("token")}, {_FOLDED("short")}]) AS form FROM v),
+f AS (SELECT doc_id, arg_min(form, shape * 1000000 + i) AS culprit FROM p JOIN s ON s.token = p.w[p.i] WHERE form IN ({", ".join(f"'{w}'" for w in _ARABIC_WORDS)}) GROUP BY doc_id),
+r AS (SELECT doc_id, min(i) AS i FROM p WHERE replace(w[i], 'ىى', '') = '{_HIDDEN}' AND contains(w[i], 'ىى') GROUP BY doc_id),
+x AS (SELECT k.doc_id, t, len(w) AS n, f.culprit, r.i IS NOT NULL AS repaired, contains({_FOLDED("t")}, '{_ARABIC_PHRASE.translate(L.FOLD)}') OR contains({_FOLDED(_SQUEEZED)}, '{_ARABIC_PHRASE.translate(L.FOLD)}') AS phrase,
+  CASE k.doc_id % 7 WHEN 0 THEN 'toxic_emoji' WHEN 1 THEN 'directed_animal_insult' END AS sign FROM k LEFT JOIN f ON f.doc_id = k.doc_id LEFT JOIN r ON r.doc_id = k.doc_id),
+y AS (SELECT *, CASE WHEN sign IS NOT NULL AND t <> '' THEN 'emoji' WHEN culprit IS NOT NULL OR phrase THEN 'dict' WHEN repaired THEN 'resolver' WHEN length(t) >= 3 AND n >= 3 AND contains(t, '{_ar("thing")}') THEN 'model' ELSE '-' END AS layer FROM x)
+SELECT doc_id, layer <> '-' AS is_toxic, layer, CASE layer WHEN 'emoji' THEN sign WHEN 'dict' THEN coalesce(culprit, 'phrase') WHEN 'resolver' THEN '{_HIDDEN}' WHEN 'model' THEN '0.9' ELSE CASE WHEN length(t) >= 3 AND n >= 3 THEN '0.1' END END AS reason FROM y"""
+)
+def layered_verdict_arabic(spark, d):
+    """All layers over the documents in Arabic letters, some with a broken word or an emoji, with a rule behind them as the model."""
+    text = F.translate(F.translate(F.lower("text"), _LATIN, _SCRIPT), _SIGNS, " " * len(_SIGNS))
+    text = F.when(F.expr("doc_id % 5 = 0"), F.replace(text, F.lit(_HIDDEN), F.lit(_BROKEN))).otherwise(text)
+    sign = F.expr("doc_id % 7")
+    text = F.when(sign == 0, F.concat(text, F.lit(" 🖕"))).when(sign == 1, F.concat(F.lit("يا "), text, F.lit(" 🐶"))).when(sign == 2, F.concat(text, F.lit(" 🔪 🐶"))).otherwise(text)
+    terms = spark.createDataFrame([(w, "exact", "word") for w in _ARABIC_WORDS] + [(_ARABIC_PHRASE, "exact", "phrase")], "term string, tier string, kind string")
+
+    def scorer(texts):
+        toxic = F.col("text").contains(_ar("thing"))
+        return texts.select("text", F.when(toxic, "TOXIC").otherwise("SAFE").alias("label"), F.when(toxic, 0.9).otherwise(0.1).alias("score"))
+
+    return R.verdict(table(spark, d, "documents").select("doc_id", text.alias("text")), terms, profile=None, scorer=scorer, stemming=False)
+
+
 @query()
 def resolver_repairs(spark, d):
     # the documents hold no Arabic script: a disguised word is put before each text
