@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarisk.functions import arabizi
@@ -20,6 +20,7 @@ from tamarisk.operators import suite as G
 from tamarisk.operators import training as K
 from tamarisk.plans import streams
 from tamarisk.plans.catalog import ORACLE, QUERIES, query, table
+from tamarisk.sources import files
 from tamarisk.sources import settings as C
 from tamarisk.streaming import moderation as O
 
@@ -27,7 +28,6 @@ from tamarisk.streaming import moderation as O
 LEXICON = [("idiot", "exact", "word"), ("moron", "exact", "word"), ("stupid", "exact", "word"), ("the", "contextual", "word"), ("thing", "pejorative", "word"), ("in the", "exact", "phrase")]
 CUES = ("of", "you")
 KEYWORDS = [("insult", "idiot"), ("insult", "moron"), ("insult", "stupid"), ("common", "the"), ("common", "that")]
-SUITE_SEEDS = [("idiot", 1, "en", "insult"), ("moron", 1, "en", "insult"), ("friend", 0, "en", "kind"), ("neighbour", 0, "en", "kind")]
 MORPHS = [("bare", "{}"), ("plural", "{}s")]
 CARRIERS = ["hello {}", "{} again", "you are {}"]
 
@@ -146,11 +146,52 @@ def cleaned_rows(spark, d):
     return out
 
 
-@query()
+# The documents hold no Arabic script: their Latin letters become Arabic ones, one by one, in either engine.
+_LATIN, _SCRIPT = "abcdefghijklmnopqrstuvwxyz", "ابتثةحخدذرزسشصعطظغضفقكلمنه"
+assert len(_LATIN) == len(_SCRIPT)
+_UNICODE_SPACES = r"\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_WHITE = rf"\x20\x09-\x0D{_UNICODE_SPACES}"
+
+
+def in_arabic(text: Column) -> Column:
+    return F.translate(F.lower(text), _LATIN, _SCRIPT)
+
+
+def normal_sql(text: str, profile: str, source: str = "documents") -> str:
+    """(doc_id, norm) of an expression over ``source`` in DuckDB, without links and placeholders, which are Latin and end as spaces anyway.
+
+    What looks around itself in the engine goes by the list of characters here.
+    """
+    is_letter = lambda x: f"regexp_matches(coalesce({x}, ' '), '[ء-ي]')"
+    is_white = lambda x: f"regexp_matches(coalesce({x}, 'x'), '[{_WHITE}]')"
+    if profile == "corpus":
+        first = f"regexp_replace(translate(regexp_replace({text}, '\\\\[ntr]|[\n\r\t]', ' ', 'g'), '{T.ZERO_WIDTH}', ''), '@[\\p{{L}}\\p{{N}}_]+', '', 'g')"
+        alone = ""
+    else:
+        first = f"regexp_replace(translate(translate(regexp_replace({text}, '{T.INVISIBLE}', '', 'g'), '{T.CONFUSABLE_FROM}', '{T.CONFUSABLE_TO}'), '{T.ZERO_WIDTH}', ''), '@[A-Za-z0-9_]+', '', 'g')"
+        alone = f" AND (i = 2 OR NOT {is_letter('c[i - 2]')})"
+    keep = f"NOT ({is_white('c[i]')} AND i > 1 AND {is_letter('c[i - 1]')} AND {is_letter('c[i + 1]')} AND NOT {is_letter('c[i + 2]')}{alone})"
+    listed = lambda filter_: f"array_to_string(list_transform(list_filter(range(1, len(c) + 1), lambda i: {filter_}), lambda i: c[i]), '')"
+    plain = f"regexp_replace(translate(u, '{T.ALEF_FROM + T.SUBSTITUTION_FROM}', '{T.ALEF_TO + T.SUBSTITUTION_TO}'), '[\\x{{064B}}-\\x{{065F}}\\x{{0670}}\\x{{0640}}]', '', 'g')"
+    return f"""(WITH n0 AS (SELECT doc_id, string_split(regexp_replace(regexp_replace({first}, '[0-9٠-٩۰-۹]', ' ', 'g'), '[^{_WHITE}{T.ARABIC}]', ' ', 'g'), '') AS c FROM {source}),
+n1 AS (SELECT doc_id, {listed(keep)} AS u FROM n0), n2 AS (SELECT doc_id, string_split({plain}, '') AS c FROM n1),
+n3 AS (SELECT doc_id, {listed("i <= 2 OR c[i] <> c[i - 1] OR c[i] <> c[i - 2]")} AS u FROM n2)
+SELECT doc_id, coalesce(trim(regexp_replace(u, '[{_WHITE}]+', ' ', 'g'), ' '), '') AS norm FROM n3)"""
+
+
+_ARABIC_TEXT = f"translate(lower(text), '{_LATIN}', '{_SCRIPT}')"
+
+
+@query(
+    f"""WITH a AS (SELECT doc_id, {_ARABIC_TEXT} AS text, CASE lang WHEN 'en' THEN 1 WHEN 'fr' THEN 0 END AS label FROM documents), t AS (SELECT * FROM a WHERE text IS NOT NULL AND trim(regexp_replace(text, '[{_WHITE}]+', ' ', 'g'), ' ') <> ''),
+s AS (SELECT *, length(regexp_replace(text, '[^{T.ARABIC}]', '', 'g')) * 1.0 / nullif(length(regexp_replace(text, '[^{T.RATIO_DENOMINATOR}]', '', 'g')), 0) AS ratio FROM t),
+n AS {normal_sql("text", "corpus", "s")}
+SELECT n.norm AS text, s.label, true AS kept FROM s JOIN n ON n.doc_id = s.doc_id WHERE s.ratio >= 0.5 AND s.label IS NOT NULL AND length(n.norm) BETWEEN 3 AND 1000 UNION ALL SELECT text, NULL, false FROM s WHERE ratio >= 0.5 AND label IS NULL"""
+)
 def prepared_rows(spark, d):
-    """The kept rows and those of unknown labels, side by side; the Latin texts lose all but spaces in the corpus' normal form, so an Arabic word is put before each."""
-    docs = table(spark, d, "documents").select(F.concat(F.lit("سلام يا عالم وكلام طويل هنا "), F.substring_index("text", " ", 8)).alias("text"), F.col("lang").alias("label"))
-    clean, unknown = B.prepare(docs, "text", "label", {"en": 1, "fr": 0}, "own", script=False)
+    """The kept rows and those of unknown labels, side by side, of whole texts in Arabic letters."""
+    docs = table(spark, d, "documents").select(in_arabic(F.col("text")).alias("text"), F.col("lang").alias("label"))
+    clean, unknown = B.prepare(docs, "text", "label", {"en": 1, "fr": 0}, "own")
     return clean.select("text", "label", F.lit(True).alias("kept")).union(unknown.select("text", F.lit(None).cast("int"), F.lit(False)))
 
 
@@ -202,12 +243,19 @@ def compress_repeats(spark, d):
     return table(spark, d, "documents").select("doc_id", T.compress_repeats(F.col("text")).alias("squeezed"))
 
 
-@query()
+@query(f"SELECT c.doc_id, c.norm AS corpus, r.norm AS runtime FROM {normal_sql(_ARABIC_TEXT, 'corpus')} AS c JOIN {normal_sql(_ARABIC_TEXT, 'runtime')} AS r ON r.doc_id = c.doc_id")
+def normalized_arabic(spark, d):
+    """Both normal forms of the documents in Arabic letters."""
+    text = in_arabic(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", T.normalize(text).alias("corpus"), T.normalize(text, "runtime").alias("runtime"))
+
+
+@query(f"SELECT * FROM {normal_sql(chr(39) + 'مَرحبااا @ali ' + chr(39) + ' || text', 'corpus')}")
 def normalize_corpus(spark, d):
     return table(spark, d, "documents").select("doc_id", T.normalize(F.concat(F.lit("مَرحبااا @ali "), F.col("text"))).alias("norm"))
 
 
-@query()
+@query(f"SELECT * FROM {normal_sql(chr(39) + 'مَرحبااا ' + chr(39) + ' || text', 'runtime')}")
 def normalize_runtime(spark, d):
     return table(spark, d, "documents").select("doc_id", T.normalize(F.concat(F.lit("مَرحبااا "), F.col("text")), "runtime").alias("norm"))
 
@@ -244,7 +292,8 @@ def leakage_check(spark, d):
     return S.leakage(rows).select(F.col("left").alias("left_split"), F.col("right").alias("right_split"), "n")
 
 
-@query("SELECT 0 AS n")
+@query(f"""WITH {LABELLED}, t AS (SELECT text, max(label) AS label FROM labelled GROUP BY text), u AS (SELECT text, CAST('0x' || substr(md5('42' || label || '|' || text), 1, 12) AS BIGINT) / 281474976710656.0 AS u FROM t),
+s AS (SELECT DISTINCT text, CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.8 + 0.1 THEN 'val' ELSE 'test' END AS split FROM u) SELECT CAST(count(*) AS INT) AS n FROM s a JOIN s b ON a.text = b.text AND a.split < b.split""")
 def leakage_of_text_split(spark, d):
     """The split by text shares none."""
     texts = labelled(spark, d).groupBy("text").agg(F.max("label").alias("label"))
@@ -445,22 +494,44 @@ def regex_hits(spark, d):
     return table(spark, d, "documents").where(L.regex_hits(F.col("text"), tokens, ["idi[o0]t", "mor+on", "(broken"])).select("doc_id")
 
 
-@query("SELECT col0 AS term, col1 AS tier FROM (VALUES ('idiot', 'exact'), ('thing', 'pejorative'), ('the', 'contextual'), ('stupid', 'exact'), ('own', 'exact'))")
+@query(
+    f"""WITH w AS (SELECT DISTINCT unnest({TOKENS}) AS term FROM documents), d AS (SELECT term, CASE length(term) % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'contextual' ELSE 'pejorative' END AS tier FROM w WHERE term < 'm'),
+e AS (SELECT * FROM d UNION SELECT term, 'exact' FROM w WHERE term >= 'k'), o AS (SELECT * FROM e WHERE term NOT IN (SELECT term FROM w WHERE ends_with(term, 's')))
+SELECT DISTINCT term, tier FROM o WHERE tier <> 'exact' OR term NOT IN (SELECT term FROM o WHERE tier <> 'exact')"""
+)
 def effective_lexicon(spark, d):
-    custom = spark.createDataFrame([("own", "exact", "word"), ("the", "exact", "word")], "term string, tier string, kind string")
-    allowed = spark.createDataFrame([("moron",)], "term string")
-    return L.effective(lexicon(spark), custom, allowed).where("kind = 'word'").select("term", "tier")
+    """The words of the documents: one half as defaults of all tiers, a part as the user's own exact terms, some allowed."""
+    words = tokenized(spark, d).select(F.explode("tokens").alias("term")).distinct()
+    tier = F.expr("CASE length(term) % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'contextual' ELSE 'pejorative' END")
+    defaults = words.where("term < 'm'").select("term", tier.alias("tier"), F.lit("word").alias("kind"))
+    custom = words.where("term >= 'k'").select("term", F.lit("exact").alias("tier"), F.lit("word").alias("kind"))
+    return L.effective(defaults, custom, words.where("term LIKE '%s'")).where("kind = 'word'").select("term", "tier")
 
 
-@query()
+_SQUEEZED = "array_to_string(list_transform(list_filter(range(1, len(c) + 1), lambda i: i = 1 OR c[i] <> c[i - 1]), lambda i: c[i]), '')"
+
+
+def _shape_hits(led: bool) -> str:
+    """CTEs up to h (doc_id, culprit): the first insult of each Latin text, as it is or without repeats, ``led`` also with one leading letter of several."""
+    form = "left(form, 1) || ltrim(form, left(form, 1))" if led else "form"
+    return f"""k AS (SELECT doc_id, text, {TOKENS} AS w FROM documents), p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM k),
+v AS (SELECT token, {_SQUEEZED} AS short FROM (SELECT token, string_split(token, '') AS c FROM (SELECT DISTINCT unnest(w) AS token FROM k))),
+s AS (SELECT token, shape, form FROM (SELECT token, unnest([0, 2]) AS shape, unnest([token, short]) AS form FROM v) WHERE form IN ('idiot', 'moron', 'stupid') OR {form} IN ('idiot', 'moron', 'stupid')),
+h AS (SELECT doc_id, arg_min(form, shape * 1000000 + i) AS culprit FROM p JOIN s ON s.token = p.w[p.i] GROUP BY doc_id)"""
+
+
+@query(
+    f"""WITH {_shape_hits(True)}, e AS (SELECT doc_id, regexp_matches(text, '[{R.TOXIC_EMOJI}]') AS t, regexp_matches(text, '[{R.THREAT_EMOJI}]') AS r, regexp_matches(text, '[{R.ANIMAL_EMOJI}]') AS a, regexp_matches(text, '{R.ADDRESS}') AS y FROM documents),
+x AS (SELECT e.doc_id, CASE WHEN t OR (a AND y) THEN 'emoji' WHEN h.culprit IS NOT NULL THEN 'dict' ELSE '-' END AS layer, h.culprit,
+  concat_ws(',', CASE WHEN t THEN 'toxic_emoji' END, CASE WHEN r THEN 'threat_emoji' END, CASE WHEN a AND y THEN 'directed_animal_insult' WHEN a THEN 'undirected_animal' END) AS flags FROM e LEFT JOIN h ON h.doc_id = e.doc_id)
+SELECT doc_id, layer <> '-' AS is_toxic, layer, CASE layer WHEN 'emoji' THEN flags WHEN 'dict' THEN culprit END AS reason FROM x"""
+)
 def layered_verdict(spark, d):
     docs = table(spark, d, "documents")
     return R.verdict(docs, lexicon(spark).where("tier = 'exact' AND kind = 'word'"), profile=None)
 
 
-_LATIN, _SCRIPT = "abcdefghijklmnopqrstuvwxyz", "ابتثةحخدذرزسشصعطظغضفقكلمنه"
 _SIGNS = ".-_*#$@!,،/\\"
-assert len(_LATIN) == len(_SCRIPT)
 
 
 def _ar(word: str) -> str:
@@ -471,7 +542,6 @@ _HIDDEN = _ar("idiot")
 _BROKEN = _HIDDEN[:2] + "ىى" + _HIDDEN[2:]
 _ARABIC_WORDS = [_ar("moron"), _ar("stupid"), _ar("never").translate(L.FOLD), _HIDDEN]
 _ARABIC_PHRASE = _ar("in the")
-_SQUEEZED = "array_to_string(list_transform(list_filter(range(1, len(c) + 1), lambda i: i = 1 OR c[i] <> c[i - 1]), lambda i: c[i]), '')"
 _FOLDED = lambda c: f"translate({c}, 'ةىیۃہ', 'هييهه')"
 _IN_ARABIC = f"translate(translate(lower(text), '{_LATIN}', '{_SCRIPT}'), '{_SIGNS}', '{' ' * len(_SIGNS)}')"
 
@@ -574,13 +644,18 @@ def suite_disguises(spark, d):
 
 @query()
 def suite_adversarial(spark, d):
-    seeds = spark.createDataFrame([(*row[:2], row[3], False) for row in SUITE_SEEDS] + [("dog", 1, "animal", True)], "word string, expected int, category string, contextual boolean")
+    """Sources as seed words, a third of them contextual."""
+    number = F.regexp_extract("source", "([0-9]+)", 1).cast("int")
+    seeds = table(spark, d, "documents").select(F.col("source").alias("word"), (number % 2).alias("expected"), "lang", (number % 3 == 0).alias("contextual")).groupBy("word", "expected", "contextual").agg(F.min("lang").alias("category"))
     return G.adversarial(seeds, MORPHS, CARRIERS, ["a {} came", "my {}"], ["the {} is here", "I saw a {}", "{} is a word"])
 
 
 @query()
 def suite_generation(spark, d):
-    return G.generate(spark.createDataFrame(SUITE_SEEDS, "word string, expected int, dialect string, category string"), MORPHS, CARRIERS, 120)
+    """Every source and language as a seed word, each of their texts' languages a dialect."""
+    number = F.regexp_extract("source", "([0-9]+)", 1).cast("int")
+    seeds = table(spark, d, "documents").select(F.concat_ws("-", "source", "lang").alias("word"), (number % 2).alias("expected"), F.col("lang").alias("dialect"), F.col("source").alias("category")).distinct()
+    return G.generate(seeds, MORPHS, CARRIERS, 120)
 
 
 @query()
@@ -673,12 +748,21 @@ def sentence_candidates(spark, d):
     return R.sentence_candidates(docs)
 
 
-@query()
+@query(f"WITH {_shape_hits(False)} SELECT doc_id, true AS exact, false AS contextual, false AS pejorative, culprit FROM h")
 def match_all_forms(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
     return L.match_forms(docs, lexicon(spark).where("tier = 'exact' AND kind = 'word'"), stemming=False)
 
 
+@query("WITH o AS (SELECT source AS name, min(lang) AS dialect, count(*) AS n FROM documents GROUP BY 1), w AS (SELECT source AS name, max(lang) AS dialect, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY 1) SELECT * FROM o WHERE name NOT IN (SELECT name FROM w) UNION ALL SELECT * FROM w")
+def config_upsert(spark, d):
+    """A table of sources by name, in which the toxic documents' rows replace those of the same name."""
+    docs = table(spark, d, "documents")
+    by_name = lambda df, lang: df.groupBy(F.col("source").alias("name")).agg(lang("lang").alias("dialect"), F.count("*").alias("n"))
+    toxic = docs.join(table(spark, d, "labels").where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    return files.merge_tables(by_name(docs, F.min), by_name(toxic, F.max), "name")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -162,6 +162,18 @@ def test_newest_on_a_stream(spark, feed, tmp_path, data, most):
     assert Counter(map(tuple, found.select(names).collect())) == Counter(map(tuple, expected.select(names).collect()))
 
 
+def test_windows_on_a_stream(spark, feed, tmp_path):
+    """Counts by hour over micro-batches; a row behind the watermark is left out."""
+    src = feed("ts timestamp, kind string")
+    at = lambda *minutes: spark.createDataFrame([(f"2024-01-01 {m // 60:02d}:{m % 60:02d}:00", "a" if m % 2 else "b") for m in minutes], "t string, kind string").select(F.to_timestamp("t").alias("ts"), "kind")
+    for rows in (at(5, 6, 65), at(7, 70, 200), at(210), at(9, 300)):
+        src.add(rows)
+    stateful.to_table(moderation.windowed(src.stream(), "kind").select(F.date_format("window.start", "HH").alias("hour"), "kind", "n"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    found = Counter({(r.hour, r.kind): r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()})
+    # appended once the watermark, ten minutes behind the newest row, has passed a window: minute 9 came too late
+    assert found == {("00", "a"): 2, ("00", "b"): 1, ("01", "a"): 1, ("01", "b"): 1}
+
+
 def test_added_blocks(spark, feed, tmp_path):
     """Three snapshots of a page emit each block once."""
     src = feed("page_id long, snapshot long, html string")
