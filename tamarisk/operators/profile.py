@@ -106,12 +106,15 @@ def columns(df: DataFrame) -> DataFrame:
 def inspect(df: DataFrame, few: int = 20, head: int = 3) -> DataFrame:
     """:func:`columns` and, where a column has at most ``few`` values, a map of their counts; and its first ``head`` values.
 
-    The counts of all columns come of one aggregation by (column, value); columns with more
-    values only add to it what a distinct count needs anyway.
+    A first pass tells by sketches which columns could have so few values; only their cells are
+    counted by value, so that no texts or keys are shuffled for that.
     """
+    sketches = df.agg(*(F.approx_count_distinct(F.col(f"`{c}`"), 0.02).alias(f"a{i}") for i, c in enumerate(df.columns))).first()
+    # far beyond a sketch's error: a column that is left out has more values
+    likely = [c for c, n in zip(df.columns, sketches, strict=True) if n <= 2 * few + 10]
     first = df.limit(head).agg(*(F.collect_list(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("null"))).alias(f"h{i}") for i, c in enumerate(df.columns)))
     first = first.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"h{i}").alias("head")) for i, c in enumerate(df.columns)))))
-    cells = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in df.columns))))
+    cells = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in likely)))) if likely else df.sparkSession.createDataFrame([], "column string, value string")
     by_value = cells.where("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n"))
     small = by_value.groupBy("column").agg(F.count("*").alias("distinct_values")).where(F.col("distinct_values") <= few).select("column")
     values = by_value.join(small, "column").groupBy("column").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "n")))).alias("values"))

@@ -575,6 +575,15 @@ def layered_verdict_arabic(spark, d):
     return R.verdict(table(spark, d, "documents").select("doc_id", text.alias("text")), terms, profile=None, scorer=scorer, stemming=False)
 
 
+@query()
+def hybrid_cascade(spark, d):
+    """The cascade over the documents in Arabic letters, some with a broken word that only a candidate's score tells."""
+    text = F.concat(in_arabic(F.col("text")), F.when(F.expr("doc_id % 4 = 0"), f" {_BROKEN}").otherwise(""))
+    terms = spark.createDataFrame([(w, "exact", "word") for w in _ARABIC_WORDS if w != _HIDDEN], "term string, tier string, kind string")
+    rule = lambda texts: texts.select("text", F.lit("TOXIC").alias("label"), F.when(F.col("text").contains(_HIDDEN), 0.9).otherwise(0.1).alias("score"))
+    return R.hybrid(table(spark, d, "documents").select("doc_id", text.alias("text")), terms, rule, stemming=False)
+
+
 @query()
 def resolver_repairs(spark, d):
     # the documents hold no Arabic script: a disguised word is put before each text

@@ -12,9 +12,14 @@ from tamarisk.plans.catalog import query, table
 from tamarisk.streaming import rules_feed, stateful
 
 
+#: What a micro-batch reads of a table of many files, so that a key's rows of one batch fit into a worker.
+BATCH_BYTES = "256m"
+
+
 def stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """The table as a stream: files in the order of their times, rows of a key in each query's own order within a batch."""
     # a pattern, as a stream's plain path has to be a folder and a table may be one file
-    return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")
+    return spark.readStream.schema(table(spark, d, name).schema).option("maxBytesPerTrigger", BATCH_BYTES).parquet(f"{d}/{name}.parque[t]")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

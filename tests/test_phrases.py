@@ -100,3 +100,33 @@ def test_forms_of_tokens_are_forms_of_texts(spark, monkeypatch, most):
         options = {"stemming": stemming, "exempt": exempt, "registers": registers}
         got, want = ({tuple(r) for r in f(docs, lexicon, **options).collect()} for f in (L.match_forms, whole_text_forms))
         assert got == want and len(got) > 100
+
+
+def test_hybrid(spark):
+    """Dictionary, repair, and the greatest score over the clean text and its candidates, as a loop has it."""
+    lexicon = spark.createDataFrame([("غبي", "exact", "word")], "term string, tier string, kind string")
+    texts = {1: "انت غبي", 2: "يا غىىىبي", 3: "كلام طيب جدا", 4: "حماىىىر كبير", 5: "حمار كبير", 6: "", 7: None, 8: "كىىىلب وحماىىىر"}
+    scores = lambda t: 0.9 if "حمار" in t and "كبير" in t else 0.6 if "كلب" in t else 0.2
+
+    def scorer(df):
+        return spark.createDataFrame([(r.text, "x", scores(r.text)) for r in df.collect()], "text string, label string, score double")
+
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = {r.doc_id: r for r in R.hybrid(docs, lexicon, scorer, profile=None).collect()}
+    assert out.keys() == texts.keys()
+    for i, text in texts.items():
+        tokens = (text or "").split()
+        if i in (1, 2):
+            assert (out[i].is_toxic, out[i].score, out[i].source, out[i].calls) == (True, 1.0, {1: "dict", 2: "resolver:غبي"}[i], 0)
+            continue
+        made = []
+        if any("ىى" in t for t in tokens):
+            evasive = [k for k, t in enumerate(tokens) if "ىى" in t]
+            for k in evasive:
+                made += [" ".join([*tokens[:k], c, *tokens[k + 1 :]]) for c in R.repairs(tokens[k])]
+            made = list(dict.fromkeys(made))[:4]
+        best, source = scores(text or ""), "model_clean"
+        for c in made:
+            if scores(c) > best:
+                best, source = scores(c), f"model_cand:{c}"
+        assert (out[i].score, out[i].source, out[i].calls, out[i].is_toxic) == (best, source, len(made), best >= 0.5), i
