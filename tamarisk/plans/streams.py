@@ -13,7 +13,7 @@ from tamarisk.streaming import rules_feed, stateful
 
 
 #: What a micro-batch reads of a table of many files, so that a key's rows of one batch fit into a worker.
-BATCH_BYTES = "256m"
+BATCH_BYTES = 256 << 20
 
 
 def stream(spark: SparkSession, d: str, name: str) -> DataFrame:
