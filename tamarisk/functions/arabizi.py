@@ -21,7 +21,9 @@ LETTERS = {
     "sh": "ش", "kh": "خ", "gh": "غ", "th": "ث", "dh": "ذ", "ch": "تش", "ou": "و", "oo": "و", "ee": "ي", "aa": "ا", "ii": "ي", "ph": "ف",
     "3a": "ع", "3e": "ع", "3i": "عي", "7a": "ح", "7e": "ح", "7i": "حي", "5a": "خ", "5e": "خ", "9a": "ص", "6a": "ط", "2a": "أ", "2i": "إ", "2o": "ؤ",
 }
-MARKS = r"(?i)(?<![A-Za-z0-9_])(?:ya|yala|w?allah|insha|7a[br]|ma3a|3ala|kos|7mar|a5|el|el-|al-|ibn|bnt|kel[bm]|shar?m|na?yek|5awal|ta7t)(?![A-Za-z0-9_])"
+# Words that only stand in Arabic written this way.
+MARK_WORDS = "ya|yala|w?allah|insha|7a[br]|ma3a|3ala|kos|7mar|a5|el|el-|al-|ibn|bnt|kel[bm]|shar?m|na?yek|5awal|ta7t"
+MARKS = rf"(?i)(?<![A-Za-z0-9_])(?:{MARK_WORDS})(?![A-Za-z0-9_])"
 
 
 def is_arabizi(text: Column) -> Column:

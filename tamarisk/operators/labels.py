@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tamarisk.functions import text as T
 
@@ -53,38 +54,48 @@ def says_offensive(value: Column) -> Column:
     return F.coalesce(low.contains("offensive") & ~low.contains("not"), F.lit(False)).cast("int")
 
 
+def has_text() -> Column:
+    return F.coalesce(T.strip(F.col("text")) != "", F.lit(False))
+
+
+def has_label() -> Column:
+    """What a label map knew."""
+    return F.col("label").isNotNull()
+
+
 def with_text(df: DataFrame, label: bool = False, strip: bool = False) -> DataFrame:
     """Rows (text, ...) whose text is neither null nor blank, in all of Unicode's white space.
 
     ``label``: nor the label null. ``strip``: the text is kept without white space at its ends.
     """
-    bare = T.strip(F.col("text"))
-    out = df.where(F.col("text").isNotNull() & (bare != ""))
-    out = out.where(F.col("label").isNotNull()) if label else out
-    return out.withColumn("text", bare) if strip else out
+    out = df.where(has_text())
+    out = out.where(has_label()) if label else out
+    return out.withColumn("text", T.strip(F.col("text"))) if strip else out
 
 
 def routed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with a label, rows without one, which a label map did not know)."""
-    return df.where(F.col("label").isNotNull()), df.where(F.col("label").isNull())
+    return df.where(has_label()), df.where(~has_label())
 
 
 def write_routed(df: DataFrame, path: str, steps: list[tuple[str, Column]]) -> dict[str, int]:
     """Write each row to the folder ``route=`` of the first step (name, condition) that it fails, or ``route=kept``; how many rows came and were left after each step.
 
-    One scan and one write: the counts are observed on the way. A condition that is null fails.
+    One scan and one write; the counts come from the written files' footers. (An ``Observation`` would count on
+    the way, but once a session has one, its ML models' tasks can't be serialised any more.) A condition that is null fails.
     """
-    holds = [F.coalesce(c, F.lit(False)) for _, c in steps]
-    route, left = F.lit("kept"), F.lit(True)
-    for (name, _), c in reversed(list(zip(steps, holds, strict=True))):
-        route = F.when(~c, name).otherwise(route)
-    sums = [F.count(F.lit(1)).alias("raw")]
-    for (name, _), c in zip(steps, holds, strict=True):
-        left = left & c
-        sums.append(F.count_if(left).alias(name))
-    seen = Observation()
-    df.observe(seen, *sums).withColumn("route", route).write.mode("overwrite").partitionBy("route").parquet(path)
-    return seen.get
+    route = F.lit("kept")
+    for name, c in reversed(steps):
+        route = F.when(~F.coalesce(c, F.lit(False)), name).otherwise(route)
+    df.withColumn("route", route).write.mode("overwrite").partitionBy("route").parquet(path)
+    kind = df.schema if "route" in df.columns else StructType([*df.schema.fields, StructField("route", StringType())])
+    n = {r.route: r.n for r in df.sparkSession.read.schema(kind).parquet(path).groupBy("route").agg(F.count("*").alias("n")).collect()}
+    left = sum(n.values())
+    told = {"raw": left}
+    for name, _ in steps:
+        left -= n.get(name, 0)
+        told[name] = left
+    return told
 
 
 def prepare(df: DataFrame, text: str | int, label: str | list[str], mapping: dict[str, int], source: str, dialect: str = "Unknown", script: bool = True, shortest: int = 3, longest: int = 1000) -> tuple[DataFrame, DataFrame]:

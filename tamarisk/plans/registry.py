@@ -122,7 +122,7 @@ _BARE = r"trim(regexp_replace(text, 'https?://[^\x20\x09-\x0D]+|www\.[^\x20\x09-
 @query(
     f"""SELECT doc_id, coalesce({_COUNT(_ARABIC)} * 1.0 / nullif({_COUNT(_SCRIPTS)}, 0) >= 0.5, false) AS arabic_script, coalesce({_COUNT(_ARABIC)} * 1.0 / nullif({_COUNT(_ARABIC + "a-zA-Z")}, 0) >= 0.5, false) AS has_arabic,
   coalesce(regexp_matches(text, '[a-zA-Z]') AND NOT regexp_matches(text, '[\\x{{0600}}-\\x{{06FF}}]') AND length(bare) >= 3 AND (regexp_matches(bare, '[2345679]')
-    OR regexp_matches(bare, '(?i)(^|[^A-Za-z0-9_])(ya|yala|w?allah|insha|7a[br]|ma3a|3ala|kos|7mar|a5|el|el-|al-|ibn|bnt|kel[bm]|shar?m|na?yek|5awal|ta7t)([^A-Za-z0-9_]|$)')), false) AS arabizi
+    OR regexp_matches(bare, '(?i)(^|[^A-Za-z0-9_])({arabizi.MARK_WORDS})([^A-Za-z0-9_]|$)')), false) AS arabizi
 FROM (SELECT doc_id, text, {_BARE} AS bare FROM documents)"""
 )
 def script_flags(spark, d):
@@ -138,12 +138,8 @@ SELECT count_if(text IS NOT NULL AND regexp_replace(text, '[\\x20\\x09-\\x0D]+',
 )
 def cleaned_rows(spark, d):
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").select("text", F.col("toxic").alias("label"))
-    known, unknown = B.routed(rows)
-    count = lambda df, name: df.agg(F.count("*").alias(name))
-    out = count(B.with_text(rows), "with_text")
-    for df, name in ((B.with_text(rows, label=True, strip=True), "with_both"), (known, "labelled"), (unknown, "unlabeled")):
-        out = out.join(count(df, name), F.lit(True))  # one row each
-    return out
+    text, label = B.has_text(), B.has_label()
+    return rows.agg(F.count_if(text).alias("with_text"), F.count_if(text & label).alias("with_both"), F.count_if(label).alias("labelled"), F.count_if(~label).alias("unlabeled"))
 
 
 # The documents hold no Arabic script: their Latin letters become Arabic ones, one by one, in either engine.
