@@ -127,9 +127,9 @@ def named(lines: DataFrame, edits: int | tuple[tuple[int, int], ...] = EDITS, sh
                 wanted = wanted & (q != F.col(other))
             keys.append(F.when(wanted, key))
             before.append(f"q{i}_{shift}")
-    keys = F.array(*keys)
-    # the higher-order function keeps this projection out of whole-stage code, where it would be one method too large to compile
-    keys = F.when(F.exists(keys, lambda k: k.isNotNull()), keys)
+    # a line of a class names its first segment at least; the higher-order function keeps this projection out of whole-stage
+    # code, where it would be one method too large to compile, and does not look at the keys, which it would evaluate uncompiled
+    keys = F.when(F.exists(F.array("of.c"), lambda c: c.isNotNull()), F.array(*keys))
     return one.select(*names, F.coalesce("of.own", F.lit(True)).alias("own"), keys.alias("buckets"))
 
 
