@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tamarisk.session import BATCH_ROWS, small_batches  # noqa: F401  all operators ask for the same
+
 #: Bytes of text that are worked on at once; bounds a Python worker's memory.
 CHUNK_BYTES = 12 << 20
 
@@ -22,21 +24,6 @@ def table(frame, *names: str):
     return frame.select(*[frame[f"`{n}`"] for n in names])
 
 
-#: Rows of an Arrow batch at most; the session's own smaller number stays.
-BATCH_ROWS = 500
-
-
-def small_batches(spark) -> None:
-    """Arrow batches small enough that a run of very long texts stays within a worker's memory.
-
-    The JVM makes the batches, so only the session's setting bounds them. All operators ask for the same, in
-    whatever order their plans are built and run.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[pa.Table]:
     """Arrow batches regrouped to about ``limit`` bytes; a larger single row stays whole."""
     held, size = [], 0
