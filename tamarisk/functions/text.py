@@ -2,8 +2,8 @@
 
 Two profiles exist because two normalisers with different answers do: ``corpus`` for
 datasets, ``runtime`` for what users type. Both are chains of native expressions;
-Unicode NFKC and HTML entities, which Spark lacks, go through one Arrow UDF that is
-applied to the rows that need it.
+Unicode NFKC and HTML entities, which Spark lacks, go through one Arrow UDF, which sees
+every row once: Spark evaluates a UDF before the condition around it, and the text below it again.
 """
 
 from __future__ import annotations
@@ -37,6 +37,11 @@ SUBSTITUTION_FROM, SUBSTITUTION_TO = "یکۀؤئ", "يكهوي"
 SPACE = r"(?U)\s"
 
 
+def where_needed(text: Column, needed, step) -> Column:
+    """``step`` of the texts that a cheap test finds it in; the text is made once, as a lambda variable."""
+    return F.get(F.transform(F.array(text), lambda t: F.when(needed(t), step(t)).otherwise(t)), F.lit(0))
+
+
 def _composed(texts: pa.Array, unescape: bool = False) -> pa.Array:
     """NFKC of the texts that are not in it yet (Arrow's own kernel decomposes and does not compose again)."""
     texts = texts.cast(pa.string())
@@ -64,31 +69,33 @@ def strip(text: Column) -> Column:
 
 
 def drop_zero_width(text: Column) -> Column:
-    return F.translate(text, ZERO_WIDTH, "")
+    return F.regexp_replace(text, f"[{ZERO_WIDTH}]+", "")
 
 
 def drop_links(text: Column) -> Column:
-    return F.regexp_replace(text, r"https?://(?U)\S+|www\.(?U)\S+", "")
+    return where_needed(text, lambda t: t.contains("http") | t.contains("www."), lambda t: F.regexp_replace(t, r"https?://(?U)\S+|www\.(?U)\S+", ""))
 
 
 def drop_mentions(text: Column, unicode_words: bool = True) -> Column:
-    return F.regexp_replace(text, r"@[\p{L}\p{N}_]+" if unicode_words else r"@[A-Za-z0-9_]+", "")
+    return where_needed(text, lambda t: t.contains("@"), lambda t: F.regexp_replace(t, r"@[\p{L}\p{N}_]+" if unicode_words else r"@[A-Za-z0-9_]+", ""))
 
 
 def drop_placeholders(text: Column, names: tuple[str, ...] = ("USER", "URL", "IDX", "LF"), unicode_words: bool = True) -> Column:
     """Whole words RT (in capitals) and the placeholders (in any case)."""
     word = r"\p{L}\p{N}_" if unicode_words else "A-Za-z0-9_"
-    text = F.regexp_replace(text, rf"(?<![{word}])RT(?![{word}])", "")
-    return F.regexp_replace(text, rf"(?i)(?<![{word}])(?:{'|'.join(names)})(?![{word}])", "")
+    alone = lambda t: F.regexp_replace(F.regexp_replace(t, rf"(?<![{word}])RT(?![{word}])", ""), rf"(?i)(?<![{word}])(?:{'|'.join(names)})(?![{word}])", "")
+    first = "".join(sorted({c for n in names for c in (n[0].upper(), n[0].lower())}))
+    return where_needed(text, lambda t: t.rlike(f"[R{first}]"), alone)
 
 
 def blank_digits(text: Column) -> Column:
     return F.regexp_replace(text, r"[0-9٠-٩۰-۹]", " ")
 
 
-def only_arabic(text: Column) -> Column:
-    """Everything that is neither white space nor Arabic script becomes a space."""
-    return F.regexp_replace(text, rf"(?U)[^\s{ARABIC}]", " ")
+def only_arabic(text: Column, blank: bool = False) -> Column:
+    """Everything that is neither white space nor Arabic script becomes a space, with ``blank`` all digits, too."""
+    # no negated class: Java tests one through its interfaces, for which the threads of an executor wait for each other
+    return F.regexp_replace(text, rf"(?s){'[٠-٩۰-۹]|' if blank else ''}(?![{ARABIC}]|{SPACE}).", " ")
 
 
 def stitch(text: Column, both_lone: bool = False) -> Column:
@@ -97,8 +104,9 @@ def stitch(text: Column, both_lone: bool = False) -> Column:
     ``both_lone``: only where the letter before the space stands alone, too.
     """
     letter = "[ء-ي]"
-    before = rf"(?<=(?<!{letter}){letter})" if both_lone else rf"(?<={letter})"
-    return F.regexp_replace(text, rf"{before}(?U)\s(?={letter}(?!{letter}))", "")
+    # the space comes first, so that other places are passed over at once
+    before = rf"(?<=(?<!{letter}){letter}{SPACE})" if both_lone else rf"(?<={letter}{SPACE})"
+    return F.regexp_replace(text, rf"(?:{SPACE}){before}(?={letter}(?!{letter}))", "")
 
 
 def letters(text: Column) -> Column:
@@ -113,12 +121,13 @@ def cap_repeats(text: Column, most: int = 2) -> Column:
 
 
 def collapse_spaces(text: Column) -> Column:
-    return strip(F.regexp_replace(text, rf"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(text, rf"{SPACE}+", " "))
 
 
 def sanitize(text: Column) -> Column:
     """Without invisible characters, variation selectors and combining marks of other scripts."""
-    return F.regexp_replace(text, INVISIBLE, "")
+    # the test names all of them, and some more
+    return where_needed(text, lambda t: t.rlike(r"[\x{AD}\x{300}-\x{489}\x{61C}\x{1100}-\x{FFFF}]"), lambda t: F.regexp_replace(t, INVISIBLE, ""))
 
 
 def fold_homoglyphs(text: Column) -> Column:
@@ -154,22 +163,22 @@ def tokens(text: Column) -> Column:
 def normalize(text: Column, profile: str = "corpus") -> Column:
     """``corpus`` or ``runtime`` normal form; null and blank become the empty string."""
     if profile == "corpus":
-        t = F.when(text.rlike(r"[^\x00-\x7F]|&"), nfkc(text, unescape=True)).otherwise(text)
-        t = F.regexp_replace(t, r"\\[ntr]|[\n\r\t]", " ")
+        # line ends and tabs themselves are white space to each step that follows
+        t = where_needed(nfkc(text, unescape=True), lambda t: t.contains("\\"), lambda t: F.regexp_replace(t, r"\\[ntr]", " "))
         t = drop_placeholders(drop_mentions(drop_links(drop_zero_width(t))))
-        t = stitch(only_arabic(blank_digits(t)))
+        t = stitch(only_arabic(t, blank=True))
     elif profile == "runtime":
-        t = fold_homoglyphs(text)
-        t = drop_zero_width(F.when(t.rlike(r"[^\x00-\x7F]"), nfkc(t)).otherwise(t))
+        t = drop_zero_width(nfkc(fold_homoglyphs(text)))
         t = drop_placeholders(drop_mentions(drop_links(t), unicode_words=False), ("USER", "URL"), unicode_words=False)
-        t = stitch(only_arabic(blank_digits(t)), both_lone=True)
+        t = stitch(only_arabic(t, blank=True), both_lone=True)
     else:
         raise ValueError(f"unknown profile: {profile}")
     return F.coalesce(collapse_spaces(cap_repeats(letters(t))), F.lit(""))
 
 
 def count_matching(text: Column, char_class: str) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{char_class}]", ""))
+    """How many characters are of a class: what the text loses without its runs of them (see :func:`only_arabic` on negated classes)."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{char_class}]+", ""))
 
 
 def script_ratio(text: Column, numerator: str = ARABIC, denominator: str = RATIO_DENOMINATOR) -> Column:
