@@ -55,7 +55,7 @@ def says_offensive(value: Column) -> Column:
 
 
 def has_text() -> Column:
-    return F.coalesce(T.strip(F.col("text")) != "", F.lit(False))
+    return F.coalesce(F.col("text").rlike(r"(?U)\S"), F.lit(False))
 
 
 def has_label() -> Column:
@@ -98,14 +98,21 @@ def write_routed(df: DataFrame, path: str, steps: list[tuple[str, Column]]) -> d
     return told
 
 
+def once(value: Column) -> Column:
+    """A selected column that is evaluated once a row: Spark moves a filter on it no deeper and puts its expression in no other's place."""
+    return F.explode(F.array(value))
+
+
 def prepare(df: DataFrame, text: str | int, label: str | list[str], mapping: dict[str, int], source: str, dialect: str = "Unknown", script: bool = True, shortest: int = 3, longest: int = 1000) -> tuple[DataFrame, DataFrame]:
     """((text, label, source, dialect, original_text) fit for a corpus, (text, label, source) of unknown labels).
 
     In order: no null or blank text, Arabic script, no text in the place of a label, known label,
     normalised text of ``shortest`` to ``longest`` characters, no replacement characters, not blank.
-    Each is a filter on the raw row, so Spark reads it once for either result.
+    Each is a filter on the raw row, so Spark reads it once for either result. The text that is handed in and the
+    normalised one are made once a row, whatever looks at them.
     """
-    own = with_text(df.withColumn("text", (df[df.columns[text]] if isinstance(text, int) else df[f"`{text}`"]).cast("string")))
+    value = (df[df.columns[text]] if isinstance(text, int) else df[f"`{text}`"]).cast("string")
+    own = with_text(df.withColumn("text", value).select(*(f"`{c}`" for c in df.columns if c != "text"), once(F.col("text")).alias("text")))
     own = own.where(T.is_arabic_script(F.col("text"))) if script else own
     many = isinstance(label, list)
     if many:
@@ -115,7 +122,8 @@ def prepare(df: DataFrame, text: str | int, label: str | list[str], mapping: dic
         value = map_label(own[f"`{label}`"], mapping)
     raw = own.select("text", F.lit(None).cast("string").alias("raw_label") if many else own[f"`{label}`"].cast("string").alias("raw_label"), value.alias("label"))
     known, unknown = routed(raw)
-    clean = known.select(F.col("text").alias("original_text"), T.normalize(F.col("text")).alias("text"), "label", F.lit(source).alias("source"), F.lit(dialect).alias("dialect"))
+    clean = known.select(F.col("text").alias("original_text"), T.normalize(F.col("text")).alias("norm"), "label", F.lit(source).alias("source"), F.lit(dialect).alias("dialect"))
+    clean = clean.select("original_text", once(F.col("norm")).alias("text"), "label", "source", "dialect")
     clean = with_text(clean.where(T.length_between(F.col("text"), shortest, longest) & ~T.has_mojibake(F.col("text"))))
     return clean.select("text", "label", "source", "dialect", "original_text"), unknown.select("text", F.col("raw_label").alias("label"), F.lit(source).alias("source"))
 
