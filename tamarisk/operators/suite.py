@@ -86,7 +86,8 @@ def adversarial(seeds: DataFrame, morphs: list[tuple[str, str]], carriers: list[
 def hard_negatives(texts: DataFrame, frames: list[str] | dict[str, list[str]], obfs: tuple[str, ...] = ("dots", "spaces", "elongate", "tatweel", "diacritics", "zero_width")) -> DataFrame:
     """(text, expected = 0, category, flags): safe texts in frames and in disguise, each once.
 
-    ``frames`` by category, or one list for all; a category without frames is only disguised.
+    ``frames`` by category, or one list for all; a category without frames is only disguised. The cases are many times
+    their texts, so only hashes of them are shuffled; each is made again where its text lies.
     """
     listed = lambda f: F.array(*map(F.lit, f)).cast("array<string>")
     if isinstance(frames, dict):
@@ -95,7 +96,16 @@ def hard_negatives(texts: DataFrame, frames: list[str] | dict[str, list[str]], o
             own = F.when(F.col("category") == category, listed(some)).otherwise(own)
     else:
         own = listed(frames)
-    framed = texts.select("category", F.explode(F.transform(own, lambda f: F.replace(f, F.lit("{}"), F.col("text")))).alias("text"), F.array(F.lit("framed")).alias("flags"))
-    hidden = disguised(texts.select("category", F.col("text").alias("word")), "word", obfs).select("category", "text", F.array(F.lit("disguised"), "obf").alias("flags"))
-    both = framed.union(hidden)
-    return both.groupBy("text").agg(F.lit(0).alias("expected"), F.min("category").alias("category"), F.min("flags").alias("flags"))
+    hidden = {n: c for n, c in disguises(F.col("text")).items() if n in obfs}
+    framed = F.transform(own, lambda f: F.struct(F.replace(f, F.lit("{}"), F.col("text")).alias("text"), F.array(F.lit("framed")).alias("flags")))
+    made = F.concat(framed, F.array(*(F.struct(c.alias("text"), F.array(F.lit("disguised"), F.lit(n)).alias("flags")) for n, c in hidden.items())))
+    # 128 bits of SHA-256 stand for a text, none for null
+    hashed = lambda c: F.coalesce(F.unhex(F.left(F.sha2(c, 256), F.lit(32))), F.lit(b""))
+    keyed = texts.select("category", "text", hashed(F.col("text")).alias("source"))
+    cases = keyed.select("source", "category", F.posexplode(F.transform(made, lambda c: F.struct(hashed(c.text).alias("hash"), c.flags.alias("flags")))).alias("slot", "c"))
+    won = cases.groupBy("c.hash").agg(F.min("category").alias("category"), F.min("c.flags").alias("flags"), F.min(F.struct("source", "category", "slot")).alias("of"))
+    won = won.groupBy("of.source", F.col("of.category").alias("own")).agg(F.collect_list(F.struct("of.slot", "category", "flags")).alias("won"))
+    sources = keyed.groupBy("source").agg(F.first("text").alias("text"))
+    again = won.join(sources.hint("merge"), "source").select(F.col("own").alias("category"), "text", "won")
+    picked = F.transform(made, lambda c, i: F.struct(c.text.alias("text"), F.get(F.filter("won", lambda w: w.slot == i), F.lit(0)).alias("w")))
+    return again.select(F.inline(F.filter(picked, lambda c: c.w.isNotNull()))).select("text", F.lit(0).alias("expected"), "w.category", "w.flags")
