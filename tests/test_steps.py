@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tamarisk.functions import text as T
 from tamarisk.operators import html
 from tamarisk.operators import labels as B
+from tamarisk.operators import rules as R
 from tamarisk.session import BATCH_ROWS
 
 ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -53,3 +54,22 @@ def test_queries_read_in_small_batches(spark, data):
             assert spark.conf.get(ROWS) == str(BATCH_ROWS)
     finally:
         spark.conf.set(ROWS, old)
+
+
+def test_verdict_makes_a_text_once(spark):
+    """Each layer reads the written text, so what it is made of is evaluated once."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        made.add(1)
+        return text
+
+    docs = spark.createDataFrame([(i, f"one two three{i} idiot") for i in range(20)], "doc_id long, text string").localCheckpoint().select("doc_id", told.asNondeterministic()("text").alias("text"))
+    terms = spark.createDataFrame([("idiot", "exact", "word")], "term string, tier string, kind string")
+    assert R.verdict(docs, terms, profile=None).where("layer = 'dict'").count() == 20
+    assert made.value == 20
+    made.value = 0
+    scorer = lambda texts: texts.select("text", F.lit("TOXIC").alias("label"), F.lit(0.9).alias("score"))
+    assert R.hybrid(docs, terms.where("false"), scorer).where("is_toxic").count() == 20
+    assert made.value == 20
