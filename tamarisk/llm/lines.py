@@ -13,7 +13,9 @@ substring, which halves the rows; an unchanged segment still names the same part
 
 Lines that meet in a bucket are tested by :mod:`linking`, with counts of some letters and
 a thresholded distance of Spark's own as necessary conditions in the join, and verified by a banded bit-parallel edit distance; linked lines form
-components, of which the first line stays. Equal lines are one item from the first
+components, of which the first line stays. A count is a ring code of eight bits, and eight of
+them are one long: the join compares three longs, as a condition on each count would be a
+method too large to compile. Equal lines are one item from the first
 aggregation on, which the map side starts. Only lines that share a bucket are read again as
 text, behind a Bloom filter of fixed size.
 """
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tamarisk.llm import store
 from tamarisk.llm import words as W
-from tamarisk.llm.linking import components, merged, sifted
+from tamarisk.llm.linking import components, differing, merged, sifted
 from tamarisk.llm.store import Scratch
 
 EDITS = 1
@@ -49,6 +51,10 @@ SLOTS = tuple((i, shift) for i in SEGMENTS for shift in sorted(range(1 - abs(i),
 LENGTH_BITS = 12
 #: Letters whose counts are compared, in Latin and in Arabic script; each once, as a letter that counts twice would make one edit two.
 LETTERS = "".join(dict.fromkeys("etaoinsrhlducmيمونرتهلا"))
+#: Eight bits for each count modulo 16; neighbours, the last and the first as well, differ in one bit.
+RING = tuple((1 << v) - 1 if v < 8 else (0xFF << (v - 8)) & 0xFF for v in range(16))
+#: Longs that the ring codes of all letters take, eight a long.
+COUNT_WORDS = -(-len(LETTERS) // 8)
 
 
 def classes(edits: int | tuple[tuple[int, int], ...], shortest: int) -> list[tuple[int, float, int, int]]:
@@ -101,13 +107,20 @@ def named(lines: DataFrame, edits: int | tuple[tuple[int, int], ...] = EDITS, sh
     A row of its ``own`` class, and one more for a class of shorter partners. The lowest bit of a
     bucket says that the line is indexed there; apart from it, an index entry and a probe of one
     segment are the same. What a line doesn't name is null; of one under ``shortest`` all is.
+    Lines of one byte a character are cut as bytes, others character by character; the parts are the same.
     """
     names = lines.columns
     one = lines.select(*names, F.explode_outer(of_length(F.col("n"), edits, shortest)).alias("of"))
+    bytewise = F.octet_length("line") == F.col("n")
+
+    def part(text: str, start: Column, size: Column) -> Column:
+        """So many characters of a column from a place on, as bytes."""
+        return F.when(bytewise, F.substring(F.col(text).cast("binary"), start, size)).otherwise(F.substring(text, start, size).cast("binary"))
+
     start = {i: (F.lit(i - 1) if i > 0 else F.lit(i)) * F.col("of.size") + (F.lit(0) if i > 0 else F.col("n")) for i in SEGMENTS}
     radius = {i: abs(i) - 1 for i in SEGMENTS}
     # each step is a column of its own, used by several of the next; what is cut out of the line once is short from then on
-    one = one.select(*names, "of", *(F.substring("line", start[i] - radius[i] + 1, F.col("of.size") + 2 * radius[i]).alias(f"w{i}") for i in SEGMENTS))
+    one = one.select(*names, "of", *(part("line", start[i] - radius[i] + 1, F.col("of.size") + 2 * radius[i]).cast("string").alias(f"w{i}") for i in SEGMENTS))
 
     def place(i: int, shift: int) -> Column:
         """From the segment's start: where the named part starts, if the segment lies ``shift`` characters on."""
@@ -120,7 +133,7 @@ def named(lines: DataFrame, edits: int | tuple[tuple[int, int], ...] = EDITS, sh
         before: list[str] = []
         for shift in (s for j, s in SLOTS if j == i):
             q = F.col(f"q{i}_{shift}")
-            key = F.xxhash64(F.col("of.c") * 8 + k, F.substring(f"w{i}", q + radius[i] + 1, F.col("of.size") - F.col("of.gap"))).bitwiseAND(-2)
+            key = F.xxhash64(F.col("of.c") * 8 + k, part(f"w{i}", q + radius[i] + 1, F.col("of.size") - F.col("of.gap"))).bitwiseAND(-2)
             key = key.bitwiseOR(F.when(F.col("of.own"), 1).otherwise(0)) if shift == 0 else key
             wanted = F.col("of.edits") >= k
             for other in before:
@@ -221,31 +234,48 @@ def verified(pairs: DataFrame, texts: DataFrame, edits: int | tuple[tuple[int, i
     chars = lambda c: F.when(F.length(c) == 0, F.array().cast("array<string>")).otherwise(F.split(c, ""))
     alike = F.transform(trimmed(F.col("x"), F.col("y")), lambda s: F.struct(chars(s.x).alias("x"), chars(s.y).alias("y")))
     alike = F.exists(alike, lambda s: within(s.x, s.y, most_edits(edits), F.col("most")))
-    # few bytes but much work: dealt anew, so that all cores take part
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return both.repartition(parts, "a", "b").where(alike).select("a", "b")
+    # Spark's own distance first, as most pairs that are too far apart cost the other one more
+    return both.where(close(F.col("x"), F.col("y"), edits) & alike).select("a", "b")
 
 
 def counted(line: Column, n: Column) -> Column:
-    """struct<n, b0, b1, ...>: the length, and how many there are of some letters."""
-    size = F.octet_length(line)
-    return F.struct(n.alias("n"), *(((size - F.octet_length(F.replace(line, F.lit(c), F.lit("")))) / len(c.encode())).cast("int").alias(f"b{i}") for i, c in enumerate(LETTERS)))
+    """struct<n, b0, b1, ...>: the length, and how many there are of some letters as ring codes."""
+    size, ring = F.octet_length(line), F.lit(list(RING))
+
+    def code(c: str) -> Column:
+        found = ((size - F.octet_length(F.replace(line, F.lit(c), F.lit("")))) / len(c.encode())).cast("int")
+        return F.get(ring, found.bitwiseAND(15)).cast("long")
+
+    words = []
+    for first in range(0, len(LETTERS), 8):
+        word = code(LETTERS[first])
+        for i, c in enumerate(LETTERS[first + 1 : first + 8], 1):
+            word = word.bitwiseOR(F.shiftleft(code(c), 8 * i))
+        words.append(word)
+    return F.struct(n.alias("n"), *(w.alias(f"b{i}") for i, w in enumerate(words)))
 
 
 def may_be_near(x: str, y: str, edits: int | tuple[tuple[int, int], ...]) -> Column:
-    """Whether the counts of two lines allow so few edits: one edit adds at most one letter and takes at most one."""
+    """Whether the counts of two lines allow so few edits.
+
+    Codes differ in as many bits as counts are apart around the ring, so in no more than they are
+    apart. A substitution moves two counts, an insertion or deletion one and the length.
+    """
     n, m = F.col(f"{x}.counts.n"), F.col(f"{y}.counts.n")
-    most = allowed(F.least(n, m), edits)
-    gains = losses = F.lit(0)
-    for i in range(len(LETTERS)):
-        more = F.col(f"{x}.counts.b{i}") - F.col(f"{y}.counts.b{i}")
-        gains, losses = gains + F.greatest(more, F.lit(0)), losses + F.greatest(-more, F.lit(0))
-    return (F.abs(n - m) <= most) & (gains <= most) & (losses <= most)
+    return F.abs(n - m) + differing(f"{x}.counts", f"{y}.counts", COUNT_WORDS) <= 2 * allowed(F.least(n, m), edits)
+
+
+def close(x: Column, y: Column, edits: int | tuple[tuple[int, int], ...]) -> Column:
+    """Whether Spark's own edit distance, which gives up beyond a threshold, stays below the greatest one of ``edits``.
+
+    It walks a line anew for each character, so that equal ends are cut off first.
+    """
+    return F.exists(trimmed(x, y, 2), lambda s: F.levenshtein(s.x, s.y, most_edits(edits)) >= 0)
 
 
 def not_far(x: str, y: str, edits: int | tuple[tuple[int, int], ...]) -> Column:
     """Whether Spark's own edit distance, which gives up beyond a threshold, stays below it: keeps near misses of crowded buckets out of the join's rows."""
-    return F.levenshtein(F.col(f"{x}.line"), F.col(f"{y}.line"), most_edits(edits)) >= 0
+    return close(F.col(f"{x}.line"), F.col(f"{y}.line"), edits)
 
 
 def lines_of(docs: DataFrame, shortest: int = SHORTEST, words: bool = False) -> DataFrame:
@@ -253,7 +283,8 @@ def lines_of(docs: DataFrame, shortest: int = SHORTEST, words: bool = False) ->
     # the text's hash is taken below the explode, once a document and not once a line
     keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("t"), F.split("text", "\n").alias("parts"))
     keyed = keyed.select("d", "t", F.posexplode("parts").alias("pos", "line")).select("*", F.length("line").alias("n"))
-    part = F.col("n") >= shortest
+    # a character takes four bytes at most: of long lines none is counted
+    part = (F.octet_length("line") >= 4 * shortest) | (F.col("n") >= shortest)
     if words:
         part = part | F.col("line").rlike(r"[\p{L}\p{N}]")
     return keyed.where(part).select("*", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
@@ -267,13 +298,14 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, edits: int | tuple[tuple[i
     place = F.struct("d", "t", "pos")
     keyed = named(lines, edits, shortest).groupBy("h1", "h2", "n", "own").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.first("buckets").alias("buckets"))
     # numbered as they are written, so the numbers are unique and stay
-    keyed = scratch.put(keyed.withColumn("id", F.monotonically_increasing_id()), "keyed")
+    keyed = scratch.put(keyed.withColumn("id", F.monotonically_increasing_id()), "keyed", {"parquet.enable.dictionary": "false"})
     distinct, others = keyed.where("own"), keyed.where("NOT own").select("h1", "h2", "buckets")
     others = sifted(distinct.select("h1", "h2", "n", "id"), "h1", others, "inner", ("h1", "h2"))
-    # length and mark stand in the id, so that one exchange of two longs serves both sides of the join
+    # length and mark stand in the id, so that one exchange of two longs serves both sides of the join; exploded after the
+    # union, as the semi-join would go below a union and read its other side once for each part
     packed = F.shiftleft("id", LENGTH_BITS + 1).bitwiseOR(F.least("n", F.lit((1 << LENGTH_BITS) - 1)).cast("long") * 2)
     length = lambda c: F.shiftright(c, 1).bitwiseAND((1 << LENGTH_BITS) - 1)
-    rows = distinct.select(packed.alias("id"), F.explode("buckets").alias("b")).union(others.select(packed.alias("id"), F.explode("buckets").alias("b")))
+    rows = distinct.select(packed.alias("id"), "buckets").union(others.select(packed.alias("id"), "buckets")).select("id", F.explode("buckets").alias("b"))
     rows = rows.where("b IS NOT NULL").select(F.col("b").bitwiseAND(-2).alias("bucket"), F.col("id").bitwiseOR(F.col("b").bitwiseAND(1)).alias("marked"))
     there = rows.select(F.col("bucket").alias("bucket_"), F.col("marked").alias("marked_"))
     another = F.shiftright("marked", LENGTH_BITS + 1) != F.shiftright("marked_", LENGTH_BITS + 1)

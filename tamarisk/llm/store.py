@@ -32,10 +32,10 @@ class Scratch:
         self.n = 0
         self.paths: dict[int, tuple[DataFrame, str]] = {}
 
-    def put(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def put(self, df: DataFrame, name: str = "t", options: dict[str, str] | None = None) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.parquet(path)
+        df.write.options(**(options or {})).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out

@@ -368,6 +368,38 @@ def test_line_conditions_are_necessary(spark):
         assert seen > 100
 
 
+def test_line_counts_stay_compiled(spark):
+    """The JVM only interprets methods over 8000 bytes; a condition that each pair of a bucket meets must not make one."""
+    import re
+
+    from tamarisk.llm import lines
+
+    assert all((a ^ b).bit_count() == 1 for a, b in zip(lines.RING, lines.RING[1:] + lines.RING[:1], strict=True))
+    df = spark.createDataFrame([(1, "a line of some letters")], "bucket long, line string")
+    side = lambda c: df.select("bucket", F.struct(lines.counted(F.col("line"), F.length("line")).alias("counts")).alias(c)).localCheckpoint()
+    x, y = side("x"), side("y")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        met = x.join(y.hint("merge"), (x.bucket == y.bucket) & lines.may_be_near("x", "y", lines.BY_LENGTH)).groupBy(x.bucket).count()
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", spark._jvm.PythonSQLUtils.explainString(met._jdf.queryExecution(), "codegen"))]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sizes and max(sizes) < 8000, sizes
+
+
+def test_lines_are_cut_alike_as_bytes_and_characters(spark):
+    """The parts of a line don't depend on whether another character of it takes two bytes."""
+    from tamarisk.llm import lines
+
+    rng = random.Random(14)
+    texts = ["".join(rng.choice("abcd  ") for _ in range(n)) for n in (20, 39, 64, 100, 301)]
+    rows = [(i, x[:-1] + last, len(x)) for i, x in enumerate(texts) for last in ("z", "é")]
+    found = {(r.i, r.line[-1]): r.buckets for r in lines.named(spark.createDataFrame(rows, "i long, line string, n int"), lines.BY_LENGTH).where("own").collect()}
+    for i in range(len(texts)):
+        # the first segment lies at the start, so it never holds the last character
+        assert found[i, "z"][0] is not None and found[i, "z"][0] == found[i, "é"][0]
+
+
 def test_line_queries_use_the_threshold(spark, tmp_path):
     """A changed short word, three edits, is found by the query and the stage."""
     import corpus_pipeline
