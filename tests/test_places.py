@@ -97,3 +97,32 @@ def test_emoji_of_long_signs(spark):
         assert all(c.encode().startswith(R.EMOJI_BYTES) for c in chars)
     e = spark.createDataFrame([("😀 x",), (None,)], "t string").select(R.emoji(F.col("t")).alias("e")).collect()
     assert [(r.e.is_toxic, r.e.score, r.e.flags, r.e.extracted) for r in e] == [(False, 0.0, [], "")] * 2
+
+
+@pytest.mark.parametrize("many_forms", [True, False])
+def test_few_terms_are_found_as_many(spark, monkeypatch, many_forms):
+    """Few phrases and parts are sought where the texts lie, without a hash of each window; both ways find the same."""
+    terms = [("غبي يا", "phrase"), ("حمارة", "phrase"), ("س ", "phrase"), ("", "phrase"), (None, "phrase"), ("ىب", "partial"), ("x", "partial"), ("..", "partial"), ("غغ", "partial"), ("ۃہ", "partial"), ("غبي", "word")]
+    lexicon = spark.createDataFrame([(t, "exact", k) for t, k in terms], "term string, tier string, kind string")
+    docs = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts())], "doc_id long, text string")
+    called = []
+    whole = L.contained
+    monkeypatch.setattr(L, "contained", lambda *a: called.append(1) or whole(*a))
+    few = {tuple(r) for r in L.inside(docs, lexicon, "doc_id", "text", many_forms, ("غغ",)).collect()}
+    assert not called
+    monkeypatch.setattr(L, "FEW_TERMS", 0)
+    assert few == {tuple(r) for r in L.inside(docs, lexicon, "doc_id", "text", many_forms, ("غغ",)).collect()} and called
+    assert {k for _, k in few} == {"phrase", "partial"} and len(few) < 101
+
+
+def test_long_shapes(spark):
+    """A long text is squeezed as array, as the expressions have it."""
+    long = [" ".join(t for t in texts() if t)[:n] + "ااا😀😀" for n in (40, 60, 500)]
+    rows = spark.createDataFrame([(t,) for t in long], "t string").select("t", F.array(*(f(F.col("t")) for f in L.SHAPES)).alias("s")).collect()
+    assert all(L.shapes(r.t) == r.s for r in rows)
+
+
+def test_gate(spark):
+    cases = ["a b c", " a b c", "a b", " a b ", "abc", "", None, "a\nb\tc", "a  b  c  d e f", " \n a b"]
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", R.gate(F.col("t")).alias("g")).collect()
+    assert all(r.g == (r.t is not None and len(r.t) >= 3 and len(r.t.split()) >= 3) for r in rows)
